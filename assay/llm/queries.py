@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, quality, simhash, token_count
+from assay.llm import bpe, mixing, quality, simhash, token_count
 from assay.llm.common import table
 
 
@@ -28,9 +28,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_simhash": op5_simhash}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_simhash": op5_simhash, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.SQL}
