@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, mixing, quality, simhash, token_count
+from assay.llm import bpe, html_text, language, mixing, quality, simhash, token_count, topk
 from assay.llm.common import table
 
 
@@ -28,13 +28,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_of_every(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_simhash": op5_simhash, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_simhash": op5_simhash, "op6_topk": op6_topk, "op7_language": op7_language, "op9_html": op9_html, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op6_topk": topk.SQL, "op10_mixing": mixing.SQL}
