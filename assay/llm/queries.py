@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, html_text, language, mixing, quality, simhash, token_count, topk
+from assay.llm import bpe, html_text, language, mixing, quality, simhash, substring_dedup, token_count, topk
 from assay.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_simhash": op5_simhash, "op6_topk": op6_topk, "op7_language": op7_language, "op9_html": op9_html, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_substrings": op3_substrings, "op4_token_counts": op4_token_counts, "op5_simhash": op5_simhash, "op6_topk": op6_topk, "op7_language": op7_language, "op9_html": op9_html, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
