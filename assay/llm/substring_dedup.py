@@ -308,3 +308,22 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     out = deduplicate(docs)
     whole = F.col("n_removed") == 0
     return out.select("doc_id", "n_words", "n_removed", F.when(whole, F.lower(F.hex("sha"))).otherwise(F.sha2(F.coalesce("kept", F.lit("")), 256)).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with their texts cut (n_chars follows, where there is such a column). Texts that lose nothing stay as they are."""
+    from pyspark.sql.types import StructType
+
+    names, spark = docs.columns, docs.sparkSession
+    place = names.index("text")
+
+    def add_sha(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shas = [_sha((t or "").encode().split()) for t in batch.column(place).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.binary())], names=[*names, "_sha"])
+
+    cut = deduplicate(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), F.coalesce("kept", F.lit("")).alias("_kept")).distinct()
+    keyed = map_batches(docs, add_sha, StructType([*docs.schema.fields, *spark.createDataFrame([], "_sha binary").schema.fields]))
+    joined = keyed.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_of")), "left")
+    text = F.coalesce("_kept", "text")
+    new = {"text": text} | ({"n_chars": F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), "n_chars")} if "n_chars" in names else {})
+    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in names))
