@@ -18,6 +18,7 @@ where white space follows other characters, where a match of the pattern always
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from itertools import chain
 
@@ -32,9 +33,13 @@ from assay.llm.common import map_batches, offsets
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run of white space with what follows it. No match of a byte-level BPE pattern crosses from other characters to white space.
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: The same, cut also between a Latin letter and ASCII punctuation, where a match always ends too (but special tokens may go on).
+LATIN = re.compile(f"[{SPACE}]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\\[-`{{-~{SPACE}]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 #: Bounds of what a worker remembers.
-MAX_STATES, MAX_PIECES, MAX_WORDS, MAX_PAIRS = 100_000, 300_000, 200_000, 250_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 400_000, 400_000
+#: Transitions deeper in a word than this are rarely met again and are not kept.
+KEEP_DEPTH = 5
 
 
 def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[int]:
@@ -60,19 +65,14 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {v: k for k, v in ranks.items()}
-        self.next: list[dict[int, int]] = [{}]
-        self.final: list[int] = [-1]
-        for word, rank in ranks.items():
-            node = 0
-            for byte in word:
-                to = self.next[node].get(byte)
-                if to is None:
-                    to = self.next[node][byte] = len(self.next)
-                    self.next.append({})
-                    self.final.append(-1)
-                node = to
-            self.final[node] = rank
-        self.apart: dict[tuple[int, int], bool] = {}
+        # The trie: (node, byte) -> (node, token that ends there or -1, whether the trie goes on).
+        node_of = {b"": 0}
+        for word in ranks:
+            for i in range(1, len(word) + 1):
+                node_of.setdefault(word[:i], len(node_of))
+        inner = {node_of[prefix[:-1]] for prefix in node_of if prefix}
+        self.edges = {node_of[p[:-1]] << 8 | p[-1]: (to, ranks.get(p, -1), to in inner) for p, to in node_of.items() if p}
+        self.apart: dict[int, bool] = {}
         self.halves = {rank: self.last_merge(word) for word, rank in ranks.items() if len(word) > 1}
         self.reset()
 
@@ -111,41 +111,47 @@ class Transducer:
             else:
                 hide_right, right = made_right, halves[right][0]
 
-    def move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        """Work out one transition: what it emits, and the state it leads to."""
-        after, closed, children, final, apart = [], None, self.next, self.final, self.apart
-        for last, node, waiting in self.states[state]:
-            to = children[node].get(byte)
-            if to is None:
+    def advance(self, configurations: tuple, byte: int) -> tuple[list, tuple[int, ...] | None]:
+        """The configurations after one byte, and the tokens waiting in the one that stands between tokens, if there is one."""
+        after, closed, edges, apart = [], None, self.edges, self.apart
+        for last, node, waiting in configurations:
+            edge = edges.get(node << 8 | byte)
+            if edge is None:
                 continue
-            if children[to]:
+            to, token, goes_on = edge
+            if goes_on:
                 after.append((last, to, waiting))
-            token = final[to]
             if token >= 0 and closed is None:
-                ok = last < 0 or apart.get((last, token))
+                ok = last < 0 or apart.get(last << 20 | token)
                 if ok is None:
                     if len(apart) >= MAX_PAIRS:
                         apart.clear()
-                    ok = apart[last, token] = self.stays_apart(last, token)
+                    ok = apart[last << 20 | token] = self.stays_apart(last, token)
                 if ok:
                     closed = (*waiting, token)
                     after.append((token, 0, closed))
         if not after:
             raise ValueError("the vocabulary cannot spell a word")
+        return after, closed
+
+    @staticmethod
+    def agreed(after: list) -> int:
+        """How many waiting tokens all configurations begin with."""
+        out = after[0][2]
+        n = len(out)
+        for _, _, waiting in after:
+            if waiting[:n] != out[:n]:
+                n = next(i for i, (x, y) in enumerate(zip((*waiting, None), out)) if x != y)
+        return n
+
+    def move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
+        """Work out one transition and keep it: what it emits, and the state it leads to."""
+        after, closed = self.advance(self.states[state], byte)
         out = after[0][2]
         if out:
-            for _, _, waiting in after:
-                if waiting[: len(out)] != out:
-                    n = 0
-                    for x, y in zip(out, waiting):
-                        if x != y:
-                            break
-                        n += 1
-                    out = out[:n]
-                    if not n:
-                        break
-            if out:
-                n = len(out)
+            n = self.agreed(after)
+            out = out[:n]
+            if n:
                 after = [(last, node, waiting[n:]) for last, node, waiting in after]
                 closed = closed and closed[n:]
         key = tuple(after)
@@ -159,16 +165,18 @@ class Transducer:
         return step
 
     def encode(self, word: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
-            self.reset()
         whole = self.ranks.get(word)
         if whole is not None:  # as the rank file's library has it
             return [whole]
+        if len(self.states) > MAX_STATES:
+            self.reset()
         out: list[int] = []
         state, moves = 0, self.moves
-        for byte in word:
+        for i, byte in enumerate(word):
             step = moves[state].get(byte)
             if step is None:
+                if i >= KEEP_DEPTH:
+                    return out + self.finish(self.states[state], word[i:])
                 step = self.move(state, byte)
             if step[0]:
                 out += step[0]
@@ -178,29 +186,40 @@ class Transducer:
             raise ValueError("the vocabulary cannot spell a word")
         return out + list(end)
 
+    def finish(self, configurations: tuple, rest: bytes) -> list[int]:
+        """The rest of a word from a state whose next transition is rare: worked out, but not kept."""
+        out: list[int] = []
+        closed = None
+        for byte in rest:
+            configurations, closed = self.advance(configurations, byte)
+            if len(configurations[0][2]) > 16 and (n := self.agreed(configurations)):
+                out += configurations[0][2][:n]
+                configurations = [(last, node, waiting[n:]) for last, node, waiting in configurations]
+                closed = closed and closed[n:]
+        if closed is None:
+            raise ValueError("the vocabulary cannot spell a word")
+        return out + list(closed)
+
 
 class Pieces(dict):
-    """Tokens of a piece of text, remembered up to a bound."""
+    """Tokens of a piece of text. Beyond a bound, pieces that weren't asked for again are forgotten."""
 
     def __init__(self, transducer: Transducer, pattern):
         super().__init__()
         self.transducer, self.pattern = transducer, pattern
-        self.words: dict[str, list[int]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        tokens: list[int] = []
-        for word in self.pattern.findall(piece):
-            known = self.words.get(word)
-            if known is None:
-                known = self.transducer.encode(word.encode())
-                if len(word) <= 64:
-                    if len(self.words) >= MAX_WORDS:
-                        self.words.clear()
-                    self.words[word] = known
-            tokens += known
-        out = tuple(tokens)
+        out = self.older.get(piece)
+        if out is None:
+            encode = self.transducer.encode
+            if piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():  # one match of the pattern
+                out = tuple(encode(piece.encode()))
+            else:
+                out = tuple(t for word in self.pattern.findall(piece) for t in encode(word.encode()))
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -232,11 +251,12 @@ class Codec:
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
         if (path, pattern) not in cls._built:
+            gc.set_threshold(500_000, 50, 100)  # what a codec remembers has no cycles
             cls._built[path, pattern] = cls(path, pattern)
         return cls._built[path, pattern]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, PIECE.findall(text or ""))))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, LATIN.findall(text or ""))))
 
     def decode(self, ids: list[int]) -> str:
         parts = list(map(self.text_of.__getitem__, ids))
