@@ -65,15 +65,15 @@ def cohesion(bodies: DataFrame, group: str, body: str, row_id: str, k: int = 3,
     with itself: sum over pairs i != j of u_i u_j = |sum u|^2 - n. No pair is made. Fewer than two
     bodies: not lacking. Bodies shorter than k have no shingles; they count as bodies and are similar to none.
     """
-    clean = bodies.select(group, row_id, F.regexp_replace(body, r"\s+", " ").alias("t"))
-    counts = clean.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    grams = clean.where(F.length("t") >= k).select(group, row_id, F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - (k - 1)), lambda i: F.substring(F.col("t"), i, F.lit(k)))).alias("g"))
-    profile = grams.groupBy(group, row_id, "g").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    norms = profile.groupBy(group, row_id).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    units = profile.join(norms, [group, row_id]).groupBy(group, "g").agg(F.sum(F.col("c") / F.col("norm")).alias("s"))
-    square = units.groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("square"))
-    full = norms.groupBy(group).agg(F.count(F.lit(1)).alias("full"))
+    clean = bodies.select(group, row_id, F.regexp_replace(body, r"\s+", " ").alias("_text"))
+    counts = clean.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("_text") - (k - 1)), lambda i: F.substring(F.col("_text"), i, F.lit(k)))
+    profile = clean.where(F.length("_text") >= k).select(group, row_id, F.explode(grams).alias("_gram")).groupBy(group, row_id, "_gram").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    norms = profile.groupBy(group, row_id).agg(F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_norm"))
+    units = profile.join(norms, [group, row_id]).groupBy(group, "_gram").agg(F.sum(F.col("_c") / F.col("_norm")).alias("_s"))
+    square = units.groupBy(group).agg(F.sum(F.col("_s") * F.col("_s")).alias("_square"))
+    full = norms.groupBy(group).agg(F.count(F.lit(1)).alias("_full"))
     rows = counts.join(square, group, "left").join(full, group, "left")
-    mean = (F.coalesce(F.col("square"), F.lit(0.0)) - F.coalesce("full", F.lit(0))) / (F.col("n") * (F.col("n") - 1))
-    rows = rows.withColumn("mean_similarity", F.when(F.col("n") > 1, F.round(mean, 6) + F.lit(0.0)))
-    return rows.select(group, F.col("n").alias("bodies"), "mean_similarity", F.coalesce(1 - F.col("mean_similarity") >= least, F.lit(False)).alias("lacks_cohesion"))
+    mean = (F.coalesce(F.col("_square"), F.lit(0.0)) - F.coalesce("_full", F.lit(0))) / (F.col("_n") * (F.col("_n") - 1))
+    rows = rows.withColumn("mean_similarity", F.when(F.col("_n") > 1, F.round(mean, 6) + F.lit(0.0)))
+    return rows.select(group, F.col("_n").alias("bodies"), "mean_similarity", F.coalesce(1 - F.col("mean_similarity") >= least, F.lit(False)).alias("lacks_cohesion"))
