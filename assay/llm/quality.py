@@ -132,13 +132,13 @@ class LineField:
         return sum(c for c, b in zip(counts, bad) if not b) / sum(counts) if counts else 1.0
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> np.ndarray:
-    """Newton's method with a ridge in proportion to the rows' weight."""
-    w, pull = np.zeros(x.shape[1]), ridge * weight.sum() * np.eye(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, center: np.ndarray, strength: float = 15.0, rounds: int = 40) -> np.ndarray:
+    """Newton's method; a normal prior around ``center`` counts where rows are few."""
+    w = center.astype(float)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull, x.T @ (weight * (y - p)) - pull @ w)
-        w = w + step
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + strength * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - strength * (w - center))
+        w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -153,7 +153,7 @@ def fit_lines(texts: list[tuple[bool, list[tuple[float, ...]]]]) -> LineField:
     text = np.repeat(np.arange(len(texts)), [len(f) for _, f in texts])
     bad = np.array([not good for good, _ in texts])[text]
     share = bad.mean()
-    first = _logistic(x, bad.astype(float), np.where(bad, 0.5 / share, 0.5 / (1 - share)))
+    first = _logistic(x, bad.astype(float), np.where(bad, 0.5 / share, 0.5 / (1 - share)), np.array(PRIOR[:-1]))
     y = bad & (x @ first > 0)
     if not y.any():
         return LineField(PRIOR[:-1], PRIOR[-1])
@@ -161,7 +161,7 @@ def fit_lines(texts: list[tuple[bool, list[tuple[float, ...]]]]) -> LineField:
     joined = text[1:] == text[:-1]
     near[1:] += np.where(joined, sign[:-1], 0)
     near[:-1] += np.where(joined, sign[1:], 0)
-    w = _logistic(np.column_stack([x, near]), y.astype(float), np.ones(len(y)))
+    w = _logistic(np.column_stack([x, near]), y.astype(float), np.ones(len(y)), np.array([*PRIOR[:-1], PRIOR[-1] / 2]))
     # The labels of a bad text's lines often agree by their making; the gain stays where a clear line can still differ.
     return LineField(tuple(w[:-1].tolist()), float(np.clip(2 * w[-1], 0.0, 1.0)))
 
