@@ -97,21 +97,22 @@ def latest_test_outcome(t: Tables) -> DataFrame:
     return t.test_results.join(runs, "run_id").selectExpr("test_run_db_id", "method_id test_method_id", "test_outcome", "test_duration", "error_message")
 
 
-#: The columns that v_test_agg groups by.
+#: The columns that tell the rows of v_test_agg apart.
 TEST_KEYS = ("generated_test_id", "test_run_id", "provider", "model", "strategy", "prompt_token_count", "generation_duration", "method_id", "method_name", "class_name", "test_outcome", "test_duration", "error_message")
 RATES = tuple(f"{who}_{what}" for what in ("line_rate", "branch_rate", "complexity") for who in ("baseline", "generated"))
 
 
 def test_agg(t: Tables) -> DataFrame:
     """Coverage is averaged by method (and run) before the joins: each row of a test meets the same rates, so the means
-    are those of the full join, without its rows growing with the square of the repeats."""
+    are those of the full join, without its rows growing with the square of the repeats. Ids of tests, methods and classes
+    are unique, so with distinct outcomes each group has one row and needs no grouping after the joins."""
     before = baseline_coverage(t).groupBy("method_id").agg(*(F.avg(c).alias(c) for c in RATES[::2]))
     after = _run_coverage(t).groupBy("method_id", F.col("test_run_db_id").alias("test_run_id")).agg(*(F.avg(s).alias(g) for s, g in zip(("line_rate", "branch_rate", "complexity"), RATES[1::2])))
     tests = t.generated_tests.withColumnRenamed("id", "generated_test_id").withColumnRenamed("original_method_id", "method_id").drop("test_method_id")
     methods = t.methods.selectExpr("id method_id", "name method_name", "class_id").join(t.classes.selectExpr("id class_id", "name class_name"), "class_id").drop("class_id")
-    outcomes = latest_test_outcome(t).withColumnRenamed("test_run_db_id", "test_run_id").withColumnRenamed("test_method_id", "gen_test_method_id")
+    outcomes = latest_test_outcome(t).distinct().withColumnRenamed("test_run_db_id", "test_run_id").withColumnRenamed("test_method_id", "gen_test_method_id")
     rows = tests.join(methods, "method_id").join(before, "method_id", "left").join(after, ["method_id", "test_run_id"], "left").join(outcomes, ["gen_test_method_id", "test_run_id"], "left")
-    return rows.groupBy(*TEST_KEYS).agg(*(F.first(c).alias(c) for c in RATES)).select(*TEST_KEYS, *(_r(c) for c in RATES))
+    return rows.select(*TEST_KEYS, *(_r(c) for c in RATES))
 
 
 def coverage_category(outcome: Column, delta: Column) -> Column:
