@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Visibilities in C#, test attributes by framework (order counts: the first framework that matches wins).
-VISIBILITIES = ("public", "private", "protected", "internal")
+VISIBILITIES = {"public": "public", "private": "private", "protected": "protected", "internal": "internal", "protectedinternal": "protected internal", "privateprotected": "private protected"}
 FRAMEWORKS = {
     "NUnit": ("Test", "TestCase", "TestCaseSource", "Theory"),
-    "xUnit": ("Fact", "Theory", "InlineData", "MemberData"),
-    "MSTest": ("TestMethod", "DataTestMethod", "DataRow"),
+    "xUnit": ("Fact", "Theory"),
+    "MSTest": ("TestMethod", "DataSource"),
+    "Microsoft.VisualStudio.TestTools.UnitTesting": ("TestMethod", "DataSource"),
 }
 
 
@@ -40,7 +41,8 @@ def path_norm(path: Column, root: str = "/app/project/") -> Column:
 def visibility(modifiers: Column) -> Column:
     """The first modifier that is a visibility; ``internal`` without one."""
     clean = F.transform(modifiers, lambda m: F.lower(F.trim(m)))
-    return F.coalesce(F.get(F.filter(clean, lambda m: m.isin(*VISIBILITIES)), F.lit(0)), F.lit("internal"))
+    names = F.create_map(*(F.lit(x) for pair in VISIBILITIES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, F.get(F.filter(clean, lambda m: m.isin(*VISIBILITIES)), F.lit(0))), F.lit("internal"))
 
 
 def framework_from_usings(usings: Column, frameworks: dict[str, tuple[str, ...]] = FRAMEWORKS) -> Column:

@@ -77,7 +77,7 @@ def detect(methods: DataFrame) -> DataFrame:
     """
     rows = with_features(methods.select("class", "name", "body", "attributes")).where("f is not null")
     is_test = F.exists("attributes", lambda a: F.lower(F.regexp_extract(a, r"^\s*(\w+)", 1)) == "fact")
-    helpers = rows.where(~is_test).groupBy("name").agg(F.max_by(rules()["Unknown Test"], "body").alias("unknown")).where("not unknown").select("name")
+    helpers = rows.where(~is_test).groupBy("name").agg(F.max_by(rules()["UnknownTestSmell"], "body").alias("unknown")).where("not unknown").select("name")
     tests = rows.where(is_test).withColumn("_id", F.xxhash64("class", "name", "body"))
     called = tests.select("_id", F.explode(F.array_distinct("f.callees")).alias("name")).join(helpers, "name").groupBy("_id").agg(F.collect_set("name").alias("known"))
     judged = tests.join(called, "_id", "left")

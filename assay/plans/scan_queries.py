@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,16 +184,17 @@ _D = lambda n: f"(p_partkey % {n} = 0)"
 _ANY = " OR ".join(_D(n) for _, n in _LINES)
 _ASSERTS = f"({' + '.join(_D(n) + '::INT' for n in (3, 11, 13, 17))})"
 _RULES = {
-    "Empty Test": f"NOT ({_ANY})", "Conditional Test": _D(2), "Cyclomatic Complexity": "false", "Expected Exception": "false", "Assertion Roulette": f"{_ASSERTS} > 2", "Unknown Test": f"{_ASSERTS} = 0", "Redundant Print": _D(5), "Sleepy Test": _D(7),
-    "Ignore Test": _D(23), "Redundant Assertion": _D(3), "Duplicate Assertion": "false", "Magic Number": _D(11), "Eager Test": _D(19), "Bool In Assert Equal": _D(17), "Equal In Assert": _D(13), "Sensitive Equality": "false", "Constructor Initialization": "false", "Obscure In-Line Setup": "false",
+    "EmptyTestSmell": f"NOT ({_ANY})", "ConditionalTestSmell": _D(2), "CyclomaticComplexityTestSmell": "false", "ExpectedExceptionTestSmell": "false", "AssertionRouletteTestSmell": f"{_ASSERTS} > 2", "UnknownTestSmell": f"{_ASSERTS} = 0", "RedundantPrintTestSmell": _D(5), "SleepyTestSmell": _D(7),
+    "IgnoreTestSmell": _D(23), "RedundantAssertionTestSmell": _D(3), "DuplicateAssertionTestSmell": "false", "MagicNumberTestSmell": _D(11), "EagerTestSmell": _D(19), "BoolInAssertEqualSmell": _D(17), "EqualInAssertSmell": _D(13), "SensitiveEqualitySmell": "false", "ConstructorInitializationTestSmell": "false", "ObscureInLineSetUpSmell": "false",
 }
 _EXPECTED = " UNION ALL ".join(f"SELECT 'C' || p_partkey AS class, 'M' || p_partkey AS method, '{n}' AS smell, CASE WHEN {r} THEN 'Found' ELSE 'Not Found' END AS status FROM part" for n, r in _RULES.items())
 
 
 def _smell_key(name: str) -> str:
     """Keys of the inventory."""
-    own = {"Empty Test": "empty", "Conditional Test": "conditional", "Cyclomatic Complexity": "cyclomatic", "Ignore Test": "ignore", "Magic Number": "magic_number", "Sleepy Test": "sleepy", "Eager Test": "eager", "Unknown Test": "unknown", "Bool In Assert Equal": "bool_in_equal", "Constructor Initialization": "constructor_init", "Obscure In-Line Setup": "obscure_setup"}
-    return "smell_" + own.get(name, name.lower().replace(" ", "_"))
+    words = re.sub(r"(TestSmell|Smell)$", "", name)
+    own = {"CyclomaticComplexity": "cyclomatic", "BoolInAssertEqual": "bool_in_equal", "ConstructorInitialization": "constructor_init", "ObscureInLineSetUp": "obscure_setup"}
+    return "smell_" + own.get(words, re.sub(r"(?<=.)(?=[A-Z])", "_", words).lower())
 
 
 for _name in SMELLS:
@@ -204,4 +207,4 @@ def helper_prepass(t: Tables) -> DataFrame:
     k = C("p_partkey")
     helper = t.raw("part").select(L("C").alias("class"), _tag("H%d", k).alias("name"), F.when(k % 2 == 0, "{ Assert.True(a); }").otherwise("{ F(); }").alias("body"), F.array().cast("array<string>").alias("attributes"))
     test = t.raw("part").select(L("C").alias("class"), _tag("V%d", k).alias("name"), _tag("{ H%d(); }", k).alias("body"), F.array(L("Fact")).alias("attributes"))
-    return detect(helper.unionByName(test)).where("smell = 'Unknown Test'").select("method", "status")
+    return detect(helper.unionByName(test)).where("smell = 'UnknownTestSmell'").select("method", "status")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: The kinds of smell, in the order of their ids.
 SMELLS = (
-    "Empty Test", "Conditional Test", "Cyclomatic Complexity", "Expected Exception", "Assertion Roulette", "Unknown Test", "Redundant Print", "Sleepy Test", "Ignore Test",
-    "Redundant Assertion", "Duplicate Assertion", "Magic Number", "Eager Test", "Bool In Assert Equal", "Equal In Assert", "Sensitive Equality", "Constructor Initialization", "Obscure In-Line Setup",
+    "EmptyTestSmell", "ConditionalTestSmell", "CyclomaticComplexityTestSmell", "ExpectedExceptionTestSmell", "AssertionRouletteTestSmell", "UnknownTestSmell", "RedundantPrintTestSmell", "SleepyTestSmell", "IgnoreTestSmell",
+    "RedundantAssertionTestSmell", "DuplicateAssertionTestSmell", "MagicNumberTestSmell", "EagerTestSmell", "BoolInAssertEqualSmell", "EqualInAssertSmell", "SensitiveEqualitySmell", "ConstructorInitializationTestSmell", "ObscureInLineSetUpSmell",
 )
 
 

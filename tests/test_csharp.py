@@ -35,24 +35,24 @@ def test_local_functions_strings_and_switches():
 
 
 FOUND = {
-    "Empty Test": ("{ }", ["Fact"]),
-    "Conditional Test": ("{ if (a) { Assert.True(b); } }", ["Fact"]),
-    "Cyclomatic Complexity": ("{ " + "if (a) { F(); } " * 10 + "}", ["Fact"]),
-    "Expected Exception": ("{ F(); }", ["Fact", "ExpectedException"]),
-    "Assertion Roulette": ("{ Assert.True(a); Assert.True(b); Assert.Null(c); }", ["Fact"]),
-    "Unknown Test": ("{ F(); }", ["Fact"]),
-    "Redundant Print": ("{ Console.WriteLine(1); }", ["Fact"]),
-    "Sleepy Test": ("{ Thread.Sleep(10); }", ["Fact"]),
-    "Ignore Test": ("{ F(); }", ['Fact(Skip = "later")']),
-    "Redundant Assertion": ("{ Assert.Same(x, x); }", ["Fact"]),
-    "Duplicate Assertion": ("{ Foo.Go(); Foo.Go(); }", ["Fact"]),
-    "Magic Number": ("{ Assert.Equal(5, x); }", ["Fact"]),
-    "Eager Test": ("{ a.One(); a.Two(); }", ["Fact"]),
-    "Bool In Assert Equal": ("{ Assert.Equal(true, x); }", ["Fact"]),
-    "Equal In Assert": ("{ Assert.True(x == y); }", ["Fact"]),
-    "Sensitive Equality": ("{ Assert.Same(x.ToString(), y); }", ["Fact"]),
-    "Constructor Initialization": ("{ class A { public A() { } } }", ["Fact"]),
-    "Obscure In-Line Setup": ("{ " + " ".join(f"var v{i} = {i};" for i in range(11)) + " }", ["Fact"]),
+    "EmptyTestSmell": ("{ }", ["Fact"]),
+    "ConditionalTestSmell": ("{ if (a) { Assert.True(b); } }", ["Fact"]),
+    "CyclomaticComplexityTestSmell": ("{ " + "if (a) { F(); } " * 10 + "}", ["Fact"]),
+    "ExpectedExceptionTestSmell": ("{ F(); }", ["Fact", "ExpectedException"]),
+    "AssertionRouletteTestSmell": ("{ Assert.True(a); Assert.True(b); Assert.Null(c); }", ["Fact"]),
+    "UnknownTestSmell": ("{ F(); }", ["Fact"]),
+    "RedundantPrintTestSmell": ("{ Console.WriteLine(1); }", ["Fact"]),
+    "SleepyTestSmell": ("{ Thread.Sleep(10); }", ["Fact"]),
+    "IgnoreTestSmell": ("{ F(); }", ['Fact(Skip = "later")']),
+    "RedundantAssertionTestSmell": ("{ Assert.Same(x, x); }", ["Fact"]),
+    "DuplicateAssertionTestSmell": ("{ Foo.Go(); Foo.Go(); }", ["Fact"]),
+    "MagicNumberTestSmell": ("{ Assert.Equal(5, x); }", ["Fact"]),
+    "EagerTestSmell": ("{ a.One(); a.Two(); }", ["Fact"]),
+    "BoolInAssertEqualSmell": ("{ Assert.Equal(true, x); }", ["Fact"]),
+    "EqualInAssertSmell": ("{ Assert.True(x == y); }", ["Fact"]),
+    "SensitiveEqualitySmell": ("{ Assert.Same(x.ToString(), y); }", ["Fact"]),
+    "ConstructorInitializationTestSmell": ("{ class A { public A() { } } }", ["Fact"]),
+    "ObscureInLineSetUpSmell": ("{ " + " ".join(f"var v{i} = {i};" for i in range(11)) + " }", ["Fact"]),
 }
 CLEAN = "{ var made = Make(); Assert.Same(made, other); }"
 
@@ -72,6 +72,6 @@ def test_each_smell(judged, smell):
 
 
 def test_helpers_and_safety(judged):
-    assert judged["viaHelper", "Unknown Test"] == "Not Found"  # its helper asserts
-    assert judged["single", "Bool In Assert Equal"] == "Not Found"  # one argument is no failure
+    assert judged["viaHelper", "UnknownTestSmell"] == "Not Found"  # its helper asserts
+    assert judged["single", "BoolInAssertEqualSmell"] == "Not Found"  # one argument is no failure
     assert not [k for k in judged if k[0] in ("arrow", "checks")]
