@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.common import map_batches, written
@@ -197,6 +197,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, once each; rows without an id stay as they are."""
+    """The rows of ``docs`` whose id is the smallest of their group, once each; rows without an id stay as they are.
+
+    Of rows that repeat an id with other texts, the one whose text has the smallest hash stays.
+    """
     kept = grouped(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    once = docs.join(kept, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from assay.llm.common import map_batches, written
 
@@ -312,9 +313,7 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with their texts cut (n_chars follows, where there is such a column). Texts that lose nothing stay as they are."""
-    from pyspark.sql.types import StructType
-
-    names, spark = docs.columns, docs.sparkSession
+    names = docs.columns
     place = names.index("text")
 
     def add_sha(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -322,7 +321,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.binary())], names=[*names, "_sha"])
 
     cut = deduplicate(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), F.coalesce("kept", F.lit("")).alias("_kept")).distinct()
-    keyed = map_batches(docs, add_sha, StructType([*docs.schema.fields, *spark.createDataFrame([], "_sha binary").schema.fields]))
+    keyed = map_batches(docs, add_sha, StructType([*docs.schema.fields, StructField("_sha", BinaryType())]))
     joined = keyed.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_of")), "left")
     text = F.coalesce("_kept", "text")
     new = {"text": text} | ({"n_chars": F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), "n_chars")} if "n_chars" in names else {})
