@@ -2,8 +2,9 @@
 
 A fingerprint is made of the XXH64 values of a text's shingles of four words. Fingerprints
 within ``RADIUS`` differing bits are linked, and linked ones form groups. Of the 64 bits cut
-into RADIUS + 1 bands, two linked fingerprints agree in one band at least, so that fingerprints
-which share a band's value form a shard, and every link lies within a shard. Each shard has
+into RADIUS + 1 bands, two linked fingerprints agree in one band at least (of more bands, in
+more): fingerprints that agree in so many bands form a shard, and every link lies within a shard.
+There are more bands where there are more fingerprints, so that shards stay small. Each shard has
 a BK-tree (children keyed by their Hamming distance to the parent), held only by the task that
 searches it and followed only along edges within the radius: a tree's size has a bound
 (``SHARD``), and a larger shard is dealt out as trees over pairs of its blocks. Of the links in a
@@ -17,6 +18,7 @@ a group's smallest id, and a group without an id has component_id null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from assay.llm.common import map_batches, written
 from assay.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Fingerprints in one BK-tree at most; a shard of more becomes trees over pairs of blocks.
-SHARD = 40_000
+#: Fingerprints in one BK-tree at most; a shard of more becomes trees over pairs of blocks. Even share of a shard that more bands keep to.
+SHARD, EVEN = 40_000, 4_096
 
 
 def fingerprint(text: str | None) -> int:
@@ -164,27 +166,38 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Distinct ``fp`` -> (u, v): a spanning forest of each shard's links."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("fp", 64 - b), 64 - b + a).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
-    rows = fps.select("fp", F.explode(bands).alias("s")).select("fp", "s.band", "s.value")
-    large = rows.groupBy("band", "value").count().where(F.col("count") > shard).select("band", "value", F.ceil(F.col("count") / (shard // 2)).cast("int").alias("blocks"))
+def bands_for(n: int, radius: int = RADIUS) -> int:
+    """Bands for n distinct fingerprints: as few as keep an even share of them in a shard under ``EVEN``."""
+    bands = radius + 1
+    while n > EVEN * 2 ** (64 * (bands - radius) // bands) and bands < 3 * (radius + 1):
+        bands += 1
+    return bands
+
+
+def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, bands: int = RADIUS + 1) -> DataFrame:
+    """Distinct ``fp`` -> (u, v): a spanning forest of each shard's links.
+
+    Of ``bands`` bands, two linked fingerprints agree in all but ``radius`` at least: each choice of so many makes a shard key.
+    """
+    cuts = [round(64 * i / bands) for i in range(bands + 1)]
+    values = [F.shiftrightunsigned(F.shiftleft("fp", 64 - b), 64 - b + a) for a, b in zip(cuts, cuts[1:])]
+    keys = F.array(*(F.xxhash64(F.lit(i), *chosen) for i, chosen in enumerate(combinations(values, bands - radius))))
+    rows = fps.select("fp", F.explode(keys).alias("shard"))  # shards whose hashes are equal share a tree
+    large = rows.groupBy("shard").count().where(F.col("count") > shard).select("shard", F.ceil(F.col("count") / max(1, shard // 2)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own).cast("long") * F.col("blocks") + F.greatest(j, own))
-    dealt = rows.join(large, ["band", "value"], "left").select("fp", "band", "value", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs)).alias("part"))
-    keyed = dealt.select(F.xxhash64("band", "value", "part").alias("shard"), "fp")  # shards that share a hash only share a tree
-    spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    part = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs)).alias("part")
+    keyed = rows.join(large, "shard", "left").select("fp", "shard", part).select(F.xxhash64("shard", "part").alias("shard"), "fp")
+    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links_of_sorted, "u long, v long")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs``."""
     fps = written(fingerprints(docs), "fingerprints")
-    found = written(links(fps.select("fp").distinct()), "links")
+    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
+    found = written(links(first.select("fp"), bands=bands_for(first.count())), "links")
     roots = connected_components(found)
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     classes = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     of = written(classes.join(least, "root").select("fp", "component_id"), "classes")

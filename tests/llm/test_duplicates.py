@@ -52,11 +52,15 @@ def test_tree():
     assert [tree.find(i) for i in range(len(values))] == groups_of(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 4)
 
 
-@pytest.mark.parametrize("shard", [40_000, 6])
-def test_links_and_components(spark, shard):
+def test_bands():
+    assert [simhash.bands_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [5, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize(("shard", "bands"), [(40_000, 5), (6, 5), (40_000, 6), (3, 7)])
+def test_links_and_components(spark, shard, bands):
     values = clusters(2)
     df = spark.createDataFrame([(v,) for v in signed(values)], "fp long")
-    root = {r.node: r.root for r in connected_components(simhash.links(df, shard=shard)).collect()}
+    root = {r.node: r.root for r in connected_components(simhash.links(df, shard=shard, bands=bands)).collect()}
     mine, theirs = defaultdict(set), defaultdict(set)
     for i, (v, g) in enumerate(zip(signed(values), groups_of(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 4))):
         mine[root.get(v, v)].add(i)
