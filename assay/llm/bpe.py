@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import map_batches, offsets
+from assay.llm.common import cache_of, map_batches, offsets
 
 #: Unicode's White_Space characters as a character class body.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -37,7 +37,7 @@ PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 LATIN = re.compile(f"[{SPACE}]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\\[-`{{-~{SPACE}]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 #: Bounds of what a worker remembers.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 400_000, 400_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 300_000, 300_000
 #: Transitions deeper in a word than this are rarely met again and are not kept.
 KEEP_DEPTH = 5
 
@@ -274,6 +274,16 @@ class Codec:
         return "".join(out)
 
 
+def _forget() -> None:
+    if Codec._built:
+        Codec._built.clear()
+        gc.set_threshold(2_000, 10, 10)
+        gc.collect()
+
+
+cache_of("bpe", _forget)
+
+
 class Utf8:
     """Incremental UTF-8: a state is the bytes of an unfinished character (three at most)."""
 
@@ -333,7 +343,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets([len(r) for r in rows]), pa.array(flat))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), fn, f"`{id_col}` {kind}, ids array<int>")
+    return map_batches(docs.select(id_col, text_col), fn, f"`{id_col}` {kind}, ids array<int>", "bpe")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -345,7 +355,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return map_batches(encoded.select(id_col, "ids"), fn, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return map_batches(encoded.select(id_col, "ids"), fn, f"`{id_col}` {kind}, ids array<int>, decoded string", "bpe")
 
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -18,15 +18,31 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 512
 
 
+#: What a Python worker remembers for an operator, and how to forget it.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cache_of(owner: str, forget: Callable[[], None]) -> None:
+    _CACHES[owner] = forget
+
+
+def claim(owner: str | None = None) -> None:
+    """A worker that turns to another operator forgets what it kept for the last one."""
+    for name, forget in _CACHES.items():
+        if name != owner:
+            forget()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches. It may return None for nothing; an empty frame gives an empty frame."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, owner: str | None = None) -> DataFrame:
+    """``fn`` over Arrow batches. It may return None for nothing; an empty frame gives an empty frame. ``owner``: whose cache ``fn`` uses."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import map_batches
+from assay.llm.common import claim, map_batches
 
 #: Texts of each language that the model is fitted on, about; buckets that trigrams hash into.
 SAMPLE, BUCKETS = 2_000, 1 << 15
@@ -118,6 +118,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     part = F.create_map(*(F.lit(v) for x in languages for v in (x, min(1.0, sample / counts[x]))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         got: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

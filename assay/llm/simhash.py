@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import map_batches, written
+from assay.llm.common import claim, map_batches, written
 from assay.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -136,6 +136,7 @@ class BKTree:
 
 def _links_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links in each run of equal shards; a run may go over several batches."""
+    claim()
     rest_keys, rest_values = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def links(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:

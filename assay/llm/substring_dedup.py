@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from assay.llm.common import map_batches, written
+from assay.llm.common import cache_of, claim, map_batches, written
 
 WINDOW, GRAM = 50, 8
 SHARD_WORDS, HOT, LONGEST_RUN = 300_000, 20_000, 256
@@ -41,13 +41,14 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 7)
         return h
 
 
 _HASHES = WordHashes()
+cache_of("substrings", _HASHES.clear)
 
 
 def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int, int]]:
@@ -185,6 +186,7 @@ def shard_owners(regions: list[str], owners: list[int], window: int = WINDOW) ->
 
 def _match(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         keys: list[int] = []
         marks: list[int] = []
         regions: list[str] = []
@@ -233,7 +235,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
         return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(shas, pa.binary()), pa.array(rows, kind)], names=["doc_id", "n_words", "sha", "anchors"])
 
     texts = docs.select("doc_id", "text")
-    every = written(map_batches(texts, summary, "doc_id long, n_words long, sha binary, anchors array<struct<a:long,p:int,q:int>>"), "anchors")
+    every = written(map_batches(texts, summary, "doc_id long, n_words long, sha binary, anchors array<struct<a:long,p:int,q:int>>", "substrings"), "anchors")
     long = every.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = written(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.min_by("anchors", "doc_id").alias("anchors")), "first")
     seen = first.select(F.col("first").alias("doc_id"), "sha", F.explode("anchors").alias("x")).select("doc_id", "sha", "x.*")

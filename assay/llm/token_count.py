@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.bpe import MAX_PIECES, PIECE, SPACE
-from assay.llm.common import map_batches
+from assay.llm.common import cache_of, map_batches
 
 STABLE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
@@ -94,6 +94,9 @@ class Counter:
         return self.pieces(text) if len(text) <= chunk else self.overlapped(text, chunk, overlap)
 
 
+cache_of("token_count", Counter._built.clear)
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65_536, overlap: int = 512) -> DataFrame:
     """One row per document: the id, n_bytes long (UTF-8) and n_tokens long."""
 
@@ -106,7 +109,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), fn, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return map_batches(docs.select(id_col, text_col), fn, f"`{id_col}` {kind}, n_bytes long, n_tokens long", "token_count")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
