@@ -31,6 +31,7 @@ def claim(owner: str | None = None) -> None:
     for name, forget in _CACHES.items():
         if name != owner:
             forget()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
