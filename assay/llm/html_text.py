@@ -4,9 +4,10 @@ A page is cut into blocks at block-level tags. Parts that the markup itself name
 headers, footers, sidebars, notices, adverts, forms, comments and the like are left out. First pass: a
 block is bad with many link characters; long blocks are good or bad by their density of stop
 words; short ones stay ambiguous. Second pass: an ambiguous block takes the label of its nearest
-decided neighbours; where the two differ, it counts as bad unless the good one is nearer. Where
-a page marks its article (``article`` or ``main``), blocks in it are good unless made of links,
-and the rest of the page is left out.
+decided neighbours; where the two differ, it counts as bad unless the good one is nearer. The
+page's own mark of its article (``article`` or ``main``) is a feature of both: a long block in it
+with few stop words is ambiguous, not bad, and between neighbours that differ at the same distance,
+or with none that is decided, a block in it is good. Blocks outside are judged like any other.
 
 Null and empty pages give an empty text. Malformed markup is read as far as it goes; repeated
 rows each give a row.
@@ -177,23 +178,26 @@ def first_pass(block: Block) -> bool | None:
     if size < SHORT:
         return None
     density = stop_density(block.text)
-    return True if density >= STOP_HIGH or (density >= STOP_LOW and size > 2 * SHORT) else None if density >= STOP_LOW else False
+    return True if density >= STOP_HIGH or (density >= STOP_LOW and size > 2 * SHORT) else None if density >= STOP_LOW or block.inside else False
 
 
-def second_pass(labels: list[bool | None]) -> list[bool]:
-    """Ambiguous blocks take after their nearest decided neighbours; without any, they are bad."""
+def second_pass(labels: list[bool | None], inside: list[bool] | None = None) -> list[bool]:
+    """Ambiguous blocks take after their nearest decided neighbours; in a draw or without any, they are bad unless ``inside``."""
     n = len(labels)
+    inside = inside or [False] * n
     before, after = [(n, False)] * n, [(n, False)] * n
     for i in range(n):
         before[i] = (0, labels[i]) if labels[i] is not None else (before[i - 1][0] + 1, before[i - 1][1]) if i else (n, False)
     for i in range(n - 1, -1, -1):
         after[i] = (0, labels[i]) if labels[i] is not None else (after[i + 1][0] + 1, after[i + 1][1]) if i < n - 1 else (n, False)
     out = []
-    for x, b, a in zip(labels, before, after):
+    for x, b, a, own in zip(labels, before, after, inside):
         if x is not None:
             out.append(x)
+        elif min(b[0], a[0]) >= n or (b[0] == a[0] and b[1] != a[1]):
+            out.append(own)
         elif b[0] == a[0]:
-            out.append(b[1] and a[1])
+            out.append(b[1])
         else:
             out.append((b if b[0] < a[0] else a)[1])
     return out
@@ -201,12 +205,8 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    if any(b.inside for b in blocks):
-        kept = [b for b in blocks if b.inside and b.links <= MAX_LINKS * len(b.text.replace(" ", ""))]
-    else:
-        labels = second_pass([first_pass(b) for b in blocks])
-        kept = [b for b, good in zip(blocks, labels) if good]
-    return "\n\n".join(b.text for b in kept)
+    labels = second_pass([first_pass(b) for b in blocks], [b.inside for b in blocks])
+    return "\n\n".join(b.text for b, good in zip(blocks, labels) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -126,6 +126,20 @@ def test_two_passes():
     assert html_text.second_pass([None, None]) == [False, False] and html_text.second_pass([]) == []
 
 
+def test_article_is_one_feature():
+    long = "This is the text of a page that is as long as it has to be for us, and it goes on with the words of a language. " * 2
+    rare = "Quartz basalt gneiss; feldspar mica, olivine pyroxene: hornblende granite, obsidian pumice; rhyolite dacite andesite."
+    story = "\n\n".join([long.strip(), "Short one.", long.strip()])
+    teaser = "<a href=x>Another story of the day</a>"
+    page = f"<body><article><h2>{teaser}</h2></article><div><p>{long}<p>Short one.<p>{long}</div><p>{rare}</body>"
+    assert html_text.main_text(page) == story
+    assert html_text.main_text(page.replace("article", "main")) == story
+    assert html_text.main_text(f"<article><p>{teaser}<h1>Title</h1><p>{long}<p>{rare}<p>{long}</article>") == "\n\n".join(["Title", long.strip(), rare, long.strip()])
+    assert html_text.main_text(f"<article><p>{teaser}<p>Share it<p>{teaser}<p>{long}</article>") == long.strip()
+    assert html_text.second_pass([False, None, True], [False, True, False]) == [False, True, True]
+    assert html_text.second_pass([None, None], [True, False]) == [True, False]
+
+
 def test_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<article>a < b &lt;&bogus; <p>" + "x " * 50_000), (4, "u", ARTICLE), (5, "u", "<article></p>a</b>b<td>c</article>")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, text int")
