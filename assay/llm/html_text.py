@@ -1,7 +1,11 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Parts that the markup itself names as menus,
-headers, footers, sidebars, notices, adverts, forms, comments and the like are left out. First pass: a
+A page is cut into blocks at block-level tags. Parts that their tag or role marks as menus, headers,
+footers and the like are left out. So are forms and parts named (by class or id) as sidebars, notices,
+adverts, comments and the like, but names also stand on wrappers: a part with more than half of the
+page's good text stays, and where the others together hold more than half of it, only those of them
+go in which the block rules find no more good text than bad. (Text of the article that isn't bad counts
+as good here, and up to 140 characters in named parts outside of it as nothing.) First pass: a
 block is bad with many link characters; long blocks are good or bad by their density of stop
 words; short ones stay ambiguous. Second pass: an ambiguous block takes the label of its nearest
 decided neighbours; where the two differ, it counts as bad unless the good one is nearer. The
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,7 +44,7 @@ _BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OUT = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg math object canvas audio video dialog menu title".split())
+_OUT = frozenset("head nav footer aside script style noscript template iframe button select textarea svg math object canvas audio video dialog menu title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|sidebar|widgets?|menus?|nav|navbar|navigation"
@@ -62,6 +67,7 @@ class Block:
     text: str
     links: int
     inside: bool
+    parts: tuple[int, ...] = ()  # named parts around it, by number
 
 
 def _left_out(tag: str, attributes: str, inside: bool) -> bool:
@@ -77,40 +83,48 @@ def _left_out(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NAMES.search(_CAMEL.sub("-", value).lower()):
-            return True
     return False
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether it is a form, or its class or id names a part that isn't main text."""
+    if tag == "form":
+        return True
+    if tag in ("html", "body", "article", "main") or not attributes.strip():
+        return False
+    return any(m[1].lower() in ("class", "id") and _NAMES.search(_CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower()) for m in _ATTRIBUTE.finditer(attributes))
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, without the parts that are left out by their markup."""
+    """Blocks of text in page order, without what is left out by its tag or role, and inline text by its name."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, in an article
+    stack: list[tuple[str, bool, bool, tuple[int, ...], bool]] = []  # tag, left out, in an article, named parts, in a named inline element
     parts: list[str] = []
-    links = breaks = anchors = 0
-    inside = skipped = False
+    links = breaks = anchors = n_named = 0
+    inside = skipped = quiet = False
+    named: tuple[int, ...] = ()
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, links, inside))
+                out.append(Block(text, links, inside, named))
             parts.clear()
         links = 0
 
     def close(to: int) -> None:
-        nonlocal inside, skipped, anchors
-        if any(t in _BLOCK for t, _, _ in stack[to:]):
+        nonlocal inside, skipped, named, quiet, anchors
+        if any(x[0] in _BLOCK for x in stack[to:]):
             flush()
-        anchors -= sum(t == "a" for t, _, _ in stack[to:])
+        anchors -= sum(x[0] == "a" for x in stack[to:])
         del stack[to:]
-        skipped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, skipped, inside, named, quiet = stack[-1] if stack else ("", False, False, (), False)
 
     for m in _TOKEN.finditer(page):
         text, tag = m[5], m[3]
         if text is not None:
-            if not skipped:
+            if not (skipped or quiet):
                 text = entities.unescape(text) if "&" in text else text
                 if breaks > 1 and text.strip():
                     flush()
@@ -121,12 +135,12 @@ def blocks_of(page: str) -> list[Block]:
                     links += len("".join(text.split()))
             continue
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not skipped:
+            if m[0].startswith("<![CDATA[") and not (skipped or quiet):
                 parts.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[2]:
-            if tag == "p" and not any(t == "p" for t, _, _ in stack):
+            if tag == "p" and not any(x[0] == "p" for x in stack):
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -158,8 +172,14 @@ def blocks_of(page: str) -> list[Block]:
             breaks = 0
         if tag in _VOID or m[4].endswith("/") and tag not in _BLOCK:
             continue
-        stack.append((tag, skipped or _left_out(tag, m[4], inside), inside or tag in ("article", "main")))
-        skipped, inside = stack[-1][1], stack[-1][2]
+        out_now = skipped or _left_out(tag, m[4], inside)
+        if not out_now and _named(tag, m[4]):
+            n_named += 1
+            named, quiet = (*named, n_named), tag not in _BLOCK
+        elif tag in _BLOCK:
+            quiet = False
+        skipped, inside = out_now, inside or tag in ("article", "main")
+        stack.append((tag, skipped, inside, named, quiet))
         anchors += tag == "a"
     flush()
     return out
@@ -203,8 +223,29 @@ def second_pass(labels: list[bool | None], inside: list[bool] | None = None) ->
     return out
 
 
+def without_named(blocks: list[Block]) -> list[Block]:
+    """``blocks`` without named parts; of parts that hold most of the good text, only those go that the block rules find mostly bad."""
+    if not any(b.parts for b in blocks):
+        return blocks
+    labels = [first_pass(b) for b in blocks]
+    good = [len(b.text) * (x is True or b.inside and x is not False) for b, x in zip(blocks, labels)]
+    loose = [bool(b.parts) and not b.inside for b in blocks]
+    if sum(g for g, out in zip(good, loose) if out) <= 2 * SHORT:  # no more than a notice
+        good = [0 if out else g for g, out in zip(good, loose)]
+    main, kept, size = Counter(), Counter(), Counter()
+    for b, g, x in zip(blocks, good, second_pass(labels, [b.inside for b in blocks])):
+        for part in b.parts:
+            main[part] += g
+            kept[part] += len(b.text) * x
+            size[part] += len(b.text)
+    gone = {part for part in size if 2 * main[part] <= sum(good)}
+    if 2 * sum(g for b, g in zip(blocks, good) if not gone.isdisjoint(b.parts)) > sum(good):
+        gone = {part for part in gone if 2 * kept[part] <= size[part]}
+    return [b for b in blocks if gone.isdisjoint(b.parts)]
+
+
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    blocks = without_named(blocks_of(page or ""))
     labels = second_pass([first_pass(b) for b in blocks], [b.inside for b in blocks])
     return "\n\n".join(b.text for b, good in zip(blocks, labels) if good)
 

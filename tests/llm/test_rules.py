@@ -140,6 +140,23 @@ def test_article_is_one_feature():
     assert html_text.second_pass([None, None], [True, False]) == [True, False]
 
 
+def test_names_of_wrappers():
+    long = "This is the text of a page that is as long as it has to be for us, and it goes on with the words of a language. " * 2
+    story = f"<h1>Title</h1><p>{long}<p>Short one.<p>{long}"
+    want = "\n\n".join(["Title", long.strip(), "Short one.", long.strip()])
+    notice = "<div class=cookie-notice>We use cookies and the data that is in them for you and for the others that we work with on it.</div>"
+    aside = "<div class=sidebar><a href=x>More of it</a> <a href=y>And of that</a></div>"
+    for name in ("has-sidebar", "no-sidebar", "content with-sidebar", "post share-enabled"):
+        assert html_text.main_text(f"<body><div class='{name}'>{aside}{story}{notice}</div>") == want, name
+        assert html_text.main_text(f"<body><div id='{name}'>{aside}<article>{story}</article></div>") == want, name
+        assert html_text.main_text(f"<body><span class='{name}'><div>{story}</div></span>") == want, name
+        assert html_text.main_text(f"<div class='{name}'><article><h1>Title</h1><p>Short one.</article></div>") == "Title\n\nShort one.", name
+    assert html_text.main_text(f"<body><form>{story}<input><button>Send</button></form>") == want
+    assert html_text.main_text("<body>" + "".join(f"<div class=x-widget>{x}</div>" for x in ("<h1>Title</h1>", f"<p>{long}", "<p>Short one.", f"<p>{long}"))) == want
+    assert html_text.main_text(f"<body>{notice}{story}<div id=comments><p>{long}</div><form><p>{long[:100]}</form>{aside}") == want
+    assert html_text.main_text(f"<p>It is <b class=share>Share</b> of it. {long}") == f"It is of it. {long.strip()}"
+
+
 def test_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<article>a < b &lt;&bogus; <p>" + "x " * 50_000), (4, "u", ARTICLE), (5, "u", "<article></p>a</b>b<td>c</article>")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, text int")
