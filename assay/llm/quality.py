@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from operator import mul
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from assay.llm.common import map_batches
 
 #: Bounds of the sample that the field is fitted on: labelled documents, and lines of them.
 SAMPLE, SAMPLE_LINES = 1_500, 60_000
+#: Lines of a document in it: as many as its share of SAMPLE_LINES, within these, in runs of RUN lines chosen by a hash.
+LEAST_LINES, MOST_LINES, RUN = SAMPLE_LINES // SAMPLE, 1_000, 20
 #: Fixed values of the base rules.
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -166,19 +169,37 @@ def fit_lines(texts: list[tuple[bool, list[tuple[float, ...]]]]) -> LineField:
     return LineField(tuple(w[:-1].tolist()), float(np.clip(2 * w[-1], 0.0, 1.0)))
 
 
+def some_lines(doc_id: object, lines: list, most: int) -> list[list]:
+    """All lines, or as many as ``most`` in runs that follow each other in the text, chosen by a hash of the id and place."""
+    if len(lines) <= most:
+        return [lines]
+    out, left = [], most
+    for i in sorted(range(0, len(lines), RUN), key=lambda i: (crc32(f"{doc_id}:{i}".encode()), i)):
+        out.append(lines[i : i + min(RUN, left)])
+        left -= len(out[-1])
+        if not left:
+            break
+    return out
+
+
 def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
-    """Fit on at most ``sample`` labelled documents, chosen by a hash of their id. Only line features reach the driver."""
-    chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    """Fit on at most ``sample`` labelled documents and SAMPLE_LINES lines, chosen by hashes of their ids. Only line features reach the driver."""
+    chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).collect()
+    most = min(MOST_LINES, max(LEAST_LINES, SAMPLE_LINES // max(1, len(chosen))))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [[list(f) for f in lines_of(t or "")[0]] for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.list_(pa.float64())))], names=["quality", "lines"])
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+        ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        rows = [[[list(f) for f in run] for run in some_lines(i, lines_of(t or "")[0], most)] for i, t in zip(ids, texts)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(rows, pa.list_(pa.list_(pa.list_(pa.float64()))))], names=["doc_id", "quality", "hash", "runs"])
+
+    few = docs.sparkSession.createDataFrame(chosen, labels.select("doc_id", "quality").schema)  # SAMPLE rows at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("hash"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    lines = map_batches(texts, fn, f"doc_id {kind}, quality {texts.schema['quality'].dataType.simpleString()}, hash long, runs array<array<array<double>>>")
     got, total = [], 0
-    for row in map_batches(texts, fn, "quality int, lines array<array<double>>").toLocalIterator():
-        got.append((row.quality > 0, [tuple(x) for x in row.lines]))
-        total += len(row.lines)
+    for row in lines.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "hash").limit(sample).toLocalIterator():
+        got += [(row.quality > 0, [tuple(x) for x in run]) for run in row.runs]
+        total += sum(map(len, row.runs))
         if total >= SAMPLE_LINES:
             break
     return fit_lines(got)

@@ -69,6 +69,18 @@ def test_without_labels():
     assert quality.fit_lines([(True, [(1.0,) * len(quality.FEATURES)])]).agree == quality.PRIOR[-1]
 
 
+def test_sample_of_lines(spark):
+    """One long document doesn't end the sample, and the order of the rows doesn't matter."""
+    docs = [(0, "\n".join(f"HOME {i} | !!" for i in range(70_000)))]
+    docs += [(i, f"This is a line of the text number {i}.\nIt goes on here." if i % 2 else "HOME | !! ##\nBUY $$$ NOW") for i in range(1, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    one = quality.fit_field(spark.createDataFrame(docs, "doc_id long, text string").repartition(1), labels)
+    other = quality.fit_field(spark.createDataFrame(docs[::-1], "doc_id long, text string").repartition(5), labels)
+    assert one == other and one.weights != quality.PRIOR[:-1]
+    runs = quality.some_lines(7, list(range(1_000)), 50)
+    assert sum(map(len, runs)) == 50 and all(b == a + 1 for r in runs for a, b in zip(r, r[1:])) and quality.some_lines(7, [1, 2], 50) == [[1, 2]]
+
+
 @needs_tables
 def test_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
