@@ -52,14 +52,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``fp``, the fingerprint's bits as a (signed) long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """id and ``fp``, the fingerprint's bits as a (signed) long; columns of ``more`` come along."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=[id_col, "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64)), *batch.columns[2:]], names=[id_col, "fp", *more])
 
-    return map_batches(docs.select(id_col, text_col), fn, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *more)}
+    return map_batches(docs.select(id_col, text_col, *more), fn, ", ".join([f"`{id_col}` {kinds[id_col]}", "fp long", *(f"`{c}` {kinds[c]}" for c in more)]))
 
 
 class BKTree:
@@ -193,9 +194,9 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, bands: int =
     return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links_of_sorted, "u long, v long")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row of ``docs``."""
-    fps = written(fingerprints(docs), "fingerprints")
+def grouped(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id and the columns of ``more`` of every row of ``docs``."""
+    fps = written(fingerprints(docs, more=more), "fingerprints")
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
     found = written(links(first.select("fp"), bands=bands_for(first.count())), "links")
     roots = connected_components(found)
@@ -213,9 +214,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group, once each; rows without an id stay as they are.
 
-    Of rows that repeat an id with other texts, the one whose text has the smallest hash stays.
+    Of rows that repeat an id with other texts, the one whose text has the smallest hash stays, among those
+    whose own group has that id: a row in another group's stead would leave its own group twice and that one gone.
     """
-    kept = grouped(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    hashed = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
+    kept = grouped(hashed, ("_hash",)).where("doc_id = component_id").groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = hashed.join(kept, ["doc_id", "_hash"], "left_semi").withColumn("_place", place).where("_place = 1")
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))

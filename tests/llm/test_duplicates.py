@@ -182,3 +182,12 @@ def test_repeated_ids(spark):
     assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 3, None, None]
     cut = sorted((tuple(r) for r in substring_dedup.without_repeats(df).collect()), key=str)
     assert cut == sorted([(1, text("a")), (1, text("b")), (1, text("a")), (2, ""), (3, text("c")), (None, text("c")), (None, text("c"))], key=str)
+
+
+def test_repeated_ids_of_other_groups(spark):
+    """The row that stays for an id is one of the group that the id stands for."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    for k in range(8):  # some of the hashes put the other group's text first
+        rows = [(1, text("a")), (2, text("a")), (2, text(f"b{k}")), (3, text(f"b{k}"))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(tuple(r) for r in simhash.one_of_each(df).collect()) == [(1, text("a")), (2, text(f"b{k}"))]
