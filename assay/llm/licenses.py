@@ -26,18 +26,25 @@ SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-4
 
 #: Notices of public licenses.
 TEMPLATES = {
+    "agpl-header": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "boost-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc0-1.0": "waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "made available under the terms of the Eclipse Public License 2.0",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "isc": "and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-header": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 KEY_WORDS = ("license", "licensed", "software", "redistribution", "redistribute", "modification", "permitted", "permission", "copyright")
 

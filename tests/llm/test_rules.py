@@ -197,6 +197,20 @@ def test_license_edges(spark):
         assert licenses.bands_needed(len(licenses.template_words(text))) < 40, name
 
 
+def test_licenses_by_their_own_name(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3"
+    texts = {
+        "gpl-header": gpl.format(""), "lgpl-header": gpl.format("Lesser "), "agpl-header": gpl.format("Affero "), "cc-by-4.0-short": "All of it is licensed under CC BY 4.0 here.",
+        "cc0-1.0": "To the extent possible under law, A. B. has waived all copyright and related or neighboring rights to this work.", "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+    }
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append((r.containment, r.license))
+    assert [max(found[i])[1] for i in range(len(texts))] == list(texts) and [name for _, name in found[0]] == ["gpl-header"]
+
+
 # --- mixing
 
 @needs_tables
