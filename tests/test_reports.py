@@ -1,8 +1,14 @@
 """Parsers over small documents, and the writes."""
 
+import os
+
+import pytest
+
 from assay.sources import reports as P
 from assay.sources import sinks
 
+SF = "/root/testdata/sf0.001"
+
 
 def files(spark, *contents):
     return spark.createDataFrame([(f"f{i}", c) for i, c in enumerate(contents)], "path string, content string")
@@ -89,3 +95,16 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "src" / "deep").mkdir(parents=True)
     (tmp_path / "src" / "deep" / "a.sln").write_text("é")
     assert [r.content for r in P.read_files(spark, f"{tmp_path}/src", "*.sln").collect()] == ["é"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_csv_reports_are_written(spark, monkeypatch):
+    from assay.plans import registry
+
+    written, append_csv = [], sinks.append_csv
+    monkeypatch.setattr(sinks, "append_csv", lambda df, path: (written.append(path), append_csv(df, path)))
+    nations = spark.read.parquet(f"{SF}/nation.parquet").collect()
+    got = {name: sorted(tuple(r) for r in registry.queries()[name](spark, SF).collect()) for name in ("csv_validation", "csv_windows")}
+    assert got["csv_validation"] == sorted((r.n_name, r.n_regionkey < 2, r.n_nationkey % 2 == 0) for r in nations)
+    assert got["csv_windows"] == sorted((r.n_name, r.n_regionkey == 3) for r in nations)
+    assert len(written) == 4 and len(set(written)) == 2
