@@ -1,12 +1,15 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decoding.
 
 Encoding. A vocabulary with merge ranks becomes a transducer over bytes. Its nondeterministic
-configurations are (last finished token, trie node of the token being read, tokens not yet
-emitted). A configuration survives the end of a token only where the pair (last, new) is one
-that the merges themselves leave apart; exactly one token sequence of a word passes, the one
-that merging by rank gives. Sets of configurations are determinised on demand: a transition is
-worked out when a text first needs it and then looked up. A token is emitted as soon as all
-live configurations agree on it, so the lookahead is bounded by the longest vocabulary entry.
+configurations are (last finished token, token being read, tokens not yet emitted). A configuration
+survives the end of a token only where the pair (last, new) is one that the merges themselves leave
+apart; exactly one token sequence of each prefix of a word passes, the one that merging by rank
+gives. So the set of live configurations is given by the longest suffix read that begins a token (its
+suffixes are the tokens being read) and by the last token of each prefix that one of them begins
+after. These sets are determinised on demand: a transition, and the verdict on a pair, is worked out when a
+text first needs it and then looked up. A token is certain as soon as all live configurations agree on
+it, so the lookahead is bounded by the longest vocabulary entry; of words up to ``LOOK`` bytes it is
+emitted at the word's end at the latest.
 
 Decoding joins token bytes through an incremental UTF-8 state machine, so that a character
 may be split over tokens; malformed bytes become U+FFFD.
@@ -19,13 +22,15 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import re
+import sys
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from assay.llm.common import cache_of, map_batches, offsets
 
@@ -36,10 +41,12 @@ PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: The same, cut also between a Latin letter and ASCII punctuation, where a match always ends too (but special tokens may go on).
 LATIN = re.compile(f"[{SPACE}]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\\[-`{{-~{SPACE}]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-#: Bounds of what a worker remembers.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 300_000, 300_000
-#: Transitions deeper in a word than this are rarely met again and are not kept.
-KEEP_DEPTH = 5
+#: Bounds of what a worker remembers; the second is a power of two.
+MAX_PIECES, MAX_PAIRS = 300_000, 1 << 20
+#: Longer words are read by themselves, so many bytes at a time. Words read side by side at most. Characters whose pieces are looked up together.
+LOOK, MAX_WORDS, GROUP = 64, 20_000, 1_000_000
+#: Tokens that the decoder takes at a time.
+FEED = 4096
 
 
 def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[int]:
@@ -60,168 +67,232 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int | None = Non
 
 
 class Transducer:
-    """Encodes words (pre-tokens); see the module's text."""
+    """Encodes words (pre-tokens); see the module's text.
+
+    After some bytes of a word, ``lasts`` holds the token that ends at each position from the one up to
+    which tokens have been emitted (-1: the word's start), and ``node`` the longest suffix of the bytes that
+    begins a token; its own suffixes are the tokens being read. Words are read side by side, a byte of
+    each at a time, so that a step is a look into arrays; long ones by themselves.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {v: k for k, v in ranks.items()}
-        # The trie: (node, byte) -> (node, token that ends there or -1, whether the trie goes on).
-        node_of = {b"": 0}
+        self.node_of = {b"": 0}
         for word in ranks:
             for i in range(1, len(word) + 1):
-                node_of.setdefault(word[:i], len(node_of))
-        inner = {node_of[prefix[:-1]] for prefix in node_of if prefix}
-        self.edges = {node_of[p[:-1]] << 8 | p[-1]: (to, ranks.get(p, -1), to in inner) for p, to in node_of.items() if p}
-        self.apart: dict[int, bool] = {}
-        self.halves = {rank: self.last_merge(word) for word, rank in ranks.items() if len(word) > 1}
-        self.reset()
+                self.node_of.setdefault(word[:i], len(self.node_of))
+        self.path = list(self.node_of)
+        self.inner = {path[:-1] for path in self.path if path}
+        size = max(ranks.values()) + 1
+        #: Of each token: its bytes, the two tokens that merging joins last to make it (-1: it isn't made by merging), the longest token that ends it.
+        self.length, self.left, self.right, self.shorter = (np.full(size, -1, np.int32) for _ in range(4))
+        for word, rank in ranks.items():
+            self.length[rank] = len(word)
+            self.left[rank], self.right[rank] = self.last_merge(word)
+            self.shorter[rank] = self.token_at_end(word[1:])
+        #: Of each node, the longest token that ends there.
+        self.longest = np.array([self.token_at_end(path) for path in self.path], np.int32)
+        joined = sorted((ranks[w[:i]] << 32 | ranks[w[i:]], rank) for w, rank in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks)
+        self.joined = np.array([key for key, _ in joined], np.int64)
+        self.joined_rank = np.array([rank for _, rank in joined], np.int64)
+        #: Filled on demand: the transitions (0: not known; memory is taken as it is filled), and verdicts on pairs of tokens.
+        self.next = np.zeros((len(self.path), 256), np.int32)
+        self.verdicts = np.full(MAX_PAIRS, -1, np.int64)
 
     def last_merge(self, word: bytes) -> tuple[int, int]:
         """The two tokens that merging joins last to make ``word``; (-1, -1) where merging doesn't make it."""
-        own = self.ranks[word]
-        parts = merge_by_rank(word, self.ranks, below=own)
+        if len(word) < 2:
+            return -1, -1
+        parts = merge_by_rank(word, self.ranks, below=self.ranks[word])
         return (parts[0], parts[1]) if len(parts) == 2 else (-1, -1)
 
-    def reset(self) -> None:
-        start = ((-1, 0, ()),)
-        self.ids = {start: 0}
-        self.states = [start]
-        self.moves: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
-        self.ends: list[tuple[int, ...] | None] = [()]
+    def token_at_end(self, path: bytes) -> int:
+        return next((self.ranks[path[i:]] for i in range(len(path)) if path[i:] in self.ranks), -1)
 
-    def stays_apart(self, left: int, right: int) -> bool:
-        """Whether the merges leave the two tokens side by side as they are.
+    def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the merges leave the two tokens of each pair side by side as they are.
 
         Both tokens' merges are undone from the last one back. Of what then meets at the seam, no
         pair may have a merge that comes before the merge that would have hidden it.
         """
-        ranks, halves, token = self.ranks, self.halves, self.token
-        # (rank of the merge that ends the time at which a part stands at the seam, part)
-        hide_left, hide_right = len(ranks) * 2, len(ranks) * 2
-        while True:
-            joined = ranks.get(token[left] + token[right])
+        never = 2 * len(self.left)
+        apart = np.zeros(len(left), bool)
+        # Rank of the merge that ends the time at which a part stands at the seam.
+        at, hide_left, hide_right = np.arange(len(left)), np.full(len(left), never), np.full(len(left), never)
+        while len(at):
+            key = left.astype(np.int64) << 32 | right
+            place = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
+            rank = np.where(self.joined[place] == key, self.joined_rank[place], never)
             # A tie is the same merge at two places: the leftmost goes first, which is the left token's own.
-            if joined is not None and joined < hide_left and joined <= hide_right and joined < max(hide_left, hide_right):
+            goes_on = ~((rank < hide_left) & (rank <= hide_right) & (rank < np.maximum(hide_left, hide_right)))
+            made_left, made_right = np.where(self.left[left] < 0, -1, left), np.where(self.left[right] < 0, -1, right)
+            done = goes_on & (made_left < 0) & (made_right < 0)
+            apart[at[done]] = True
+            goes_on &= ~done
+            undo_left = made_left > made_right
+            hide_left, hide_right = np.where(undo_left, made_left, hide_left), np.where(undo_left, hide_right, made_right)
+            left, right = np.where(undo_left, self.right[left], left), np.where(undo_left, right, self.left[right])
+            at, left, right, hide_left, hide_right = (x[goes_on] for x in (at, left, right, hide_left, hide_right))
+        return apart
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``stay_apart`` with a memory: each pair has one place in it."""
+        key = left.astype(np.int64) << 32 | right
+        place = (key * 0x9E3779B97F4A7C1 >> 20) & (MAX_PAIRS - 1)
+        found = self.verdicts[place]
+        new = np.flatnonzero(found >> 1 != key)
+        out = (found & 1).astype(bool)
+        if len(new):
+            out[new] = self.stay_apart(left[new], right[new])
+            self.verdicts[place[new]] = key[new] << 1 | out[new]
+        return out
+
+    def follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node of the longest suffix that begins a token, after one more byte."""
+        to = self.next[node, byte]
+        for at in np.flatnonzero(to == 0).tolist():
+            path = self.path[node[at]] + bytes((int(byte[at]),))
+            while path not in self.node_of:
+                path = path[1:]
+            to[at] = self.next[node[at], byte[at]] = self.node_of[path]
+        return to
+
+    def read(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Read rows of bytes, the longest first: the last token of each row's prefixes (-1: of the empty one)."""
+        lasts, node = np.full((len(words), len(words[0]) + 1), -1, np.int32), np.zeros(len(words), np.int32)
+        for at in range(int(size[0])):
+            live = int(np.searchsorted(-size, -at))  # words longer than at
+            node = self.follow(node[:live], words[:live, at])
+            token, todo, column = self.longest[node], np.arange(live), at + 1
+            while len(todo):
+                if token.min() < 0:
+                    raise ValueError("the vocabulary cannot spell a word")
+                last = lasts[todo, column - self.length[token]]
+                ok = last < 0
+                ok[~ok] = self.apart(last[~ok], token[~ok])
+                lasts[todo[ok], column] = token[ok]
+                todo, token = todo[~ok], self.shorter[token[~ok]]
+        return lasts
+
+    def encode_short(self, words: list[bytes]) -> list[bytes]:
+        """Words of one byte and more, read side by side; what isn't certain when a word ends is emitted there."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        size, longest = size[order], int(size.max())
+        rows = np.frombuffer(b"".join(words[i].ljust(longest, b"\0") for i in order.tolist()), np.uint8).reshape(-1, longest)
+        lasts = self.read(rows, size)
+        steps, at, live = [], size, np.arange(len(words))
+        while len(live):
+            steps.append((live, token := lasts[live, at]))
+            at = at - self.length[token]
+            live, at = live[at > 0], at[at > 0]
+        row, token = (np.concatenate([s[i] for s in reversed(steps)]) for i in (0, 1))
+        place = np.argsort(order[row], kind="stable")
+        flat = token[place].tobytes()
+        ends = (4 * np.cumsum(np.bincount(order[row], minlength=len(words)))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def settle(self, node: int, lasts: list[int]) -> tuple[list[int], list[int]]:
+        """The tokens on which all tokens being read agree, and ``lasts`` after them."""
+        path, end = self.path[node], len(lasts) - 1
+        live = {end} | {end - len(path) + i for i in range(len(path)) if path[i:] in self.inner}
+        while len(live) > 1:
+            at = max(live)
+            live.remove(at)
+            live.add(at - int(self.length[lasts[at]]))
+        base = at = live.pop()
+        out = []
+        while at:
+            out.append(lasts[at])
+            at -= int(self.length[lasts[at]])
+        return out[::-1], lasts[base:]
+
+    def pair(self, left: int, right: int) -> bool:
+        """``stay_apart`` of one pair."""
+        rank_of, spelled, hide_left, hide_right = self.ranks, self.token, 2 * len(self.left), 2 * len(self.left)
+        while True:
+            rank = rank_of.get(spelled[left] + spelled[right])
+            if rank is not None and rank < hide_left and rank <= hide_right and rank < max(hide_left, hide_right):
                 return False
-            made_left, made_right = left if left in halves else -1, right if right in halves else -1
-            if made_left < 0 and made_right < 0:
+            undo_left, undo_right = (x if self.left[x] >= 0 else -1 for x in (left, right))
+            if undo_left == undo_right == -1:
                 return True
-            if made_left > made_right:
-                hide_left, left = made_left, halves[left][1]
+            if undo_left > undo_right:
+                hide_left, left = undo_left, int(self.right[left])
             else:
-                hide_right, right = made_right, halves[right][0]
-
-    def advance(self, configurations: tuple, byte: int) -> tuple[list, tuple[int, ...] | None]:
-        """The configurations after one byte, and the tokens waiting in the one that stands between tokens, if there is one."""
-        after, closed, edges, apart = [], None, self.edges, self.apart
-        for last, node, waiting in configurations:
-            edge = edges.get(node << 8 | byte)
-            if edge is None:
-                continue
-            to, token, goes_on = edge
-            if goes_on:
-                after.append((last, to, waiting))
-            if token >= 0 and closed is None:
-                ok = last < 0 or apart.get(last << 20 | token)
+                hide_right, right = undo_right, int(self.left[right])
+
+    def encode_long(self, word: bytes) -> bytes:
+        """One word, read by itself; tokens are emitted after every ``LOOK`` bytes, as far as they are certain."""
+        out, node, lasts, verdicts = [], 0, [-1], {}
+        for at, byte in enumerate(word, 1):
+            to = self.next[node, byte]
+            node = int(to) if to else int(self.follow(np.array([node]), np.array([byte]))[0])
+            token = int(self.longest[node])
+            while token >= 0 and (last := lasts[-self.length[token]]) >= 0:
+                ok = verdicts.get((last, token))
                 if ok is None:
-                    if len(apart) >= MAX_PAIRS:
-                        apart.clear()
-                    ok = apart[last << 20 | token] = self.stays_apart(last, token)
+                    ok = verdicts[last, token] = self.pair(last, token)
                 if ok:
-                    closed = (*waiting, token)
-                    after.append((token, 0, closed))
-        if not after:
-            raise ValueError("the vocabulary cannot spell a word")
-        return after, closed
-
-    @staticmethod
-    def agreed(after: list) -> int:
-        """How many waiting tokens all configurations begin with."""
-        out = after[0][2]
-        n = len(out)
-        for _, _, waiting in after:
-            if waiting[:n] != out[:n]:
-                n = next(i for i, (x, y) in enumerate(zip((*waiting, None), out)) if x != y)
-        return n
-
-    def move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        """Work out one transition and keep it: what it emits, and the state it leads to."""
-        after, closed = self.advance(self.states[state], byte)
-        out = after[0][2]
-        if out:
-            n = self.agreed(after)
-            out = out[:n]
-            if n:
-                after = [(last, node, waiting[n:]) for last, node, waiting in after]
-                closed = closed and closed[n:]
-        key = tuple(after)
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-            self.ends.append(closed)  # the end of a word closes the configuration that stands between tokens
-        step = self.moves[state][byte] = out, to
-        return step
-
-    def encode(self, word: bytes) -> list[int]:
-        whole = self.ranks.get(word)
-        if whole is not None:  # as the rank file's library has it
-            return [whole]
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        out: list[int] = []
-        state, moves = 0, self.moves
-        for i, byte in enumerate(word):
-            step = moves[state].get(byte)
-            if step is None:
-                if i >= KEEP_DEPTH:
-                    return out + self.finish(self.states[state], word[i:])
-                step = self.move(state, byte)
-            if step[0]:
-                out += step[0]
-            state = step[1]
-        end = self.ends[state]
-        if end is None:
-            raise ValueError("the vocabulary cannot spell a word")
-        return out + list(end)
-
-    def finish(self, configurations: tuple, rest: bytes) -> list[int]:
-        """The rest of a word from a state whose next transition is rare: worked out, but not kept."""
-        out: list[int] = []
-        closed = None
-        for byte in rest:
-            configurations, closed = self.advance(configurations, byte)
-            if len(configurations[0][2]) > 16 and (n := self.agreed(configurations)):
-                out += configurations[0][2][:n]
-                configurations = [(last, node, waiting[n:]) for last, node, waiting in configurations]
-                closed = closed and closed[n:]
-        if closed is None:
-            raise ValueError("the vocabulary cannot spell a word")
-        return out + list(closed)
-
-
-class Pieces(dict):
-    """Tokens of a piece of text. Beyond a bound, pieces that weren't asked for again are forgotten."""
+                    break
+                token = int(self.shorter[token])
+            if token < 0:
+                raise ValueError("the vocabulary cannot spell a word")
+            lasts.append(token)
+            if at % LOOK == 0:
+                emitted, lasts = self.settle(node, lasts)
+                out += emitted
+                if len(verdicts) > MAX_WORDS:
+                    verdicts.clear()
+        return np.array(out + self.settle(0, lasts)[0], np.int32).tobytes()
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Tokens of each word, as 32-bit numbers. A word that is a token itself is that, as the rank file's library has it."""
+        out = [None if (whole := self.ranks.get(w)) is None else whole.to_bytes(4, sys.byteorder) for w in words]
+        short = [i for i, x in enumerate(out) if x is None and 0 < len(words[i]) <= LOOK]
+        for at in range(0, len(short), MAX_WORDS):
+            some = short[at : at + MAX_WORDS]
+            for i, tokens in zip(some, self.encode_short([words[i] for i in some])):
+                out[i] = tokens
+        return [self.encode_long(w) if x is None else x for w, x in zip(words, out)]
+
+
+class Pieces:
+    """Tokens of pieces of text, as 32-bit numbers. Beyond a bound, pieces that weren't asked for again are forgotten."""
 
     def __init__(self, transducer: Transducer, pattern):
-        super().__init__()
         self.transducer, self.pattern = transducer, pattern
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        out = self.older.get(piece)
-        if out is None:
-            encode = self.transducer.encode
-            if piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():  # one match of the pattern
-                out = tuple(encode(piece.encode()))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces' words side by side."""
+        new, words = [], []
+        for piece in pieces:
+            if (tokens := self.older.get(piece)) is not None:
+                self.known[piece] = tokens
             else:
-                out = tuple(t for word in self.pattern.findall(piece) for t in encode(word.encode()))
-        if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = out
+                new.append(piece)
+                # One match of the pattern, or several.
+                one = piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha()
+                words.append((piece,) if one else self.pattern.findall(piece))
+        places = {word: i for i, word in enumerate(set(chain.from_iterable(words)))}
+        tokens = self.transducer.encode([word.encode() for word in places])
+        for piece, some in zip(new, words):
+            self.known[piece] = tokens[places[some[0]]] if len(some) == 1 else b"".join([tokens[places[word]] for word in some])
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        if len(self.known) >= MAX_PIECES:
+            self.known, self.older = {}, self.known
+        cut = list(map(LATIN.findall, texts))
+        new = set().union(*cut).difference(self.known)
+        self.learn(new)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32) for parts in cut]
+        for piece in new:
+            if len(piece) > 64:
+                del self.known[piece]
         return out
 
 
@@ -239,15 +310,15 @@ class Codec:
         spelled = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
         self.transducer = Transducer(ranks)
         self.pieces = Pieces(self.transducer, regex.compile(spelled))
-        self.bytes_of = self.transducer.token
+        token = self.transducer.token
+        size = max(token) + 1
+        #: Bytes of the tokens one after another, with where each begins; decimal names of the ids with a space, zeros around them.
+        self.spelled = np.frombuffer(b"".join(token.get(i, b"") for i in range(size)), np.uint8)
+        self.length = np.array([len(token.get(i, b"")) for i in range(size)], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        width = len(str(size)) + 1
+        self.names = np.frombuffer(b"".join(f"{i} ".encode().ljust(width, b"\0") for i in range(size)), np.uint8).reshape(size, width)
         self.utf8 = Utf8()
-        self.text_of: dict[int, str | None] = {}
-        for token, raw in self.bytes_of.items():
-            try:
-                self.text_of[token] = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                self.text_of[token] = None
-
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
         if (path, pattern) not in cls._built:
@@ -256,23 +327,40 @@ class Codec:
         return cls._built[path, pattern]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, LATIN.findall(text or ""))))
-
-    def decode(self, ids: list[int]) -> str:
-        parts = list(map(self.text_of.__getitem__, ids))
-        if None not in parts:
-            return "".join(parts)
-        state, out = b"", []
-        for token, text in zip(ids, parts):
-            if text is not None and not state:
-                out.append(text)
-            else:
-                text, state = self.utf8.feed(state, self.bytes_of[token])
-                out.append(text)
+        return self.pieces.of([text or ""])[0].tolist()
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP:
+                yield from self.pieces.of(group)
+                group, size = [], 0
+        if group:
+            yield from self.pieces.of(group)
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[ids] - (ends - length), length)
+        return self.spelled[place].tobytes()
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """Tokens are fed to the machine some at a time."""
+        ids, state, out = np.asarray(ids, np.int32), b"", []
+        for at in range(0, len(ids), FEED):
+            text, state = self.utf8.feed(state, self.bytes_of(ids[at : at + FEED]))
+            out.append(text)
         if state:
             out.append("�")
         return "".join(out)
 
+    def written(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by spaces."""
+        flat = self.names[ids].reshape(-1)
+        return flat[flat > 0].tobytes()[:-1]
+
 
 def _forget() -> None:
     if Codec._built:
@@ -287,9 +375,6 @@ cache_of("bpe", _forget)
 class Utf8:
     """Incremental UTF-8: a state is the bytes of an unfinished character (three at most)."""
 
-    def __init__(self) -> None:
-        self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
-
     @staticmethod
     def expects(state: bytes) -> tuple[int, int, int]:
         """Bytes still missing after ``state``, and the range of the next one."""
@@ -302,45 +387,49 @@ class Utf8:
         return length - len(state), low, high
 
     def feed(self, state: bytes, more: bytes) -> tuple[str, bytes]:
-        known = self.known.get((state, more))
-        if known is None:
-            out: list[str] = []
-            pending = state
-            for byte in more:
-                if pending:
-                    missing, low, high = self.expects(pending)
-                    if low <= byte <= high:
-                        pending += bytes((byte,))
-                        if missing == 1:
-                            out.append(pending.decode())
-                            pending = b""
-                        continue
-                    out.append("�")
-                    pending = b""
-                if byte < 0x80:
-                    out.append(chr(byte))
-                elif 0xC2 <= byte <= 0xF4:
-                    pending = bytes((byte,))
-                else:
-                    out.append("�")
-            known = "".join(out), pending
-            if len(self.known) < MAX_PAIRS:
-                self.known[state, more] = known
-        return known
+        """The characters that ``more`` ends, and the state after it. Where all bytes are well formed, all but the last ones are read at once."""
+        raw = state + more
+        whole = len(raw)
+        for back in range(1, min(3, whole) + 1):
+            if raw[-back] >= 0xC0:  # a character begins here
+                whole = len(raw) - back
+                break
+        try:
+            text, rest = raw[:whole].decode(), raw[whole:]
+        except UnicodeDecodeError:
+            text, rest = "", raw
+        out, pending = [text], b""
+        for byte in rest:
+            if pending:
+                missing, low, high = self.expects(pending)
+                if low <= byte <= high:
+                    pending += bytes((byte,))
+                    if missing == 1:
+                        out.append(pending.decode())
+                        pending = b""
+                    continue
+                out.append("�")
+                pending = b""
+            if byte < 0x80:
+                out.append(chr(byte))
+            elif 0xC2 <= byte <= 0xF4:
+                pending = bytes((byte,))
+            else:
+                out.append("�")
+        return "".join(out), pending
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, repeated rows included: the id and ``ids`` array<int>.
 
     ``path`` names a rank file that every executor can read (it comes with the installed
-    vocabulary package). Null and empty texts give an empty array; other columns are not read.
+    vocabulary package). Null and empty texts give an empty array; other columns are not read, and an
+    empty table gives an empty one.
     """
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = Codec.of(path, pattern)
-        rows = [codec.encode(t) for t in batch.column(1).to_pylist()]
-        flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=sum(map(len, rows)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets([len(r) for r in rows]), pa.array(flat))], names=[id_col, "ids"])
+        rows = list(Codec.of(path, pattern).encode_all(batch.column(1).to_pylist()))
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists(rows)], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(id_col, text_col), fn, f"`{id_col}` {kind}, ids array<int>", "bpe")
@@ -358,12 +447,30 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     return map_batches(encoded.select(id_col, "ids"), fn, f"`{id_col}` {kind}, ids array<int>, decoded string", "bpe")
 
 
-def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode_documents(encode_documents(docs, path, pattern), path, pattern)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes each document in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` where asked for.
+
+    A digest of ids is that of their decimal forms joined by spaces. The ids themselves leave the worker only ``with_ids``.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = Codec.of(path, pattern)
+        rows, shas, decoded, counts = [], [], [], []
+        for ids in codec.encode_all(batch.column(1).to_pylist()):
+            counts.append(len(ids))
+            shas.append(hashlib.sha256(codec.written(ids)).hexdigest())
+            decoded.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            if with_ids:
+                rows.append(ids)
+        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, _lists(rows)] if with_ids else columns, names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_batches(docs.select("doc_id", "text"), fn, schema, "bpe")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.empty(0, np.int32), *rows])
+    return pa.ListArray.from_arrays(offsets([len(r) for r in rows]), pa.array(flat))

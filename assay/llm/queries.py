@@ -12,7 +12,7 @@ from assay.llm.common import table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

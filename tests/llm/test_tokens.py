@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -39,11 +40,24 @@ def test_encode_as_library(codec, library):
 
 
 def test_forgetting_changes_nothing(codec, library, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STATES", 50)
     monkeypatch.setattr(bpe, "MAX_PIECES", 20)
-    monkeypatch.setattr(bpe, "MAX_PAIRS", 20)
-    for t in texts(200, 60, 2):
+    monkeypatch.setattr(bpe, "MAX_WORDS", 3)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 16)
+    monkeypatch.setattr(bpe, "LOOK", 8)
+    some = texts(200, 60, 2)
+    for t in some:
         assert codec.encode(t) == library.encode_ordinary(t)
+    monkeypatch.setattr(bpe, "GROUP", 100)
+    assert [x.tolist() for x in codec.encode_all([*some, None])] == [*map(library.encode_ordinary, some), []]
+
+
+def test_long_words(codec, library):
+    """Words read by themselves, some bytes at a time."""
+    rng = random.Random(9)
+    for n in (63, 64, 65, 128, 129, 700):
+        for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "é漢aß"):
+            t = "".join(rng.choice(letters) for _ in range(n))
+            assert codec.encode(t) == library.encode_ordinary(t)
 
 
 def test_pairs_by_merging(codec):
@@ -51,10 +65,11 @@ def test_pairs_by_merging(codec):
     rng, t = random.Random(3), codec.transducer
     ids = list(t.token)
     short = [i for i in ids if len(t.token[i]) < 3]
-    for _ in range(20_000):
-        a, b = rng.choice(short), rng.choice(ids if rng.random() < 0.5 else short)
+    pairs = [(rng.choice(short), rng.choice(ids if rng.random() < 0.5 else short)) for _ in range(20_000)]
+    got = t.stay_apart(*(np.array(x, np.int32) for x in zip(*pairs)))
+    for (a, b), apart in zip(pairs, got.tolist()):
         both = t.token[a] + t.token[b]
-        assert t.stays_apart(a, b) == (both not in t.ranks and bpe.merge_by_rank(both, t.ranks) == [a, b])
+        assert apart == t.pair(a, b) == (both not in t.ranks and bpe.merge_by_rank(both, t.ranks) == [a, b])
 
 
 def test_utf8_machine():
@@ -75,13 +90,16 @@ def test_utf8_machine():
 def test_digest_query(spark, library):
     rows = [(1, "the théâtre"), (1, "the théâtre"), (2, None), (3, ""), (None, "x" * 70_000), (4, " \n ")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, ids string")
-    got = sorted((tuple(r) for r in bpe.bpe_digest(df, RANKS, P.PATTERN).collect()), key=str)
+    got = sorted((tuple(r) for r in bpe.round_trip(df, RANKS, P.PATTERN).collect()), key=str)
     want = []
     for i, t in rows:
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    assert bpe.bpe_digest(df.limit(0), RANKS, P.PATTERN).collect() == []
+    assert bpe.round_trip(df.limit(0), RANKS, P.PATTERN).collect() == []
+    both = bpe.decode_documents(bpe.encode_documents(df, RANKS, P.PATTERN), RANKS, P.PATTERN)
+    assert sorted(r.decoded for r in both.collect()) == sorted(t or "" for _, t in rows)
+    assert sorted(r.ids for r in both.collect()) == sorted(r.ids for r in bpe.round_trip(df, RANKS, P.PATTERN, with_ids=True).collect())
 
 
 def test_counts_as_library(spark):
