@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch that crosses to Python: whole texts cross, so batches stay short.
+#: Rows that a function gets at a time. Spark bounds the batches that cross to Python (10,000 rows and
+#: 64 MB unless the session says otherwise); whole texts become Python objects, so these are cut once more.
 BATCH_ROWS = 512
 
 
@@ -39,22 +40,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, owner: str | None = None) -> DataFrame:
-    """``fn`` over Arrow batches. It may return None for nothing; an empty frame gives an empty frame. ``owner``: whose cache ``fn`` uses."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``fn`` over Arrow batches of ``BATCH_ROWS`` rows at most. It may return None for nothing; an empty frame gives an empty frame. ``owner``: whose cache ``fn`` uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(owner)
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+        for batch in short(batches):
+            if (out := fn(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)
 
 
+def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder, from spark.checkpoint.dir; where that is unset, a temporary one for a local master, and an error for others."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="assay-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

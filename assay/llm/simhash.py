@@ -190,7 +190,6 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, bands: int =
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own).cast("long") * F.col("blocks") + F.greatest(j, own))
     part = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs)).alias("part")
     keyed = rows.join(large, "shard", "left").select("fp", "shard", part).select(F.xxhash64("shard", "part").alias("shard"), "fp")
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links_of_sorted, "u long, v long")
 
 
