@@ -158,19 +158,50 @@ def test_small_shards(spark, monkeypatch):
     assert sorted((tuple(r) for r in substring_dedup.dedup_digest(df).collect()), key=str) == brute(docs, 50)
 
 
-def test_index_alone():
+@pytest.mark.parametrize("same_keys", [False, True])
+def test_shards_alone(monkeypatch, same_keys):
+    """Owners of windows by brute force, in one lot and in three; also where different windows share a hash."""
+    if same_keys:
+        monkeypatch.setattr(substring_dedup, "_window_keys", lambda text, window: text % 2)
     rng = random.Random(6)
     for _ in range(30):
         regions = list(dict.fromkeys(" ".join(rng.choice("abc") for _ in range(rng.randint(5, 40))) for _ in range(rng.randint(1, 12))))
-        owners, length = [rng.randint(0, 50) for _ in regions], rng.choice([3, 5])
+        owners, length = sorted(rng.randint(0, 50) for _ in regions), rng.choice([3, 5])
         least = {}
         for r, o in zip(regions, owners):
             w = r.split()
             for i in range(len(w) - length + 1):
                 least[tuple(w[i : i + length])] = min(least.get(tuple(w[i : i + length]), o), o)
-        for r, got in zip(regions, substring_dedup.shard_owners(regions, owners, length)):
-            w = r.split()
-            assert got.tolist() == [least[tuple(w[i : i + length])] for i in range(len(w) - length + 1)]
+        for lots in (1, 3):
+            shard, got = substring_dedup.Shard(length), []
+            for k in range(lots):
+                a, b = len(regions) * k // lots, len(regions) * (k + 1) // lots
+                if a < b:
+                    got += shard.least(regions[a:b], owners[a:b])
+            for r, found in zip(regions, got):
+                w, mine = r.split(), {}
+                for a, b, o in found:
+                    assert not mine.keys() & set(range(a, b + 1))
+                    mine |= dict.fromkeys(range(a, b + 1), o)
+                assert mine == {i: least[tuple(w[i : i + length])] for i in range(len(w) - length + 1)}
+
+
+def test_index_is_small():
+    """The index keeps few bytes of a word, its text not among them."""
+    rng = np.random.default_rng(0)
+    index = substring_dedup.FMIndex([rng.integers(1, 2**15, 300) for _ in range(300)], np.arange(300))
+    held = sum(x.words.nbytes + x.before.nbytes for x in [*index.levels, index.sampled]) + index.number.nbytes
+    assert held < 4 * index.size
+
+
+def test_text_ids_and_long_texts(spark):
+    rng = random.Random(8)
+    some = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    long = " ".join(f"x{rng.randrange(9000)}" for _ in range(60_000))
+    docs = [("b", some), ("a", long + " " + some), ("c", some + " end"), ("d", long)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup_digest(df).collect()}
+    assert got == {"a": (60_120, 0), "b": (120, 120), "c": (121, 120), "d": (60_000, 60_000)}
 
 
 def test_repeated_ids(spark):
