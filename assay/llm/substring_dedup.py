@@ -38,7 +38,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from assay.llm.common import cache_of, claim, map_batches, short, written
 
 WINDOW, GRAM = 50, 8
-SHARD_WORDS, HOT, LONGEST_RUN, SAMPLED = 300_000, 20_000, 256, 32
+SHARD_WORDS, HOT, LONGEST_RUN, STREAM, SAMPLED = 300_000, 20_000, 256, 16, 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,7 +160,8 @@ class FMIndex:
         there = symbol < len(self.first)
         symbol = np.where(there, symbol, 0)
         base = self.first[symbol] - self.origin[symbol]
-        return base + self._through(symbol, low), np.where(there, base + self._through(symbol, high), -1)
+        both = self._through(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return base + both[: len(low)], np.where(there, base + both[len(low) :], -1)
 
     def before(self, row: np.ndarray) -> np.ndarray:
         """Rows of the suffixes that are one symbol longer; not for those that begin a segment."""
@@ -252,9 +253,11 @@ class Shard:
 
         def stream(index: FMIndex, places: np.ndarray) -> None:
             if len(places):
-                a, b = _runs(places)
-                # Runs end with their region, as the next one's windows begin later than the last window of this one.
-                settle(*index.intervals(text, a, b + window, window))
+                a, b = _runs(places)  # they end with their region, as the next one's windows begin later than this one's last window
+                # Cut short, as all are read side by side until the last one ends.
+                pieces = -((a - b - 1) // STREAM)
+                begin = np.repeat(a, pieces) + STREAM * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                settle(*index.intervals(text, begin, np.minimum(begin + STREAM - 1, np.repeat(b, pieces)) + window, window))
 
         for index in self.indexes:
             stream(index, open_)
