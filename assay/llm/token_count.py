@@ -1,31 +1,33 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks with character offsets. Two neighbours are
-spliced at an offset where both encodings end a token and where the cut is proven stable:
-a character that isn't white space stands before it and white space after it. The pattern
+Every text longer than a chunk is encoded in overlapping chunks with character offsets. Two neighbours
+are spliced at an offset where both encodings end a token and begin the next, and where the cut is proven
+stable: a character that isn't white space stands before it and white space after it. The pattern
 that splits texts never matches across such a place and looks only forward, and no special
-token holds white space, so the tokens on either side are those of the whole text. Where an
-overlap holds no such offset it is widened, up to the rest of the text.
+token holds white space or takes it in, so the tokens on either side are those of the whole text. Where an
+overlap holds no such offset it is widened, up to the rest of the text. Shorter texts are one chunk.
 
-Texts below the chunk size are cut at every proven place, and pieces seen before are not
-encoded again; both ways give the library's own count.
-
-Null texts count as empty: no bytes and no tokens. Repeated rows each give a row.
+Null texts count as empty: no bytes and no tokens. Repeated rows each give a row; an empty table gives an
+empty one, other columns are not read, and of a very long text only two chunks are encoded at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Encoding, Tokenizer
 
-from assay.llm.bpe import MAX_PIECES, PIECE, SPACE
+from assay.llm.bpe import SPACE
 from assay.llm.common import cache_of, map_batches
 
 STABLE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+#: Characters in a chunk, and in the overlap of two.
+CHUNK, OVERLAP = 1_024, 64
 
 
 class Counter:
@@ -35,12 +37,13 @@ class Counter:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens", [])
+        if any(t["lstrip"] or t["rstrip"] or re.search(f"[{SPACE}]", t["content"]) for t in added):
+            raise ValueError("an added token takes in white space: cuts before white space aren't proven")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, int] = {}
 
     @classmethod
     def of(cls, path: str) -> Counter:
@@ -48,56 +51,51 @@ class Counter:
             cls._built[path] = cls(path)
         return cls._built[path]
 
-    def pieces(self, text: str) -> int:
-        known, parts = self.known, PIECE.findall(text)
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > MAX_PIECES:
-                known.clear()
-                new = list(set(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = len(e)
-        return sum(map(known.__getitem__, parts))
-
-    def ends(self, text: str, start: int, stop: int) -> list[tuple[int, int]]:
-        """Character offsets of the tokens of text[start:stop], in the whole text."""
-        return [(a + start, b + start) for a, b in self.tokenizer.encode(text[start:stop], add_special_tokens=False).offsets]
-
-    def overlapped(self, text: str, chunk: int, overlap: int) -> int:
-        total, start, stop = 0, 0, min(chunk, len(text))
-        left = self.ends(text, start, stop)
+    def encode(self, text: str) -> Encoding:
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
+    def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+        start, stop = 0, min(chunk, len(text))
+        left, skip = self.encode(text[:stop]), 0  # of the last chunk: its encoding, and its tokens before the last cut
+        total = 0
         while stop < len(text):
-            width = overlap
-            while True:
+            width, cut = overlap, None
+            while cut is None:
                 begin = max(start, stop - width)
                 to = min(len(text), begin + max(chunk, 2 * width))
-                right = self.ends(text, begin, to)
-                cut = self.common(text, left, right, begin, stop)
-                if cut is not None or (begin == start and to == len(text)):
-                    break
+                right = self.encode(text[begin:to])
+                cut = self.common(text, left, start, right, begin, stop)
+                if cut is None and begin == start and to == len(text):  # nowhere proven: the rest is one piece
+                    return total + len(right) - (skip and self.before(left, skip))
                 width *= 2
-            if cut is None:  # nowhere proven: the rest is one piece
-                return total + len(right)
-            total += sum(a < cut for a, _ in left)
-            left = [x for x in right if x[0] >= cut]
-            start, stop = cut, to
-        return total + len(left)
+            total += self.before(left, cut - start) - self.before(left, skip)
+            left, skip, start, stop = right, cut - begin, begin, to
+        return total + len(left) - self.before(left, skip)
 
     @staticmethod
-    def common(text: str, left: list, right: list, begin: int, stop: int) -> int | None:
+    def before(encoding: Encoding, place: int) -> int:
+        """Tokens before a place at which a token begins."""
+        return encoding.char_to_token(place) if place else 0
+
+    @staticmethod
+    def meets(encoding: Encoding, place: int) -> bool:
+        """Whether a token ends and the next one begins there."""
+        token = encoding.char_to_token(place)
+        return bool(token) and encoding.token_to_chars(token)[0] == place and encoding.token_to_chars(token - 1)[1] == place
+
+    def common(self, text: str, left: Encoding, start: int, right: Encoding, begin: int, stop: int) -> int | None:
         """The last proven offset in the overlap at which both encodings have a token's end and the next one's start."""
-        there = {b for _, b in left} & {a for a, _ in right}
         # The very edge of a chunk proves nothing about what the library would do beyond it.
-        return max((m.start() for m in STABLE.finditer(text, max(begin, 1), stop) if m.start() in there and m.start() > begin), default=None)
-
-    def count(self, text: str, chunk: int, overlap: int) -> int:
-        return self.pieces(text) if len(text) <= chunk else self.overlapped(text, chunk, overlap)
+        for m in reversed(list(STABLE.finditer(text, max(begin, 1), stop))):
+            if begin < m.start() < stop and self.meets(left, m.start() - start) and self.meets(right, m.start() - begin):
+                return m.start()
+        return None
 
 
 cache_of("token_count", Counter._built.clear)
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65_536, overlap: int = 512) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per document: the id, n_bytes long (UTF-8) and n_tokens long."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:

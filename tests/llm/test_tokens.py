@@ -104,12 +104,18 @@ def test_digest_query(spark, library):
 
 def test_counts_as_library(spark):
     counter = token_count.Counter.of(P.path("byte_bpe_50k.json"))
-    for t in texts(800, 80, 5) + ["a" * 3000, " " * 500, "word " * 900, "12ab" * 400]:
+    some = texts(800, 80, 5) + ["a" * 3000, " " * 500, "word " * 900, "12ab" * 400, "", "<|endoftext|> " * 90]
+    for t in some:
         want = len(counter.tokenizer.encode(t, add_special_tokens=False))
-        assert counter.pieces(t) == want
-        assert counter.overlapped(t, 16, 4) == want
-        assert counter.overlapped(t, 200, 8) == want
-    df = spark.createDataFrame([(1, None), (2, "é<|endoftext|>"), (3, "word " * 600), (3, "word " * 600)], "doc_id long, text string")
-    got = sorted(tuple(r) for r in token_count.token_counts(df, P.path("byte_bpe_50k.json")).collect())
-    assert [r[:2] for r in got] == [(1, 0), (2, 15), (3, 3000), (3, 3000)]
-    assert [r[3] for r in got] == [False, False, True, True] and got[0][2] == 0
+        assert [counter.count(t, *sizes) for sizes in ((16, 4), (200, 8), (1024, 64))] == [want] * 3
+    size = token_count.CHUNK
+    rng = random.Random(7)
+    words = lambda n: "".join(rng.choice(ALPHABET) + rng.choice(("a", "the", " ", "")) for _ in range(n))
+    some += [words(3 * size)[:n] for n in (size - 1, size, size + 1, 2 * size)] + [words(65_536)[:n] for n in (65_535, 65_536, 65_537)]
+    some += ["x" * (5 * size), "y" * (5 * size) + " z" * size, words(300_000), None]
+    rows = [(i, t, 1) for i, t in enumerate(some)] + [(3, some[3], 2), (None, "a b", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = sorted((tuple(r) for r in token_count.token_counts(df, P.path("byte_bpe_50k.json")).collect()), key=str)
+    count = lambda t: len(counter.tokenizer.encode(t or "", add_special_tokens=False))
+    assert got == sorted(((i, len((t or "").encode()), n := count(t), n > 512) for i, t, _ in rows), key=str)
+    assert token_count.token_counts(df.limit(0), P.path("byte_bpe_50k.json")).collect() == []
