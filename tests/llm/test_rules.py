@@ -239,6 +239,18 @@ def test_mix_edges(spark, tmp_path):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_ties_and_odds(spark):
+    """Equal rows share a rank, and still exactly so many are taken; in a stratum longer documents are taken less often."""
+    df = spark.createDataFrame([(None, "a b c", "s", 1)] * 1000 + [(i, "x " * 4, "t", i) for i in range(6000)], "doc_id long, text string, source string, other int")
+    got = mixing.mix(df).collect()
+    target, taken = next(r.target for r in got if r["size"] == 3), sum(r.taken for r in got if r["size"] == 3)
+    assert abs(taken - target) < 3 and len(got) == 7000 and mixing.mixed(df).where("source = 's'").count() == taken // 3
+    many = spark.range(40_000).selectExpr("id doc_id", "repeat('w ', cast(64 + id % 8 as int)) text", "if(id < 30000, 'a', 'b') source")
+    rate = {r["size"]: r.rate for r in mixing.mix(many).where("target < 2 * source_size").groupBy("size").agg({"copies": "avg"}).withColumnRenamed("avg(copies)", "rate").collect()}
+    part = {size: x - int(min(rate.values())) for size, x in rate.items()}
+    assert len(part) == 8 and part[64] / (1 - part[64]) / (part[71] / (1 - part[71])) == pytest.approx(71 / 64, rel=0.08)
+
+
 # --- top-k
 
 @needs_tables
