@@ -100,12 +100,21 @@ def code_block(response: Column) -> Column:
 
 def test_prompt(method: Column, test: Column, test_class: Column, dependencies: Column, framework: Column, logs: Column | None = None) -> Column:
     """A request for a further test; with ``logs`` of a failed run, for its repair."""
-    parts = [F.lit("Write one "), framework, F.lit(" test method for:\n"), method, F.lit("\nAn existing test:\n"), test, F.lit("\nIn the class:\n"), test_class, F.lit("\nUsings:\n"), dependencies]
+    parts = [F.lit("Write one "), framework, F.lit(" test method for:\n"), method, F.lit("\nAn existing test:\n"), test, F.lit("\nIn the class:\n"), test_class, F.lit("\nUsings:\n"), dependencies, F.lit("\nGive only the method, between two lines of ```.")]
     if logs is not None:
         parts += [F.lit("\nThe last attempt failed with:\n"), logs]
     return F.concat(*(F.coalesce(p, F.lit("")) for p in parts))
 
 
+#: Fixed value: what a log says where coverage can't be had on other systems.
+WINDOWS_ONLY = "Code coverage is currently supported only on Windows."
+
+
+def windows_only(log: Column) -> Column:
+    """Whether a log's text holds the message, in any case."""
+    return F.contains(F.lower(log), F.lit(WINDOWS_ONLY.lower()))
+
+
 def complexity_value(text: Column) -> Column:
     """The number in a text, 0.0 where it has none."""
     return F.coalesce(text.try_cast("double"), F.lit(0.0))

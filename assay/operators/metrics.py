@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Statuses of a mutant that count as found out and as not found out. Others, and static mutants, don't count.
-DETECTED, UNDETECTED = ("Killed", "Timeout", "CompileErrors"), ("Survived", "NoCoverage")
+#: Statuses of a mutant, in any case, that count as found out and as not found out. Others, and static mutants, don't count.
+DETECTED, UNDETECTED = ("killed", "timeout", "compileerrors"), ("survived", "nocoverage")
 
 
 def mutation_score(mutants: DataFrame, file_col: str = "source_file_id") -> DataFrame:
     """Per file: counts by status, and detected / (detected + undetected) * 100; 0 where nothing counts."""
-    live = ~F.col("static")
-    n = lambda *kinds: F.count_if(live & F.col("status").isin(*kinds))
+    live, status = ~F.col("static"), F.lower("status")
+    n = lambda *kinds: F.count_if(live & status.isin(*kinds))
     counts = mutants.groupBy(file_col).agg(
-        n("Killed").alias("killed"), n("Timeout").alias("timeout"), n("CompileErrors").alias("compile_errors"), n("Survived").alias("survived"), n("NoCoverage").alias("no_coverage"),
-        F.count_if(F.col("status") == "Ignored").alias("ignored"), n(*DETECTED).alias("detected"), n(*UNDETECTED).alias("undetected"),
+        n("killed").alias("killed"), n("timeout").alias("timeout"), n("compileerrors").alias("compile_errors"), n("survived").alias("survived"), n("nocoverage").alias("no_coverage"),
+        F.count_if(status == "ignored").alias("ignored"), n(*DETECTED).alias("detected"), n(*UNDETECTED).alias("undetected"),
     )
     valid = F.col("detected") + F.col("undetected")
     return counts.withColumn("mutation_score", F.when(valid > 0, F.round(F.col("detected").cast("double") / valid * 100, 9)).otherwise(0.0))
@@ -42,9 +42,9 @@ def attempts_until_passed(attempts: DataFrame, key: list[str], order: str, passe
     return attempts.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= most).withColumn("_before", F.coalesce(before, F.lit(0))).where("_before = 0").drop("_before")
 
 
-def random_sample(df: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
-    """k rows at random (all, if there are no more)."""
-    return df.orderBy(F.rand(seed)).limit(k)
+def random_sample(df: DataFrame, keys: list[str], k: int = 3, seed: int = 7) -> DataFrame:
+    """k rows at random (all, if there are no more): those whose first key has the smallest hash, then by the keys, whatever the partitions."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(keys[0]).cast("string"))), *keys).limit(k)
 
 
 def one_per_name(files: DataFrame, path: str) -> DataFrame:

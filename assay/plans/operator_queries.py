@@ -10,6 +10,7 @@ from assay.operators import metrics as M
 from assay.operators import resolve as R
 from assay.plans import views as V
 from assay.plans.registry import query
+from assay.sources import sinks
 from assay.sources.adapters import SMELLS, Tables, with_tables
 
 
@@ -64,8 +65,8 @@ scalar("run_id_tag", "nation", "n_nationkey", lambda: S.run_id_tag(F.md5("n_name
 scalar("null_to_default", "events", "event_id", lambda: F.concat_ws("|", F.coalesce(F.when(C("event_type") == "error", C("props")), L("")), F.round(F.coalesce(F.when(C("user_id") % 2 == 0, C("value")), L(0.0)), 3).cast("decimal(18,3)").cast("string")), "coalesce(CASE WHEN event_type = 'error' THEN props END, '') || '|' || CAST(CAST(round(coalesce(CASE WHEN user_id % 2 = 0 THEN value END, 0), 3) AS DECIMAL(18,3)) AS VARCHAR)")
 scalar("json_list", "part", "p_partkey", lambda: S.json_list(F.when(C("p_size") % 4 > 0, F.array("p_name", "p_brand"))), "CASE WHEN p_size % 4 > 0 THEN '[\"' || p_name || '\",\"' || p_brand || '\"]' ELSE 'null' END")
 scalar("code_block_extract", "part", "p_partkey", lambda: S.code_block(_RESP()), f"trim(replace(CASE WHEN len(string_split({_RESP_SQL}, '```')) > 2 THEN string_split({_RESP_SQL}, '```')[2] ELSE {_RESP_SQL} END, 'csharp', ''), E' ')")
-scalar("prompt_build", "part", "p_partkey", lambda: S.test_prompt(C("p_name"), C("p_type"), C("p_brand"), L("[]"), L("xUnit")), "'Write one xUnit test method for:' || chr(10) || p_name || chr(10) || 'An existing test:' || chr(10) || p_type || chr(10) || 'In the class:' || chr(10) || p_brand || chr(10) || 'Usings:' || chr(10) || '[]'")
-scalar("prompt_repair", "part", "p_partkey", lambda: S.test_prompt(C("p_name"), C("p_type"), C("p_brand"), L("[]"), L("xUnit"), F.when(C("p_size") > 9, "boom")), "'Write one xUnit test method for:' || chr(10) || p_name || chr(10) || 'An existing test:' || chr(10) || p_type || chr(10) || 'In the class:' || chr(10) || p_brand || chr(10) || 'Usings:' || chr(10) || '[]' || chr(10) || 'The last attempt failed with:' || chr(10) || CASE WHEN p_size > 9 THEN 'boom' ELSE '' END")
+scalar("prompt_build", "part", "p_partkey", lambda: S.test_prompt(C("p_name"), C("p_type"), C("p_brand"), L("[]"), L("xUnit")), "'Write one xUnit test method for:' || chr(10) || p_name || chr(10) || 'An existing test:' || chr(10) || p_type || chr(10) || 'In the class:' || chr(10) || p_brand || chr(10) || 'Usings:' || chr(10) || '[]' || chr(10) || 'Give only the method, between two lines of ```.'")
+scalar("prompt_repair", "part", "p_partkey", lambda: S.test_prompt(C("p_name"), C("p_type"), C("p_brand"), L("[]"), L("xUnit"), F.when(C("p_size") > 9, "boom")), "'Write one xUnit test method for:' || chr(10) || p_name || chr(10) || 'An existing test:' || chr(10) || p_type || chr(10) || 'In the class:' || chr(10) || p_brand || chr(10) || 'Usings:' || chr(10) || '[]' || chr(10) || 'Give only the method, between two lines of ```.' || chr(10) || 'The last attempt failed with:' || chr(10) || CASE WHEN p_size > 9 THEN 'boom' ELSE '' END")
 
 
 def nullif_zero():
@@ -87,9 +88,14 @@ def text_contains_test(t: Tables) -> DataFrame:
     return t.raw("documents").groupBy("source").agg(F.coalesce(F.bool_or(C("text").ilike("%test%")), L(False)).alias("has_tests"))
 
 
-@over_tables("windows_only", "SELECT lang, coalesce(bool_or(text ILIKE '%permission%'), false) AS found FROM documents GROUP BY lang")
+#: Logs made of documents: some of one source and language end with the message, in any case.
+_LOG = "CASE WHEN n_chars % 3 = 0 AND lang <> 'en' THEN coalesce(text, '') || ' >> code coverage is currently supported ONLY on windows. <<' ELSE text END"
+
+
+@over_tables("windows_only", f"SELECT source, lang, coalesce(bool_or(({_LOG}) ILIKE '%Code coverage is currently supported only on Windows.%'), false) AS found FROM documents GROUP BY source, lang")
 def windows_only(t: Tables) -> DataFrame:
-    return t.raw("documents").groupBy("lang").agg(F.coalesce(F.bool_or(C("text").ilike("%permission%")), L(False)).alias("found"))
+    log = t.raw("documents").select("source", "lang", F.expr(_LOG).alias("content"))
+    return log.groupBy("source", "lang").agg(F.coalesce(F.bool_or(S.windows_only(C("content"))), L(False)).alias("found"))
 
 
 @over_tables("is_test_class", "SELECT class_id, bool_or(is_test_method) AS is_test_class FROM methods GROUP BY class_id")
@@ -116,12 +122,20 @@ def upsert_by_key(t: Tables) -> DataFrame:
 
 @over_tables("append_rows", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS amount FROM supplier UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer")
 def append_rows(t: Tables) -> DataFrame:
-    return t.raw("supplier").selectExpr("s_suppkey id", "s_name name", "s_acctbal amount").unionByName(t.raw("customer").selectExpr("c_custkey id", "c_name name", "c_acctbal amount"))
+    """Two tables appended to one, and that read back."""
+    path = sinks.shared_path(t.spark, "append-rows")
+    suppliers = t.raw("supplier").selectExpr("s_suppkey id", "s_name name", "s_acctbal amount")
+    for rows in (suppliers, t.raw("customer").selectExpr("c_custkey id", "c_name name", "c_acctbal amount")):
+        sinks.append(rows, path)
+    return t.spark.read.schema(suppliers.schema).parquet(path)
 
 
 @over_tables("append_rows_tx", "SELECT run_id, count(*) AS n FROM test_results GROUP BY run_id")
 def append_rows_tx(t: Tables) -> DataFrame:
-    return t.test_results.groupBy("run_id").agg(F.count(L(1)).alias("n"))
+    """All results of a job become visible at once or not at all; counted after they were read back."""
+    path = sinks.shared_path(t.spark, "append-rows-tx")
+    sinks.append(t.test_results, path, partition=None)
+    return t.spark.read.schema(t.test_results.schema).parquet(path).groupBy("run_id").agg(F.count(L(1)).alias("n"))
 
 
 @over_tables("update_run_status", "SELECT user_id AS run, arg_max(event_type, event_id) AS result, arg_max(value, event_id) AS coverage, max(event_id) AS seq FROM events GROUP BY user_id")
@@ -145,7 +159,11 @@ def surrogate_ids(t: Tables) -> DataFrame:
 
 @over_tables("split_sink", "SELECT doc_id, source, coalesce(text ILIKE '%test%', false) AS has_tests FROM documents")
 def split_sink(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", "source", F.coalesce(C("text").ilike("%test%"), L(False)).alias("has_tests"))
+    """Rows go to one of two folders, and are read back from both."""
+    path = sinks.shared_path(t.spark, "split")
+    rows = t.raw("documents").select("doc_id", "source", F.coalesce(C("text").ilike("%test%"), L(False)).alias("has_tests"))
+    sinks.split_by(rows, path)
+    return t.spark.read.schema(rows.schema).parquet(path)
 
 
 @over_tables("create_schema", "SELECT id, name FROM test_smells")
@@ -261,35 +279,38 @@ def count_candidates(t: Tables) -> DataFrame:
     return M.exists(V.baseline_uncovered_tested_methods(t).limit(1))
 
 
+#: The framework of each test method.
+_FRAMEWORK = "CASE WHEN id % 3 = 0 THEN 'XUnit' WHEN id % 3 = 1 THEN 'NUnit' END"
 _FLAGS = {
     "coverage_reports": (lambda t: M.exists(t.coverage_reports, C("id") > 0), "SELECT coalesce(bool_or(id > 0), false) AS found FROM coverage_reports"),
     "mutation_reports": (lambda t: M.exists(t.mutants, C("id") > 0), "SELECT coalesce(bool_or(id > 0), false) AS found FROM mutants"),
-    "file_metrics": (lambda t: M.exists(t.raw("part"), C("p_size") < 0), "SELECT coalesce(bool_or(p_size < 0), false) AS found FROM part"),
+    "file_metrics": (lambda t: M.exists(t.source_files, C("id") > 0), "SELECT coalesce(bool_or(id > 0), false) AS found FROM source_files"),
     "function_metrics": (lambda t: M.exists(t.lizard_function_code_metrics, C("method_id") > 0), "SELECT coalesce(bool_or(method_id > 0), false) AS found FROM lizard_function_code_metrics"),
-    "xunit_tests": (lambda t: M.exists(t.classes, F.lower("testing_framework") == "building"), "SELECT coalesce(bool_or(lower(testing_framework) = 'building'), false) AS found FROM classes"),
+    "xunit_tests": (lambda t: M.exists(t.methods.where("is_test_method"), F.lower(F.expr(_FRAMEWORK)) == "xunit"), f"SELECT coalesce(bool_or(lower({_FRAMEWORK}) = 'xunit'), false) AS found FROM methods WHERE is_test_method"),
     "passing_tests": (lambda t: M.exists(t.test_results, F.lower("test_outcome") == "passed"), "SELECT coalesce(bool_or(lower(test_outcome) = 'passed'), false) AS found FROM test_results"),
 }
 for _flag, (_fn, _sql) in _FLAGS.items():
     over_tables(f"exists_{_flag}", _sql)(_fn)
 
 
-@over_tables("validation_row", "SELECT * FROM " + ", ".join(f"(SELECT found AS {n} FROM ({s}))" for n, (_, s) in _FLAGS.items()) + ", (SELECT count(*) > 0 AS candidates FROM v_candidate_covered_methods)")
+@over_tables("validation_row", "SELECT * FROM " + ", ".join(f"(SELECT found AS {n} FROM ({s}))" for n, (_, s) in _FLAGS.items()) + ", (SELECT count(*) > 0 AS candidates FROM v_baseline_uncovered_tested_methods)")
 def validation_row(t: Tables) -> DataFrame:
-    return M.validation_row({n: fn(t) for n, (fn, _) in _FLAGS.items()} | {"candidates": M.exists(V.candidate_covered_methods(t).limit(1))})
+    return M.validation_row({n: fn(t) for n, (fn, _) in _FLAGS.items()} | {"candidates": M.exists(V.baseline_uncovered_tested_methods(t).limit(1))})
 
 
-@over_tables("random_sample_k")
+@over_tables("random_sample_k", "SELECT * FROM v_candidate_covered_methods ORDER BY md5('7:' || method_id), method_id, line_rate NULLS FIRST, branch_rate NULLS FIRST LIMIT 3")
 def random_sample_k(t: Tables) -> DataFrame:
-    return M.random_sample(V.candidate_covered_methods(t), 3)
+    return M.random_sample(V.candidate_covered_methods(t), ["method_id", "line_rate", "branch_rate"], 3)
 
 
-_KINDS = "count(*) FILTER (WHERE NOT static AND status = '{}') AS {}"
-_SCORE = f"SELECT source_file_id, {', '.join(_KINDS.format(a, b) for a, b in (('Killed', 'killed'), ('Timeout', 'timeout'), ('CompileErrors', 'compile_errors'), ('Survived', 'survived'), ('NoCoverage', 'no_coverage')))}, count(*) FILTER (WHERE status = 'Ignored') AS ignored FROM mutants GROUP BY source_file_id"
+_KINDS = "count(*) FILTER (WHERE NOT static AND lower(status) = '{}') AS {}"
+_SCORE = f"SELECT source_file_id, {', '.join(_KINDS.format(a, b) for a, b in (('killed', 'killed'), ('timeout', 'timeout'), ('compileerrors', 'compile_errors'), ('survived', 'survived'), ('nocoverage', 'no_coverage')))}, count(*) FILTER (WHERE lower(status) = 'ignored') AS ignored FROM mutants GROUP BY source_file_id"
 
 
 @over_tables("mutation_score", f"SELECT *, killed + timeout + compile_errors AS detected, survived + no_coverage AS undetected, CASE WHEN killed + timeout + compile_errors + survived + no_coverage > 0 THEN round((killed + timeout + compile_errors)::DOUBLE / (killed + timeout + compile_errors + survived + no_coverage) * 100, 9) ELSE 0 END AS mutation_score FROM ({_SCORE})")
 def mutation_score(t: Tables) -> DataFrame:
-    return M.mutation_score(t.mutants)
+    """Some reports write their statuses in lower case."""
+    return M.mutation_score(t.mutants.withColumn("status", F.when(C("id") % 3 == 0, F.lower("status")).otherwise(C("status"))))
 
 
 @over_tables("smell_pivot", "SELECT c.id AS class_id, " + ", ".join(f"count(*) FILTER (WHERE s.name = '{n}') AS \"{n}\"" for n in SMELLS) + ", count(*) AS total FROM method_test_smells x JOIN test_smells s ON s.id = x.test_smell_id JOIN methods m ON m.id = x.method_id JOIN classes c ON c.id = m.class_id WHERE x.status = 'Found' GROUP BY c.id")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,8 +164,7 @@ def scan_logs(t: Tables) -> DataFrame:
 
 def _csv_round(t: Tables, rows: DataFrame, name: str) -> DataFrame:
     """``rows`` without their key, appended to a CSV report in two goes and read back."""
-    where = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assay-")
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = sinks.shared_path(t.spark, name)
     for k in (0, 1):
         sinks.append_csv(rows.where(C("n_nationkey") % 2 == k).drop("n_nationkey"), path)
     return t.spark.read.schema(rows.drop("n_nationkey").schema).option("header", True).option("quote", "").csv(path)
@@ -189,21 +186,22 @@ def csv_windows(t: Tables) -> DataFrame:
 
 _LINES = (
     ("if (a) {{ F(); }}", 2), ("Assert.Same(x, x);", 3), ("Console.WriteLine(1);", 5), ("Thread.Sleep(1);", 7), ("Assert.Equal(7, y{0});", 11), ("Assert.True(a{0} == b);", 13), ("Assert.Equal(true, z{0});", 17), ("o.One(); o.Two();", 19),
+    ("if (c) {{ }} " * 10, 29), ("Twice(); Twice();", 37), ("Assert.Equal(s, t.ToString());", 41), (" ".join(f"var v{i} = w;" for i in range(11)), 43),
 )
 
 
 def _bodies(t: Tables) -> DataFrame:
     k = C("p_partkey")
     lines = [F.when(k % n == 0, line.format("").replace("{{", "{").replace("}}", "}")).otherwise("") for line, n in _LINES]
-    return t.raw("part").select(_tag("C%d", k).alias("class"), _tag("M%d", k).alias("name"), F.concat(L("{ "), F.concat_ws(" ", *lines), L(" }")).alias("body"), F.array(L("Fact"), F.when(k % 23 == 0, "Skip").otherwise("Trait")).alias("attributes"))
+    return t.raw("part").select(_tag("C%d", k).alias("class"), _tag("M%d", k).alias("name"), F.concat(L("{ "), F.concat_ws(" ", *lines), L(" }")).alias("body"), F.array(L("Fact"), F.when(k % 23 == 0, "Skip").otherwise("Trait"), F.when(k % 31 == 0, "ExpectedException").otherwise("Trait")).alias("attributes"))
 
 
 _D = lambda n: f"(p_partkey % {n} = 0)"
 _ANY = " OR ".join(_D(n) for _, n in _LINES)
-_ASSERTS = f"({' + '.join(_D(n) + '::INT' for n in (3, 11, 13, 17))})"
+_ASSERTS = f"({' + '.join(_D(n) + '::INT' for n in (3, 11, 13, 17, 41))})"
 _RULES = {
-    "EmptyTestSmell": f"NOT ({_ANY})", "ConditionalTestSmell": _D(2), "CyclomaticComplexityTestSmell": "false", "ExpectedExceptionTestSmell": "false", "AssertionRouletteTestSmell": f"{_ASSERTS} > 2", "UnknownTestSmell": f"{_ASSERTS} = 0", "RedundantPrintTestSmell": _D(5), "SleepyTestSmell": _D(7),
-    "IgnoreTestSmell": _D(23), "RedundantAssertionTestSmell": _D(3), "DuplicateAssertionTestSmell": "false", "MagicNumberTestSmell": _D(11), "EagerTestSmell": _D(19), "BoolInAssertEqualSmell": _D(17), "EqualInAssertSmell": _D(13), "SensitiveEqualitySmell": "false", "ConstructorInitializationTestSmell": "false", "ObscureInLineSetUpSmell": "false",
+    "EmptyTestSmell": f"NOT ({_ANY})", "ConditionalTestSmell": f"{_D(2)} OR {_D(29)}", "CyclomaticComplexityTestSmell": _D(29), "ExpectedExceptionTestSmell": _D(31), "AssertionRouletteTestSmell": f"{_ASSERTS} > 2", "UnknownTestSmell": f"{_ASSERTS} = 0", "RedundantPrintTestSmell": _D(5), "SleepyTestSmell": _D(7),
+    "IgnoreTestSmell": _D(23), "RedundantAssertionTestSmell": _D(3), "DuplicateAssertionTestSmell": _D(37), "MagicNumberTestSmell": _D(11), "EagerTestSmell": _D(19), "BoolInAssertEqualSmell": _D(17), "EqualInAssertSmell": _D(13), "SensitiveEqualitySmell": _D(41), "ConstructorInitializationTestSmell": "false", "ObscureInLineSetUpSmell": _D(43),
 }
 _EXPECTED = " UNION ALL ".join(f"SELECT 'C' || p_partkey AS class, 'M' || p_partkey AS method, '{n}' AS smell, CASE WHEN {r} THEN 'Found' ELSE 'Not Found' END AS status FROM part" for n, r in _RULES.items())
 

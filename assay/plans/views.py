@@ -45,9 +45,17 @@ def method_coverage_baseline_agg(t: Tables) -> DataFrame:
     return rows.selectExpr("method_id", "line_rate max_line_rate", "branch_rate max_branch_rate", "line_rate avg_line_rate", "branch_rate avg_branch_rate")
 
 
-def candidate_covered_methods(t: Tables) -> DataFrame:
+def _open_rates(t: Tables) -> DataFrame:
+    """Rates of methods that aren't covered in full."""
     rates = method_coverage_baseline_agg(t).selectExpr("method_id id", "max_line_rate line_rate", "max_branch_rate branch_rate")
-    rates = rates.where("(line_rate is not null or branch_rate is not null) and (line_rate != 1 or branch_rate != 1)")
+    return rates.where("(line_rate is not null or branch_rate is not null) and (line_rate != 1 or branch_rate != 1)")
+
+
+def candidate_covered_methods(t: Tables) -> DataFrame:
+    return _with_methods(t, _open_rates(t))
+
+
+def _with_methods(t: Tables, rates: DataFrame) -> DataFrame:
     classes = t.classes.selectExpr("id class_id", "name class_name", "file_id")
     files = t.source_files.selectExpr("id file_id", "analysis_project_id")
     methods = t.methods.selectExpr("id", "class_id", "name method_name", "full_string method_body")
@@ -56,7 +64,14 @@ def candidate_covered_methods(t: Tables) -> DataFrame:
 
 def method_test_mapping(t: Tables) -> DataFrame:
     """Calls from tests (the target) to methods outside test classes (the source)."""
-    calls = t.invocations.where("source_method_id != 0").selectExpr("source_method_id", "target_method_id test_method_id")
+    return _with_tests(t, _test_calls(t))
+
+
+def _test_calls(t: Tables) -> DataFrame:
+    return t.invocations.where("source_method_id != 0").selectExpr("source_method_id", "target_method_id test_method_id")
+
+
+def _with_tests(t: Tables, calls: DataFrame) -> DataFrame:
     tests = t.methods.where("is_test_method").selectExpr("id test_method_id", "name test_method_name", "full_string test_method_body", "class_id test_class_id")
     called = t.methods.selectExpr("id source_method_id", "class_id callee_class")
     callee = t.classes.where("not is_test_class").selectExpr("id callee_class")
@@ -69,11 +84,12 @@ def method_test_mapping(t: Tables) -> DataFrame:
 
 
 def baseline_uncovered_tested_methods(t: Tables) -> DataFrame:
+    """Repeats are merged while rows hold ids and rates only (all else follows from the ids); bodies are joined to what is left."""
     projects = t.analysis_projects.selectExpr("id analysis_project_id", "solution_id")
     solutions = t.analysis_solutions.selectExpr("id solution_id", "solution_path solution_file_path")
-    rows = candidate_covered_methods(t).join(method_test_mapping(t), F.col("method_id") == F.col("source_method_id")).drop("source_method_id")
+    rows = _with_methods(t, _open_rates(t).distinct()).join(_with_tests(t, _test_calls(t).distinct()), F.col("method_id") == F.col("source_method_id")).drop("source_method_id")
     rows = rows.join(projects, "analysis_project_id", "left").join(solutions, "solution_id", "left").drop("analysis_project_id", "solution_id")
-    return rows.withColumn("coverage_status", F.lit("Has tests covering method")).distinct()
+    return rows.withColumn("coverage_status", F.lit("Has tests covering method"))
 
 
 def baseline_coverage(t: Tables) -> DataFrame:

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that spark.checkpoint.dir names; where that is unset, in a temporary one for a local master, and an error for others."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="assay-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def append(df: DataFrame, path: str, partition: str | None = "repo_id") -> None:
     """Append Parquet files; the job's commit makes all rows visible or none."""
     writer = df.write.mode("append")
