@@ -13,8 +13,9 @@ page's own mark of its article (``article`` or ``main``) is a feature of both: a
 with few stop words is ambiguous, not bad, and between neighbours that differ at the same distance,
 or with none that is decided, a block in it is good. Blocks outside are judged like any other.
 
-Null and empty pages give an empty text. Malformed markup is read as far as it goes; repeated
-rows each give a row.
+Null and empty pages give an empty text. Malformed markup is read as far as it goes, and a tag that the next
+``<`` finds unclosed is text, so that time grows with the page's length; repeated rows each give a row, an empty
+table gives an empty one, and other columns are not read. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ STOP_WORDS = frozenset(
     "el los las y por con una su para es al lo como más del se ha o sus".split()
 )
 SHORT, MAX_LINKS = 70, 0.5
+#: Named parts nested deeper than this count as one with the part around them.
+MOST_NAMED = 64
 STOP_HIGH, STOP_LOW = 0.30, 0.15
 
 _BLOCK = frozenset(
@@ -51,8 +54,8 @@ _NAMES = re.compile(
     r"|breadcrumbs?|footer|masthead|comments?|commentlist|replies|reply|disqus|related|recommend\w*|shar(?:e|ing)|social|login|signup|signin|searchbox|search|pagination|pager|toolbar)(?:$|[^a-z])"
 )
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|title|noscript|iframe|template|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|title|noscript|iframe|template|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?/][^<>]*>|([^<]+|<)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -103,6 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     links = breaks = anchors = n_named = 0
     inside = skipped = quiet = False
     named: tuple[int, ...] = ()
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal links
@@ -118,6 +122,7 @@ def blocks_of(page: str) -> list[Block]:
         if any(x[0] in _BLOCK for x in stack[to:]):
             flush()
         anchors -= sum(x[0] == "a" for x in stack[to:])
+        opened.subtract(x[0] for x in stack[to:])
         del stack[to:]
         _, skipped, inside, named, quiet = stack[-1] if stack else ("", False, False, (), False)
 
@@ -140,9 +145,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[2]:
-            if tag == "p" and not any(x[0] == "p" for x in stack):
+            if tag == "p" and not opened["p"]:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
                 if stack[i][0] == tag:
                     close(i)
                     break
@@ -155,13 +160,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in _BLOCK:
             # A block ends an open paragraph, with the inline elements left open in it.
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if opened["p"] else -1, -1, -1):
                 if stack[i][0] == "p":
                     close(i)
                     break
                 if stack[i][0] in _BLOCK:
                     break
-            if tag in _ENDS:
+            if tag in _ENDS and opened[_ENDS[tag][0]]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == _ENDS[tag][0]:
                         close(i)
@@ -175,11 +180,12 @@ def blocks_of(page: str) -> list[Block]:
         out_now = skipped or _left_out(tag, m[4], inside)
         if not out_now and _named(tag, m[4]):
             n_named += 1
-            named, quiet = (*named, n_named), tag not in _BLOCK
+            named, quiet = (*named, n_named) if len(named) < MOST_NAMED else named, tag not in _BLOCK
         elif tag in _BLOCK:
             quiet = False
         skipped, inside = out_now, inside or tag in ("article", "main")
         stack.append((tag, skipped, inside, named, quiet))
+        opened[tag] += 1
         anchors += tag == "a"
     flush()
     return out
@@ -257,4 +263,4 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = [main_text(x) for x in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return map_batches(pages.select("page_id", "url", "html"), fn, "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), fn, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

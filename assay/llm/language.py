@@ -9,7 +9,9 @@ Trigram counts are learnt from texts with a language outside the held-out fold,
 of them for each language, chosen by a hash of their id.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text where there is
-nothing to learn from. Repeated rows each give a row.
+nothing to learn from. Repeated rows each give a row, an empty table gives an empty one, and other
+columns are not read. A very long text is one mixture; its trigrams are counted some at a time, and
+what is kept of it is a number for each word and language. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SAMPLE, BUCKETS = 2_000, 1 << 15
 #: Every FOLDS-th crc32 of an id is held out. Weight of BIC's penalty.
 FOLDS, PENALTY = 5, 4.0
 ROUNDS, MORE_ROUNDS = 10, 3
+PART = 400_000
 
 #: Letters stay (A-Z in lower case, all beyond ASCII), everything else separates.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -44,15 +47,30 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the trigrams around each letter; where each word's begin; how many words each text has."""
     words = [t.encode().translate(_LETTERS).split() for t in texts]
     counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    if not counts.sum():
-        return np.empty(0, np.int64), np.empty(0, np.int64), counts
-    flat = np.frombuffer(b" " + b" ".join(w for ws in words for w in ws) + b" ", dtype=np.uint8).astype(np.uint32)
+    return *trigrams_of(b" ".join(w for ws in words for w in ws)), counts
+
+
+def trigrams_of(words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of words with one space between them."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    flat = np.frombuffer(b" " + words + b" ", dtype=np.uint8).astype(np.uint32)
     key = (flat[:-2] << 16) | (flat[1:-1] << 8) | flat[2:]
     bucket = ((key * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
     letter = flat[1:-1] != 32
     first = letter & (flat[:-2] == 32)
     at = np.cumsum(letter)
-    return bucket[letter], at[first] - 1, counts
+    return bucket[letter], at[first] - 1
+
+
+def _parts(words: bytes) -> Iterator[bytes]:
+    """Some ``PART`` bytes at a time, cut between words: the trigrams of a very long text don't lie in memory together."""
+    at = 0
+    while at < len(words):
+        end = words.find(b" ", at + PART)
+        end = len(words) if end < 0 else end
+        yield words[at:end]
+        at = end + 1
 
 
 @dataclass(frozen=True)
@@ -60,15 +78,21 @@ class LanguageModel:
     languages: tuple[str, ...]
     log_p: np.ndarray  # buckets x languages
 
+    def of_words(self, words: bytes) -> np.ndarray:
+        """Log likelihood of each word in each language."""
+        bucket, starts = trigrams_of(words)
+        return np.add.reduceat(self.log_p[bucket], starts, axis=0)
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Proportions (texts x languages; zero outside the chosen set), and word counts."""
-        bucket, starts, counts = trigrams(texts)
+        words = [b" ".join(t.encode().translate(_LETTERS).split()) for t in texts]
+        counts = np.array([w.count(b" ") + 1 if w else 0 for w in words], dtype=np.int64)
         n, k = len(texts), len(self.languages)
         share = np.zeros((n, k))
         there = np.flatnonzero(counts)
         if not len(there) or not k:
             return share, counts
-        logs = np.add.reduceat(self.log_p[bucket], starts, axis=0)
+        logs = np.concatenate([self.of_words(part) for part in _parts(b" ".join(filter(None, words)))])
         top = logs.max(axis=1, keepdims=True)
         like = np.exp(np.maximum(logs - top, -30.0))  # a word that no language knows decides nothing
         size = counts[there]
@@ -165,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, kind)], names=["doc_id", "lang_pred", "score", "languages"])
 
-    return map_batches(docs.select("doc_id", "text"), fn, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return map_batches(docs.select("doc_id", "text"), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ pseudo-likelihood: of each line's label, given its features and its neighbours'
 Without labels of both kinds, ``PRIOR`` is used.
 
 Null texts have no words; a text of fewer than 50 words, or of which more than half the words
-stand in repeated three-word windows, fails the base rules. Repeated rows each give a row.
+stand in repeated three-word windows, fails the base rules. Repeated rows each give a row, and an empty
+table gives an empty one; other columns are not read. A very long text is labelled as a whole, in one
+worker, with memory in proportion to its lines. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -224,7 +226,7 @@ def quality_rules(docs: DataFrame, field: LineField, min_content: float = MIN_CO
         columns = zip(*(one(t or "") for t in batch.column(1).to_pylist()))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *names])
 
-    return map_batches(docs.select("doc_id", "text"), fn, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
+    return map_batches(docs.select("doc_id", "text"), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
 
 
 def keep_good(docs: DataFrame, field: LineField, min_content: float = MIN_CONTENT) -> DataFrame:

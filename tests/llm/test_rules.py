@@ -178,6 +178,51 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+def test_time_grows_with_length():
+    import time
+
+    def took(unit, n):
+        began = time.process_time()
+        html_text.main_text(unit * n)
+        return time.process_time() - began
+
+    for unit in ("<a ", "<! ", "</ ", "<a href='x ", '<a x" ', "<script ", "<div></p>", "<div></section>", "<div class=ad>", "<p><i>", "<i><hr>", "<!--"):
+        assert took(unit, 40_000) < 8 * max(took(unit, 10_000), 0.05), unit
+    assert html_text.main_text("<article><p>a <b title='x<y>z'>b</b> < c</article>") == "a b < c"
+
+
+@needs_tables
+def test_test_pages_go_through_both_passes():
+    """Every page's blocks are labelled by the passes, and its article comes out whole."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist()[:50]
+    for page in pages:
+        blocks = html_text.without_named(html_text.blocks_of(page))
+        first = [html_text.first_pass(b) for b in blocks]
+        decided = [i for i, x in enumerate(first) if x is not None]
+        want = []
+        for i, (b, x) in enumerate(zip(blocks, first)):  # the second pass, plainly
+            if x is None:
+                near = min((abs(i - j) for j in decided), default=None)
+                labels = {first[j] for j in decided if abs(i - j) == near}
+                x = labels.pop() if len(labels) == 1 else b.inside
+            want += [b.text] if x else []
+        assert blocks and html_text.main_text(page) == "\n\n".join(want)
+        article = re.search(r"<article.*?</article>", page, re.S)
+        assert article and all(b.text in want for b in html_text.blocks_of(article[0]) if len(b.text) > 140 and not b.links and not b.parts)
+
+
+def test_other_ids_and_long_texts(spark):
+    df = spark.createDataFrame([("a", "the word and the line of it " * 40, "en"), ("b", "le mot et la ligne de la page " * 40, "fr"), ("c", "the end and the word of it " * 60_000, None)] + [(f"x{i}", "the word of it and so on " * 9, "en") for i in range(30)], "doc_id string, text string, lang string")
+    got = {r.doc_id: r for r in language.language_id(df).collect()}
+    assert got["c"].lang_pred == "en" and got["c"].score > 0.9
+    kept = {r.doc_id: r.n_words for r in quality.quality_rules(df, quality.LineField(quality.PRIOR[:-1], 1.0)).collect()}
+    assert kept["c"] == 420_000
+    page = spark.createDataFrame([("p", "u", "<article>" + "<p>It is the text of a page and of a word that is in it for us. " * 20_000 + "</article>")], "page_id string, url string, html string")
+    assert html_text.extract(page).first().n_chars > 1_000_000
+
+
 # --- licenses
 
 @needs_tables
