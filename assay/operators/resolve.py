@@ -48,11 +48,38 @@ def like_any(text: Column, part: Column) -> Column:
     return F.call_function("like", F.lower(text), pattern)
 
 
+#: Characters of the pieces by which texts and names are brought together.
+GRAM = 4
+
+
+def _grams(runs: Column) -> Column:
+    pieces = lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - (GRAM - 1)), lambda i: F.substring(r, i, F.lit(GRAM)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: F.char_length(r) >= GRAM), pieces)))
+
+
+def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """(text, name): distinct texts with the distinct names that they hold, see ``like_any``.
+
+    A text that holds a name holds every piece of it between wildcards. Names are joined to texts by the one of
+    their pieces of ``GRAM`` characters that the fewest texts hold, then compared whole; names with a piece that no
+    text holds are gone before that. Names with no such piece, those shorter or all wildcards, are compared with all texts.
+    """
+    whole = texts.select(F.col(text).alias("_text")).where("_text is not null").distinct().withColumn("_key", F.xxhash64("_text"))
+    parts = names.select(F.col(name).alias("_name")).where("_name is not null").distinct().withColumn("_grams", _grams(F.split(F.lower("_name"), "[_%]")))
+    asked = parts.select("_name", F.explode("_grams").alias("_gram"))
+    held = whole.select("_key", F.explode(_grams(F.array(F.lower("_text")))).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi")
+    often = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
+    rarest = asked.join(often, "_gram", "left").groupBy("_name").agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"))
+    pairs = rarest.join(held, "_gram").select("_key", "_name").join(whole, "_key").where(like_any(F.col("_text"), F.col("_name")))
+    short = parts.where(F.size("_grams") == 0).select("_name")
+    pairs = pairs.select("_text", "_name").unionByName(whole.select("_text").join(short, like_any(F.col("_text"), F.col("_name"))))
+    return pairs.select(F.col("_text").alias(text), F.col("_name").alias(name))
+
+
 def lookup_contained(rows: DataFrame, text: str, entities: DataFrame, name: str, id_col: str = "id", out: str = "found_id") -> DataFrame:
-    """The lowest id of the entities whose name the text contains. Names are merged first: the nested loop is over distinct texts and distinct names."""
-    names = entities.groupBy(F.col(name).alias("_name")).agg(F.min(id_col).alias("_id"))
-    texts = rows.select(text).distinct()
-    found = texts.join(names, like_any(F.col(text), F.col("_name"))).groupBy(text).agg(F.min("_id").alias(out))
+    """The lowest id of the entities whose name the text contains."""
+    names = entities.groupBy(F.col(name).alias("_named")).agg(F.min(id_col).alias("_id"))
+    found = containing(rows.select(text), text, names, "_named").join(names, "_named").groupBy(text).agg(F.min("_id").alias(out))
     return rows.join(found, text, "left")
 
 

@@ -211,9 +211,9 @@ def lookup_contains(t: Tables) -> DataFrame:
 
 @over_tables("lookup_file", "SELECT m.id, f.found_id FROM mutants m JOIN supplier s ON s.s_suppkey = m.source_file_id LEFT JOIN (SELECT x.s_name, min(f.id) AS found_id FROM supplier x JOIN source_files f ON lower(f.path) LIKE '%' || lower(x.s_name) || '%' GROUP BY x.s_name) f ON f.s_name = s.s_name")
 def lookup_file(t: Tables) -> DataFrame:
-    """Files whose path holds the reported name. Both sides hold distinct names; each is found once."""
-    names = t.raw("supplier").selectExpr("s_suppkey source_file_id", "s_name")
-    found = names.select("s_name").distinct().join(t.source_files.select(C("id").alias("_id"), "path"), R.like_any(C("path"), C("s_name"))).groupBy("s_name").agg(F.min("_id").alias("found_id"))
+    """The first of the files whose path holds the reported name."""
+    names, files = t.raw("supplier").selectExpr("s_suppkey source_file_id", "s_name"), t.source_files.groupBy("path").agg(F.min("id").alias("_id"))
+    found = R.containing(files, "path", names, "s_name").join(files, "path").groupBy("s_name").agg(F.min("_id").alias("found_id"))
     return t.mutants.select("id", "source_file_id").join(names, "source_file_id").join(found, "s_name", "left").select("id", "found_id")
 
 

@@ -1,6 +1,7 @@
 """Every registered query of the warehouse against its DuckDB SQL, and the measured counts of FIXTURES.md."""
 
 import math
+import re
 import os
 
 import duckdb
@@ -75,3 +76,17 @@ def test_cohesion_by_hand(spark):
     df = spark.createDataFrame([("g", 1, "abcabc"), ("g", 2, "abcabc"), ("h", 1, "abc"), ("h", 2, "xyz"), ("one", 1, "abc"), ("short", 1, "a"), ("short", 2, "b")], "g string, id int, b string")
     got = {r.g: (r.bodies, r.mean_similarity, r.lacks_cohesion) for r in M.cohesion(df, "g", "b", "id").collect()}
     assert got == {"g": (2, 1.0, False), "h": (2, 0.0, True), "one": (1, None, False), "short": (2, 0.0, True)}
+
+
+def test_contained_names_of_any_shape(spark):
+    """Found by pieces or, without one, by comparing all: as a loop over all pairs finds them."""
+    import random
+
+    rng = random.Random(3)
+    made = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [made(rng.randrange(40), "abAB_%\\é") for _ in range(150)] + ["", None, "abcd"]
+    names = [made(rng.randrange(9), "abB_%\\É") for _ in range(80)] + ["", None, "__", "ab%BA", "ABCD"]
+    got = R.containing(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(n,) for n in names], "n string"), "n").collect()
+    pattern = lambda n: ".*" + "".join({"_": ".", "%": ".*"}.get(c, re.escape(c)) for c in n.lower()) + ".*"
+    expected = sorted((t, n) for t in set(texts) - {None} for n in set(names) - {None} if re.fullmatch(pattern(n), t.lower(), 16))
+    assert sorted((r.t, r.n) for r in got) == expected and len(expected) > 100
