@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.csharp import with_features
 from assay.sources.adapters import SMELLS
+from assay.sources.sinks import shared_path
 
 #: Words in a called name that make a test's purpose known.
 KNOWN_CALLS = ("Verify", "Should", "When", "Given", "And", "Then", "Test", "MatchSnapshot")
@@ -68,19 +71,28 @@ def rules(f: str = "f", attributes: str = "attributes", known_helpers: str | Non
     return dict(zip(SMELLS, values))
 
 
-def detect(methods: DataFrame) -> DataFrame:
-    """(class, method, smell, status) of every test with a block body.
+def detect(methods: DataFrame, kinds: Sequence[str] = SMELLS) -> DataFrame:
+    """(class, method, smell, status) of every test with a block body, for the rules named.
 
     ``methods`` has class, name, body (null where expression-bodied) and attributes (array of their texts). Tests
     have the attribute Fact in any case; all others are helpers. A helper by bare name is
     judged first, by itself (of overloads the last by body counts); tests that call one which isn't unknown aren't either.
+
+    Each body is scanned once: helpers' only if their verdict is asked for, and then the tests' scan is written to
+    the shared folder, since it is read twice.
     """
-    rows = with_features(methods.select("class", "name", "body", "attributes")).where("f is not null")
-    is_test = F.exists("attributes", lambda a: F.lower(F.regexp_extract(a, r"^\s*(\w+)", 1)) == "fact")
-    helpers = rows.where(~is_test).groupBy("name").agg(F.max_by(rules()["UnknownTestSmell"], "body").alias("unknown")).where("not unknown").select("name")
-    tests = rows.where(is_test).withColumn("_id", F.xxhash64("class", "name", "body"))
-    called = tests.select("_id", F.explode(F.array_distinct("f.callees")).alias("name")).join(helpers, "name").groupBy("_id").agg(F.collect_set("name").alias("known"))
-    judged = tests.join(called, "_id", "left")
-    found = rules(known_helpers="known")
-    kinds = F.array(*(F.struct(F.lit(n).alias("smell"), F.when(F.coalesce(c, F.lit(False)), "Found").otherwise("Not Found").alias("status")) for n, c in found.items()))
-    return judged.select("class", F.col("name").alias("method"), F.explode(kinds).alias("s")).select("class", "method", "s.smell", "s.status")
+    rows = methods.select("class", "name", "body", "attributes").where("body is not null")
+    is_test = F.coalesce(F.exists("attributes", lambda a: F.lower(F.regexp_extract(a, r"^\s*(\w+)", 1)) == "fact"), F.lit(False))
+    tests = with_features(rows.where(is_test))
+    if "UnknownTestSmell" in kinds:
+        path = shared_path(methods.sparkSession, "test-features")
+        tests.withColumn("_id", F.xxhash64("class", "name", "body")).drop("body").write.parquet(path)
+        tests = methods.sparkSession.read.parquet(path)
+        helpers = with_features(rows.where(~is_test)).groupBy("name").agg(F.max_by(rules()["UnknownTestSmell"], "body").alias("unknown")).where("not unknown").select("name")
+        called = tests.select("_id", F.explode(F.array_distinct("f.callees")).alias("name")).join(helpers, "name").groupBy("_id").agg(F.collect_set("name").alias("known"))
+        tests = tests.join(called, "_id", "left")
+        found = rules(known_helpers="known")
+    else:
+        found = rules()
+    judged = F.array(*(F.struct(F.lit(n).alias("smell"), F.when(F.coalesce(found[n], F.lit(False)), "Found").otherwise("Not Found").alias("status")) for n in kinds))
+    return tests.select("class", F.col("name").alias("method"), F.explode(judged).alias("s")).select("class", "method", "s.smell", "s.status")

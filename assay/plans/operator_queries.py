@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import scalars as S
+from assay.functions.tokens import token_count as prompts_tokens
+from assay.operators import generate as G
 from assay.operators import metrics as M
 from assay.operators import resolve as R
 from assay.plans import views as V
 from assay.plans.registry import query
-from assay.sources import sinks
+from assay.sources import schema, sinks
 from assay.sources.adapters import SMELLS, Tables, with_tables
+from assay.streaming import ingest
 
 
 #: Shingle counts of the methods' bodies.
@@ -166,9 +171,58 @@ def split_sink(t: Tables) -> DataFrame:
     return t.spark.read.schema(rows.schema).parquet(path)
 
 
-@over_tables("create_schema", "SELECT id, name FROM test_smells")
+_SCHEMA_ROWS = [(name, i, *column.split()[:2], len(SMELLS) if name == "test_smells" else 0) for name in schema.COLUMNS for i, column in enumerate(schema.ddl(name).split(", "))]
+
+
+@over_tables("create_schema", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {i}, '{c}', '{kind}', {n}::BIGINT)" for a, i, c, kind, n in _SCHEMA_ROWS) + ") v(table_name, position, column_name, data_type, n_rows)")
 def create_schema(t: Tables) -> DataFrame:
-    return t.test_smells
+    """The tables are made, and made again, which changes nothing; then each file's columns and rows."""
+    root = sinks.shared_path(t.spark, "warehouse")
+    schema.create(t.spark, root)
+    schema.create(t.spark, root)
+    parts = []
+    for name in schema.COLUMNS:
+        stored = t.spark.read.parquet(f"{root}/{name}")
+        fields = F.array(*(F.struct(L(i).alias("position"), L(f.name).alias("column_name"), L(f.dataType.simpleString()).alias("data_type")) for i, f in enumerate(stored.schema.fields)))
+        parts.append(stored.agg(F.count(L(1)).alias("n_rows")).select(L(name).alias("table_name"), F.explode(fields).alias("f"), "n_rows").select("table_name", "f.*", "n_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@over_tables("token_count")
+def token_count(t: Tables) -> DataFrame:
+    """Tokens of the prompts made for parts; the library's file of ranks is a parameter."""
+    import public_tokenizers
+
+    prompt = S.test_prompt(C("p_name"), C("p_type"), C("p_brand"), L("[]"), L("xUnit"))
+    return t.raw("part").select("p_partkey", prompts_tokens(prompt, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).alias("n_tokens"))
+
+
+@over_tables("llm_generate", f"SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN {_RESP_SQL} END AS response FROM part")
+def llm_generate(t: Tables) -> DataFrame:
+    """Answers recorded for three quarters of the prompts, each twice; the first counts."""
+    parts = t.raw("part").withColumn("prompt", F.concat(L("Test "), C("p_partkey").cast("string")))
+    first = parts.where("p_size % 4 > 0").select(G.record_key(C("prompt")).alias("prompt_hash"), L(1).alias("seq"), _RESP().alias("response"))
+    recorded = first.unionByName(first.select("prompt_hash", L(2).alias("seq"), L("again").alias("response")))
+    return G.responses(parts.select("p_partkey", "prompt"), recorded).select("p_partkey", "response")
+
+
+@over_tables("stream_insert_new", "SELECT sha256(text) AS content_hash, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def stream_insert_new(t: Tables) -> DataFrame:
+    """Documents as a stream into a table that takes new contents only."""
+    table = sinks.shared_path(t.spark, "stream-table")
+    rows = t.stream("documents").where("text is not null").select(C("doc_id").alias("id"), S.content_hash(C("text")).alias("content_hash"))
+    ingest.insert_new(rows, table, ["content_hash"], "id", f"{table}-offsets").awaitTermination()
+    return t.spark.read.option("basePath", table).parquet(table).select("content_hash", "id")
+
+
+@over_tables("stream_outcomes", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_outcomes(t: Tables) -> DataFrame:
+    """Events as a stream, counted by hour."""
+    table = sinks.shared_path(t.spark, "stream-windows")
+    rows = t.stream("events").withColumn("ts", C("ts").cast("timestamp"))
+    counts = ingest.outcomes_by_window(rows, outcome="event_type")
+    ingest.publish(counts, table, f"{table}-offsets").awaitTermination()
+    return t.spark.read.schema(counts.schema).parquet(table).withColumn("start", C("start").cast("timestamp_ntz"))
 
 
 @over_tables("scan_tables", "SELECT p_partkey, p_name, p_size FROM part")

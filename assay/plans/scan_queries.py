@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions import scalars as S
 from assay.functions.smells import detect
 from assay.plans.operator_queries import over_tables
 from assay.sources import reports as P
@@ -133,33 +134,57 @@ def scan_project_refs(t: Tables) -> DataFrame:
     return P.project_references(t.raw("part").select(_tag("  - out/side\\src/P%d.csproj", C("p_size")).alias("value")), there)
 
 
-_PATHS = "['.sln', '.cs', '.g.cs', 'AssemblyInfo.cs', 'Test.cs', 'x.AssemblyAttributes.cs'][1 + p_partkey % 6]"
+# --- files: each nation is a repository with a solution, sources and a log, written to the shared folder and found there
 
+_MESSAGE = "code COVERAGE is currently supported only on Windows."
+_ENDS = (".sln", ".cs", ".g.cs", "AssemblyInfo.cs", "Test.cs", "x.AssemblyAttributes.cs")
+#: Every file of every repository: its name by a number from 0 to 6, of which the last is a log, and its text.
+_TREE = f"""
+  SELECT n_nationkey AS k, i, 'r' || n_nationkey AS repo,
+    CASE WHEN i = 6 THEN 'logs/R' || n_nationkey || (CASE WHEN n_nationkey % 3 = 0 THEN '_build' ELSE '_DOCKER' END) || '.log'
+         ELSE 'r' || n_nationkey || (CASE WHEN i = 0 THEN '/' ELSE '/src/' END) || 'F' || n_nationkey || [{', '.join(f"'{e}'" for e in _ENDS)}][i + 1] END AS path,
+    CASE WHEN i < 6 THEN 'using System; namespace ' || n_name || i || ';' WHEN n_nationkey % 4 = 1 THEN '{_MESSAGE}' ELSE 'done' END AS content
+  FROM nation, (SELECT unnest(range(7)) AS i) WHERE i <> 4 OR n_nationkey % 2 = 0
+"""
 
-def _tree(t: Tables) -> DataFrame:
-    end = F.element_at(F.array(*map(L, (".sln", ".cs", ".g.cs", "AssemblyInfo.cs", "Test.cs", "x.AssemblyAttributes.cs"))), (C("p_partkey") % 6 + 1).cast("int"))
-    return t.raw("part").select(C("p_brand").alias("repo"), F.concat(L("/r/src/"), C("p_partkey").cast("string"), end).alias("path"))
 
+def _tree(t: Tables) -> str:
+    """The folder with the files of ``_TREE``; odd nations have no test."""
+    k, i = C("n_nationkey").cast("string"), C("i")
+    rows = t.raw("nation").select("n_nationkey", "n_name", F.explode(F.sequence(L(0), L(6))).alias("i")).where((i != 4) | (C("n_nationkey") % 2 == 0))
+    source = F.concat(L("r"), k, F.when(i == 0, "/").otherwise("/src/"), L("F"), k, F.get(F.array(*map(L, _ENDS)), i))
+    log = F.concat(L("logs/R"), k, F.when(C("n_nationkey") % 3 == 0, "_build").otherwise("_DOCKER"), L(".log"))
+    text = F.when(i < 6, F.concat(L("using System; namespace "), "n_name", i.cast("string"), L(";"))).when(C("n_nationkey") % 4 == 1, _MESSAGE).otherwise("done")
+    root = sinks.shared_path(t.spark, "tree")
+    sinks.write_files(rows.select(F.when(i == 6, log).otherwise(source).alias("path"), text.alias("content")), root)
+    return root
 
-@over_tables("scan_source_files", f"SELECT p_brand AS repo, '/r/src/' || p_partkey || {_PATHS} AS path FROM part WHERE p_partkey % 6 IN (1, 4)")
+
+def _found(t: Tables, glob: str) -> DataFrame:
+    root = _tree(t)
+    files = P.read_files(t.spark, root, glob).withColumn("path", P.below(C("path"), root))
+    return files.select(F.split("path", "/")[0].alias("repo"), "path", "content")
+
+
+@over_tables("scan_source_files", f"SELECT repo, path, content FROM ({_TREE}) WHERE i IN (1, 4)")
 def scan_source_files(t: Tables) -> DataFrame:
-    return P.source_files(_tree(t))
+    return P.source_files(_found(t, "*.cs"))
 
 
-@over_tables("scan_solutions", f"SELECT '/r/src/' || p_partkey || {_PATHS} AS path FROM part WHERE p_partkey % 6 = 0")
+@over_tables("scan_solutions", f"SELECT repo, path FROM ({_TREE}) WHERE i = 0")
 def scan_solutions(t: Tables) -> DataFrame:
-    return _tree(t).where(F.endswith("path", L(".sln"))).select("path")
+    return P.list_files(t.spark, _tree(t), "*.sln").select(F.split("path", "/")[0].alias("repo"), "path")
 
 
-@over_tables("scan_repo_tree", f"SELECT p_brand AS repo, bool_or('/r/src/' || p_partkey || {_PATHS} ILIKE '%test%') AS has_tests FROM part GROUP BY p_brand")
+@over_tables("scan_repo_tree", f"SELECT repo, bool_or(path ILIKE '%test%') AS has_tests FROM ({_TREE}) WHERE i < 6 GROUP BY repo")
 def scan_repo_tree(t: Tables) -> DataFrame:
-    return P.likely_tested(_tree(t))
+    return P.likely_tested(P.list_files(t.spark, _tree(t), "*.{sln,cs}").select(F.split("path", "/")[0].alias("repo"), "path"))
 
 
-@over_tables("scan_logs", "SELECT '/logs/Rep_' || (CASE WHEN c_custkey % 2 = 0 THEN 'Docker' ELSE 'build' END) || c_custkey || '.log' AS path FROM customer WHERE c_custkey % 2 = 0")
+@over_tables("scan_logs", f"SELECT path, content ILIKE '%{_MESSAGE}%' AS windows_only FROM ({_TREE}) WHERE i = 6 AND path ILIKE '%docker%' AND path ILIKE '%r1%'")
 def scan_logs(t: Tables) -> DataFrame:
-    name = F.concat(L("/logs/Rep_"), F.when(C("c_custkey") % 2 == 0, "Docker").otherwise("build"), C("c_custkey").cast("string"), L(".log"))
-    return P.logs_of(t.raw("customer").select(name.alias("path")), "rep")
+    """Of the logs of r1, r10, r11, …: which hold the message."""
+    return P.logs_of(_found(t, "*.log"), "r1").select("path", S.windows_only(C("content")).alias("windows_only"))
 
 
 def _csv_round(t: Tables, rows: DataFrame, name: str) -> DataFrame:
@@ -187,6 +212,7 @@ def csv_windows(t: Tables) -> DataFrame:
 _LINES = (
     ("if (a) {{ F(); }}", 2), ("Assert.Same(x, x);", 3), ("Console.WriteLine(1);", 5), ("Thread.Sleep(1);", 7), ("Assert.Equal(7, y{0});", 11), ("Assert.True(a{0} == b);", 13), ("Assert.Equal(true, z{0});", 17), ("o.One(); o.Two();", 19),
     ("if (c) {{ }} " * 10, 29), ("Twice(); Twice();", 37), ("Assert.Equal(s, t.ToString());", 41), (" ".join(f"var v{i} = w;" for i in range(11)), 43),
+    ("class Inner {{ public Inner() {{ }} }}", 47),
 )
 
 
@@ -201,7 +227,7 @@ _ANY = " OR ".join(_D(n) for _, n in _LINES)
 _ASSERTS = f"({' + '.join(_D(n) + '::INT' for n in (3, 11, 13, 17, 41))})"
 _RULES = {
     "EmptyTestSmell": f"NOT ({_ANY})", "ConditionalTestSmell": f"{_D(2)} OR {_D(29)}", "CyclomaticComplexityTestSmell": _D(29), "ExpectedExceptionTestSmell": _D(31), "AssertionRouletteTestSmell": f"{_ASSERTS} > 2", "UnknownTestSmell": f"{_ASSERTS} = 0", "RedundantPrintTestSmell": _D(5), "SleepyTestSmell": _D(7),
-    "IgnoreTestSmell": _D(23), "RedundantAssertionTestSmell": _D(3), "DuplicateAssertionTestSmell": _D(37), "MagicNumberTestSmell": _D(11), "EagerTestSmell": _D(19), "BoolInAssertEqualSmell": _D(17), "EqualInAssertSmell": _D(13), "SensitiveEqualitySmell": _D(41), "ConstructorInitializationTestSmell": "false", "ObscureInLineSetUpSmell": _D(43),
+    "IgnoreTestSmell": _D(23), "RedundantAssertionTestSmell": _D(3), "DuplicateAssertionTestSmell": _D(37), "MagicNumberTestSmell": _D(11), "EagerTestSmell": _D(19), "BoolInAssertEqualSmell": _D(17), "EqualInAssertSmell": _D(13), "SensitiveEqualitySmell": _D(41), "ConstructorInitializationTestSmell": _D(47), "ObscureInLineSetUpSmell": _D(43),
 }
 _EXPECTED = " UNION ALL ".join(f"SELECT 'C' || p_partkey AS class, 'M' || p_partkey AS method, '{n}' AS smell, CASE WHEN {r} THEN 'Found' ELSE 'Not Found' END AS status FROM part" for n, r in _RULES.items())
 
@@ -214,7 +240,12 @@ def _smell_key(name: str) -> str:
 
 
 for _name in SMELLS:
-    over_tables(_smell_key(_name), f"SELECT class, method, status FROM ({_EXPECTED}) WHERE smell = '{_name}'")(lambda t, n=_name: detect(_bodies(t)).where(C("smell") == n).select("class", "method", "status"))
+    over_tables(_smell_key(_name), f"SELECT class, method, status FROM ({_EXPECTED}) WHERE smell = '{_name}'")(lambda t, n=_name: detect(_bodies(t), [n]).select("class", "method", "status"))
+
+
+@over_tables("smell_all", f"SELECT class, method, smell, status FROM ({_EXPECTED})")
+def smell_all(t: Tables) -> DataFrame:
+    return detect(_bodies(t))
 
 
 @over_tables("helper_prepass", "SELECT 'V' || p_partkey AS method, CASE WHEN p_partkey % 2 = 0 THEN 'Not Found' ELSE 'Found' END AS status FROM part")
@@ -223,4 +254,4 @@ def helper_prepass(t: Tables) -> DataFrame:
     k = C("p_partkey")
     helper = t.raw("part").select(L("C").alias("class"), _tag("H%d", k).alias("name"), F.when(k % 2 == 0, "{ Assert.True(a); }").otherwise("{ F(); }").alias("body"), F.array().cast("array<string>").alias("attributes"))
     test = t.raw("part").select(L("C").alias("class"), _tag("V%d", k).alias("name"), _tag("{ H%d(); }", k).alias("body"), F.array(L("Fact")).alias("attributes"))
-    return detect(helper.unionByName(test)).where("smell = 'UnknownTestSmell'").select("method", "status")
+    return detect(helper.unionByName(test), ["UnknownTestSmell"]).select("method", "status")

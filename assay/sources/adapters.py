@@ -25,6 +25,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table's files as a stream; the pattern stands for a single file or a folder, which a plain path wouldn't."""
+        return self.spark.readStream.schema(self.raw(name).schema).parquet(f"{self.dir}/{name}.[p]arquet")
+
     @cached_property
     def n_part(self) -> int:
         return self.raw("part").count()

@@ -13,11 +13,22 @@ from assay.functions import scalars as S
 
 
 def read_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(path, content) of every matching file under a folder, of any depth."""
+    """(path, content) of every matching file under a folder, of any depth. Spark leaves out empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return files.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path) of every matching file under a folder, of any depth, from the folder on; no content is read. Spark leaves out empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select(below(F.col("path"), root).alias("path"))
+
+
+def below(path, root: str):
+    """The part of a file's path under ``root``, whose last name stands once in the path."""
+    return F.substring_index(path, "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+
+
 def without_namespaces(content):
     """XML text without namespace declarations, prefixes of tags, and document type."""
     text = F.regexp_replace(content, r"<!DOCTYPE[^>]*>", "")

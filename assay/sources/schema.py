@@ -52,8 +52,12 @@ KEYS = {
 ALL_REPOS = ""
 
 
+def ddl(table: str) -> str:
+    return f"repo_id string not null, id bigint not null, {COLUMNS[table]}"
+
+
 def schema_of(table: str) -> StructType:
-    return StructType.fromDDL(f"repo_id string not null, id bigint not null, {COLUMNS[table]}")
+    return StructType.fromDDL(ddl(table))
 
 
 def _there(spark: SparkSession, path: str) -> bool:

@@ -20,6 +20,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """One file for each row (path under ``root``, content), written one after another by the driver: for reports and sources that other programs read, not for tables."""
+    spark = files.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for row in files.select("path", F.encode("content", "UTF-8").alias("content")).toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{row.path}")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(row.content or b""))
+        out.close()
+
+
 def append(df: DataFrame, path: str, partition: str | None = "repo_id") -> None:
     """Append Parquet files; the job's commit makes all rows visible or none."""
     writer = df.write.mode("append")

@@ -35,3 +35,12 @@ def insert_new(stream: DataFrame, table: str, keys: list[str], order: str, check
 def outcomes_by_window(results: DataFrame, time: str = "ts", outcome: str = "test_outcome", length: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts of outcomes in windows of time; rows later than the watermark are left out, so the state stays bounded."""
     return results.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), outcome).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), outcome, "n")
+
+
+def publish(counts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Write the counts so far of all windows, each batch over the last; for results that are small beside their input."""
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
