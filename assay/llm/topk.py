@@ -6,7 +6,9 @@ has plus the product of the norms that remain (Cauchy-Schwarz), and candidates w
 under the query's k-th best score so far are compacted away.
 
 Queries and candidates are dealt out in blocks, a task for each pair of blocks, so no task or
-broadcast grows with the input; each pair returns k rows for a query, and those are merged.
+broadcast grows with the input; each pair returns k rows for a query, and those are merged. All
+queries meet one block first: their k-th best scores in it bound the search in all other blocks.
+A candidate is copied once for each block of queries.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows without
 an id. All rows with a query's id are the query's own; of repeated query rows one is asked.
@@ -17,25 +19,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.llm.common import written
+
 SCALE, BLOCK = 1024, 8
-QUERIES, CANDIDATES = 4_096, 16_384  # in a block
+QUERIES, CANDIDATES = 16_384, 16_384  # in a block
 _LONG = 2**63
 
 
 def integers(vectors: pa.Array) -> np.ndarray:
-    """floor(SCALE * x) of a list array, one row for each vector."""
-    rows = [np.floor(np.asarray(v, dtype=np.float64) * SCALE) for v in vectors.to_pylist()]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    """floor(SCALE * x) of a list array without nulls, one row for each vector, shorter ones padded with zeros."""
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = values
     return out
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best among ``vectors``, own ids left out."""
+def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query id, id, score) of each query's k best among ``vectors``, own ids left out; those under the query's floor may be missing."""
     width = max(queries.shape[1], vectors.shape[1])
     queries, vectors = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, vectors))
     order = np.argsort(ids, kind="stable")
@@ -50,7 +55,8 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
         return out
     blocks = [slice(a, min(a + BLOCK, width)) for a in range(0, width, BLOCK)]
     squares = np.array([np.square(columns[b]).sum(axis=0) for b in blocks])
-    for q, own in zip(queries, query_ids.tolist()):
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
+    for q, own, known in zip(queries, query_ids.tolist(), floors.tolist()):
         mass = np.array([np.square(q[b]).sum() for b in blocks])
         walk = np.argsort(-mass, kind="stable")  # the query's heaviest blocks first
         left = np.sqrt(np.concatenate([np.cumsum(mass[walk][::-1])[::-1][1:], [0.0]]))
@@ -60,7 +66,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
         # A lower bound to begin with: the k-th best whole score of those that lead after a block.
         lead = alive[np.argpartition(-part, 4 * k)[: 4 * k]] if len(alive) > 4 * k else alive
         sure = q @ columns[:, lead]
-        floor = np.sort(sure)[-k] if len(sure) >= k else -np.inf
+        floor = max(known, np.sort(sure)[-k] if len(sure) >= k else -np.inf)
         for step, b in enumerate(walk):
             if step:
                 part += q[blocks[b]] @ columns[blocks[b]][:, alive]
@@ -81,17 +87,27 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str =
     asked, rows = usable(queries).groupBy("id").agg(F.min("v").alias("v")), usable(candidates)
     qs, cs = max(1, -(-asked.count() // block[0])), max(1, -(-rows.count() // block[1]))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = asked.select("id", "v", own(qs).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cs - 1))).alias("cb"))
-    right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"), own(cs).alias("cb"))
+    schema = "query_id long, vec_id long, score long"
 
     def pair(q: pa.Table, c: pa.Table) -> pa.Table:
         found = []
         if q.num_rows and c.num_rows:
             q, c = q.combine_chunks(), c.combine_chunks()
-            found = search(integers(q.column("v")), q.column("id").to_numpy(), integers(c.column("v")), c.column("id").to_numpy(), k)
+            floors = q.column("floor").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            found = search(integers(q.column("v").chunk(0)), q.column("id").to_numpy(), integers(c.column("v").chunk(0)), c.column("id").to_numpy(), k, floors)
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), zip(*found) if found else ([], [], []))})
 
-    parts = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(pair, "query_id long, vec_id long, score long")
+    def meet(asked: DataFrame, blocks: tuple[int, int]) -> DataFrame:
+        """The best of the candidates' blocks of a range for every query."""
+        left = asked.select("id", "v", "floor", own(qs).alias("qb"), F.explode(F.sequence(F.lit(blocks[0]), F.lit(blocks[1] - 1))).alias("cb"))
+        right = rows.select("id", "v", own(cs).alias("cb")).where(F.col("cb").between(blocks[0], blocks[1] - 1)).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"), "cb")
+        return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(pair, schema)
+
+    parts = meet(asked.withColumn("floor", F.lit(None).cast("long")), (0, 1))
+    if cs > 1:  # what a query's k-th best is at least is known from one block when it meets the others
+        parts = written(parts, "first-block")
+        floors = parts.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
+        parts = parts.unionByName(meet(asked.join(floors, "id", "left"), (1, cs)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
