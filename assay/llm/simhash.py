@@ -31,6 +31,8 @@ from assay.llm.components import connected_components
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints in one BK-tree at most; a shard of more becomes trees over pairs of blocks. Even share of a shard that more bands keep to.
 SHARD, EVEN = 40_000, 4_096
+#: Parts in which a component meets its smallest id.
+SALTS = 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -199,9 +201,13 @@ def grouped(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
     found = written(links(first.select("fp"), bands=bands_for(first.count())), "links")
     roots = connected_components(found)
-    classes = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = written(classes.join(least, "root").select("fp", "component_id"), "classes")
+    linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select("root").distinct().select(F.col("root").alias("fp"), "root"))
+    # A component may hold a third of all fingerprints: it is met in SALTS parts, each of which gets the whole's smallest id.
+    linked = linked.join(first, "fp").select("fp", "first", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    parts = linked.groupBy("root", "salt").agg(F.min("first").alias("first"))
+    least = parts.select("root", "salt").join(parts.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    named = linked.join(least, ["root", "salt"]).select("fp", "component_id")
+    of = written(first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
     return fps.join(of, "fp")
 
 
