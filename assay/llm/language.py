@@ -33,6 +33,8 @@ SAMPLE, BUCKETS = 2_000, 1 << 15
 FOLDS, PENALTY = 5, 4.0
 ROUNDS, MORE_ROUNDS = 10, 3
 PART = 400_000
+#: Languages that a model may have: it is held whole, 8 * BUCKETS bytes for each, by the driver and every worker. More are an error.
+MOST_LANGUAGES = 512
 
 #: Letters stay (A-Z in lower case, all beyond ASCII), everything else separates.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -133,7 +135,9 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from labelled texts outside the held-out fold. What reaches the driver has the size of the model."""
     rows = docs.where("lang is not null and text is not null").where(~held_out())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in lang")
     if not counts:
         return LanguageModel((), np.zeros((BUCKETS, 0)))
     languages = tuple(sorted(counts))

@@ -1,5 +1,6 @@
 """Quality rules, language, HTML, licenses, mixing and top-k against brute force, SQL or held-out labels."""
 
+import math
 import os
 import random
 import re
@@ -117,6 +118,60 @@ def test_mixture_and_edges(spark):
     assert {r.lang_pred for r in unlearned} == {"und"} and language.language_id(df.limit(0)).collect() == []
 
 
+def plain_mixture(text, model):
+    """Proportions by the same model, word by word in plain Python: all languages first, then nested sets of the likeliest."""
+    words = re.findall(b"[a-z\x80-\xff]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    likes, k = [], len(model.languages)
+    for w in words:
+        w = b" " + w + b" "
+        buckets = [(((w[i] << 16 | w[i + 1] << 8 | w[i + 2]) * 2654435761) % 2**32) >> 17 for i in range(len(w) - 2)]
+        logs = [sum(float(model.log_p[b, j]) for b in buckets) for j in range(k)]
+        likes.append([math.exp(max(x - max(logs), -30.0)) for x in logs])
+
+    def step(pi):
+        new = [0.0] * k
+        for like in likes:
+            total = sum(p * x for p, x in zip(pi, like))
+            new = [n + p * x / total for n, p, x in zip(new, pi, like)]
+        return [n / len(likes) for n in new]
+
+    full = [1 / k] * k
+    for _ in range(language.ROUNDS):
+        full = step(full)
+    order, best = sorted(range(k), key=lambda j: -full[j]), None
+    for m in range(1, k + 1):
+        pi = [max(full[j], 1e-12) if j in order[:m] else 0.0 for j in range(k)]
+        pi = [p / sum(pi) for p in pi]
+        for _ in range(language.MORE_ROUNDS if m > 1 else 1):
+            pi = step(pi)
+        value = sum(math.log(sum(p * x for p, x in zip(pi, like))) for like in likes) - language.PENALTY * 0.5 * (m - 1) * math.log(len(likes) + 1)
+        if best is not None and value <= best[0]:
+            break
+        best = (value, pi)
+    return best[1]
+
+
+@needs_tables
+def test_mixtures_by_plain_em(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    texts = [r.text for r in docs.where("text is not null and doc_id % 25 = 3").collect()]
+    texts += [a[:300] + " " + b[:200] for a, b in zip(texts[::2], texts[1::2])]
+    texts = [t for t in texts if re.search("[a-z]", t)]
+    share, _ = model.score(texts)
+    for text, row in zip(texts, share):
+        assert row.tolist() == pytest.approx(plain_mixture(text, model), abs=1e-6)
+    assert len(texts) > 40 and (share > 0).sum(axis=1).max() > 1
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.range(60).selectExpr("id doc_id", "'some words' text", "concat('l', id % 3) lang")
+    assert len(language.fit(docs).languages) == 3
+    with pytest.raises(ValueError):
+        language.fit(docs.withColumn("lang", docs.doc_id.cast("string")))
+
+
 # --- HTML
 
 ARTICLE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>if (a < b) { var t = "</p>"; }</script></head><body>
@@ -327,3 +382,16 @@ def test_branch_and_bound():
         assert [(i, s) for _, i, s in topk.search(q[None], np.array([own]), c, ids, 10)] == [(i, -s) for s, i in best]
     huge = np.array([[2.0**60, 1.0], [2.0**60, 2.0], [-1.0, 5.0]])
     assert topk.search(huge[:1], np.array([0]), huge, np.arange(3), 2) == [(0, 1, 2**63 - 1), (0, 2, 5 - 2**60)]
+    floors = np.sort(c @ c[:25].T, axis=0)[-11]  # of all, the own one included: no query's tenth best is less
+    for i in range(25):
+        best = sorted((-int(s), int(j)) for s, j in zip(c @ c[i], ids) if j != ids[i])[:10]
+        got = topk.search(c[i : i + 1], ids[i : i + 1], c[:1500], ids[:1500], 10, floors[i : i + 1])
+        assert {(j, s) for _, j, s in got} >= {(j, -s) for s, j in best if j in ids[:1500]}
+
+
+def test_vectors_of_other_lengths():
+    import pyarrow as pa
+
+    some = pa.array([[0.5, -0.25], [], [1.0, 2.0, 0.0004]], pa.list_(pa.float32()))
+    assert topk.integers(some).tolist() == [[512, -256, 0], [0, 0, 0], [1024, 2048, 0]] and topk.integers(some.slice(1, 1)).shape == (1, 0)
+    assert topk.integers(some.slice(0, 1)).tolist() == [[512, -256]] and topk.integers(pa.array([], pa.list_(pa.float64()))).shape == (0, 0)
