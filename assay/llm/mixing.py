@@ -31,9 +31,12 @@ BINS, DEPTH = 128, 2
 
 
 def size_class() -> Column:
-    """Number of a size's octave and eighth of it: sizes of a class differ by less than an eighth."""
+    """Number of a size's octave and eighth of it: sizes of a class differ by less than an eighth.
+
+    It can't be null, which Catalyst is told: a join on it then needs no filter that counts the words anew.
+    """
     octave = F.length(F.bin("size"))
-    return F.when(F.col("size") > 0, octave * 16 + F.floor(F.col("size") * 16 / F.pow(F.lit(2.0), octave)).cast("int")).otherwise(0)
+    return F.coalesce(F.when(F.col("size") > 0, octave * 16 + F.floor(F.col("size") * 16 / F.pow(F.lit(2.0), octave)).cast("int")), F.lit(0))
 
 
 def chance(id_col: str = "doc_id", text_col: str = "text", seed: str = "mix") -> Column:
