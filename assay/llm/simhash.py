@@ -224,6 +224,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     hashed = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
     kept = grouped(hashed, ("_hash",)).where("doc_id = component_id").groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("text"))  # one hash an id is left: the join's partitioning serves
     once = hashed.join(kept, ["doc_id", "_hash"], "left_semi").withColumn("_place", place).where("_place = 1")
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
