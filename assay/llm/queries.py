@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, html_text, language, licenses, mixing, quality, simhash, substring_dedup, token_count, topk
+from assay.llm import bpe, fim, html_text, language, licenses, mixing, quality, simhash, substring_dedup, token_count, topk
 from assay.llm.common import table
 
 
@@ -52,13 +52,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_bpe, op2_quality, op3_substrings, op4_token_counts, op5_simhash, op6_topk, op7_language, op8_licenses, op9_html, op10_mixing)
+    own = (op1_bpe, op2_quality, op3_substrings, op4_token_counts, op5_simhash, op6_topk, op7_language, op8_licenses, op9_html, op10_mixing, op13_fim)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be expressed in SQL and are held against brute force in the tests."""
-    return {"op6_topk": topk.SQL, "op8_licenses": licenses.sql(), "op10_mixing": mixing.SQL}
+    return {"op6_topk": topk.SQL, "op8_licenses": licenses.sql(), "op10_mixing": mixing.SQL, "op13_fim": fim.SQL}
