@@ -1,7 +1,9 @@
 """The 17 evaluation views as DataFrames over ``Tables``, and as DuckDB SQL for comparison.
 
 The order is topological. One-row and dimension-like sides are left to Catalyst, which
-broadcasts what is small enough when the plan runs.
+broadcasts what is small enough when the plan runs. ``Tables.scope`` names the columns that tell
+repositories apart (none for the tables of one): every join key and grouping holds them, every
+view returns them, and each repository has a baseline report of its own.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.plans.registry import query
-from assay.sources.adapters import Tables, with_tables
+from assay.sources.adapters import RepoTables, Tables, with_repo_tables, with_tables
 
 PASSED, FAILED = ("Passed", "pass"), ("Failed", "fail", "Error")
 
@@ -21,33 +23,34 @@ def _r(name: str) -> Column:
 
 
 def baseline_report(t: Tables) -> DataFrame:
-    """The latest report of a baseline run (0 or 1 row); of equal times the highest id."""
-    return t.coverage_reports.where("test_run_id ilike '%baseline%'").orderBy(F.desc("timestamp"), F.desc("id")).limit(1).select("id")
+    """The latest report of a baseline run (0 or 1 row a repository); of equal times the highest id."""
+    runs = t.coverage_reports.where("test_run_id ilike '%baseline%'").groupBy(*t.scope)
+    return runs.agg(F.max_by("id", F.struct("timestamp", "id")).alias("id")).where("id is not null")
 
 
 def _report_coverage(t: Tables, reports: DataFrame) -> DataFrame:
     """Method coverage of ``reports`` (id and more), with their columns but the id."""
-    packages = t.package_coverage.select(F.col("id").alias("package_id"), F.col("coverage_report_id").alias("id"))
-    classes = t.class_coverage.select(F.col("id").alias("class_coverage_id"), F.col("package_coverage_id").alias("package_id"))
-    found = reports.join(packages, "id").drop("id").join(classes, "package_id").drop("package_id")
-    return t.method_coverage.select("class_coverage_id", "method_id", "line_rate", "branch_rate", "complexity").join(found, "class_coverage_id").drop("class_coverage_id")
+    packages = t.package_coverage.selectExpr(*t.scope, "id package_id", "coverage_report_id id")
+    classes = t.class_coverage.selectExpr(*t.scope, "id class_coverage_id", "package_coverage_id package_id")
+    found = reports.join(packages, [*t.scope, "id"]).drop("id").join(classes, [*t.scope, "package_id"]).drop("package_id")
+    return t.method_coverage.select(*t.scope, "class_coverage_id", "method_id", "line_rate", "branch_rate", "complexity").join(found, [*t.scope, "class_coverage_id"]).drop("class_coverage_id")
 
 
 def method_coverage_agg(t: Tables) -> DataFrame:
-    g = t.method_coverage.groupBy("method_id")
+    g = t.method_coverage.groupBy(*t.scope, "method_id")
     return g.agg(F.max("line_rate").alias("max_line_rate"), F.max("branch_rate").alias("max_branch_rate"), F.avg("line_rate").alias("avg_line_rate"), F.avg("branch_rate").alias("avg_branch_rate")).select(
-        "method_id", "max_line_rate", "max_branch_rate", _r("avg_line_rate"), _r("avg_branch_rate")
+        *t.scope, "method_id", "max_line_rate", "max_branch_rate", _r("avg_line_rate"), _r("avg_branch_rate")
     )
 
 
 def method_coverage_baseline_agg(t: Tables) -> DataFrame:
     rows = _report_coverage(t, baseline_report(t))
-    return rows.selectExpr("method_id", "line_rate max_line_rate", "branch_rate max_branch_rate", "line_rate avg_line_rate", "branch_rate avg_branch_rate")
+    return rows.selectExpr(*t.scope, "method_id", "line_rate max_line_rate", "branch_rate max_branch_rate", "line_rate avg_line_rate", "branch_rate avg_branch_rate")
 
 
 def _open_rates(t: Tables) -> DataFrame:
     """Rates of methods that aren't covered in full."""
-    rates = method_coverage_baseline_agg(t).selectExpr("method_id id", "max_line_rate line_rate", "max_branch_rate branch_rate")
+    rates = method_coverage_baseline_agg(t).selectExpr(*t.scope, "method_id id", "max_line_rate line_rate", "max_branch_rate branch_rate")
     return rates.where("(line_rate is not null or branch_rate is not null) and (line_rate != 1 or branch_rate != 1)")
 
 
@@ -56,10 +59,11 @@ def candidate_covered_methods(t: Tables) -> DataFrame:
 
 
 def _with_methods(t: Tables, rates: DataFrame) -> DataFrame:
-    classes = t.classes.selectExpr("id class_id", "name class_name", "file_id")
-    files = t.source_files.selectExpr("id file_id", "analysis_project_id")
-    methods = t.methods.selectExpr("id", "class_id", "name method_name", "full_string method_body")
-    return methods.join(rates, "id").join(classes, "class_id").join(files, "file_id").select(F.col("id").alias("method_id"), "method_name", "method_body", "line_rate", "branch_rate", "class_id", "class_name", "analysis_project_id")
+    classes = t.classes.selectExpr(*t.scope, "id class_id", "name class_name", "file_id")
+    files = t.source_files.selectExpr(*t.scope, "id file_id", "analysis_project_id")
+    methods = t.methods.selectExpr(*t.scope, "id", "class_id", "name method_name", "full_string method_body")
+    rows = methods.join(rates, [*t.scope, "id"]).join(classes, [*t.scope, "class_id"]).join(files, [*t.scope, "file_id"])
+    return rows.select(*t.scope, F.col("id").alias("method_id"), "method_name", "method_body", "line_rate", "branch_rate", "class_id", "class_name", "analysis_project_id")
 
 
 def method_test_mapping(t: Tables) -> DataFrame:
@@ -68,49 +72,53 @@ def method_test_mapping(t: Tables) -> DataFrame:
 
 
 def _test_calls(t: Tables) -> DataFrame:
-    return t.invocations.where("source_method_id != 0").selectExpr("source_method_id", "target_method_id test_method_id")
+    return t.invocations.where("source_method_id != 0").selectExpr(*t.scope, "source_method_id", "target_method_id test_method_id")
 
 
 def _with_tests(t: Tables, calls: DataFrame) -> DataFrame:
-    tests = t.methods.where("is_test_method").selectExpr("id test_method_id", "name test_method_name", "full_string test_method_body", "class_id test_class_id")
-    called = t.methods.selectExpr("id source_method_id", "class_id callee_class")
-    callee = t.classes.where("not is_test_class").selectExpr("id callee_class")
+    tests = t.methods.where("is_test_method").selectExpr(*t.scope, "id test_method_id", "name test_method_name", "full_string test_method_body", "class_id test_class_id")
+    called = t.methods.selectExpr(*t.scope, "id source_method_id", "class_id callee_class")
+    callee = t.classes.where("not is_test_class").selectExpr(*t.scope, "id callee_class")
     home = t.classes.selectExpr(
-        "id test_class_id", "name test_class_name", "full_string test_class_body", "testing_framework", "start_line test_class_lin_start", "body_start test_class_body_start",
+        *t.scope, "id test_class_id", "name test_class_name", "full_string test_class_body", "testing_framework", "start_line test_class_lin_start", "body_start test_class_body_start",
         "end_line test_class_lin_end", "body_end test_class_body_end", "file_id",
     )
-    files = t.source_files.selectExpr("id file_id", "path test_file_path", "usings test_dependencies", "namespace test_namespace")
-    return calls.join(tests, "test_method_id").join(called.join(callee, "callee_class").drop("callee_class"), "source_method_id").join(home, "test_class_id").join(files, "file_id").drop("file_id")
+    files = t.source_files.selectExpr(*t.scope, "id file_id", "path test_file_path", "usings test_dependencies", "namespace test_namespace")
+    called = called.join(callee, [*t.scope, "callee_class"]).drop("callee_class")
+    rows = calls.join(tests, [*t.scope, "test_method_id"]).join(called, [*t.scope, "source_method_id"])
+    return rows.join(home, [*t.scope, "test_class_id"]).join(files, [*t.scope, "file_id"]).drop("file_id")
 
 
 def baseline_uncovered_tested_methods(t: Tables) -> DataFrame:
     """Repeats are merged while rows hold ids and rates only (all else follows from the ids); bodies are joined to what is left."""
-    projects = t.analysis_projects.selectExpr("id analysis_project_id", "solution_id")
-    solutions = t.analysis_solutions.selectExpr("id solution_id", "solution_path solution_file_path")
-    rows = _with_methods(t, _open_rates(t).distinct()).join(_with_tests(t, _test_calls(t).distinct()), F.col("method_id") == F.col("source_method_id")).drop("source_method_id")
-    rows = rows.join(projects, "analysis_project_id", "left").join(solutions, "solution_id", "left").drop("analysis_project_id", "solution_id")
+    projects = t.analysis_projects.selectExpr(*t.scope, "id analysis_project_id", "solution_id")
+    solutions = t.analysis_solutions.selectExpr(*t.scope, "id solution_id", "solution_path solution_file_path")
+    tests = _with_tests(t, _test_calls(t).distinct()).withColumnRenamed("source_method_id", "method_id")
+    rows = _with_methods(t, _open_rates(t).distinct()).join(tests, [*t.scope, "method_id"])
+    rows = rows.join(projects, [*t.scope, "analysis_project_id"], "left").join(solutions, [*t.scope, "solution_id"], "left").drop("analysis_project_id", "solution_id")
     return rows.withColumn("coverage_status", F.lit("Has tests covering method"))
 
 
 def baseline_coverage(t: Tables) -> DataFrame:
-    return _report_coverage(t, baseline_report(t)).selectExpr("method_id", "line_rate baseline_line_rate", "branch_rate baseline_branch_rate", "complexity baseline_complexity")
+    return _report_coverage(t, baseline_report(t)).selectExpr(*t.scope, "method_id", "line_rate baseline_line_rate", "branch_rate baseline_branch_rate", "complexity baseline_complexity")
 
 
 def _run_coverage(t: Tables) -> DataFrame:
     """Method coverage of every run's reports."""
-    reports = t.coverage_reports.select("id", F.col("test_run_id").alias("run_id")).join(t.test_runs.selectExpr("id test_run_db_id", "run_id"), "run_id").drop("run_id")
+    runs = t.test_runs.selectExpr(*t.scope, "id test_run_db_id", "run_id")
+    reports = t.coverage_reports.selectExpr(*t.scope, "id", "test_run_id run_id").join(runs, [*t.scope, "run_id"]).drop("run_id")
     return _report_coverage(t, reports)
 
 
 def gen_test_coverage(t: Tables) -> DataFrame:
-    rates = _run_coverage(t).selectExpr("method_id", "test_run_db_id", "line_rate generated_line_rate", "branch_rate generated_branch_rate", "complexity generated_complexity")
-    tests = t.generated_tests.selectExpr("original_method_id method_id", "test_run_id test_run_db_id", "test_method_id", "gen_test_method_id")
-    return tests.join(rates, ["method_id", "test_run_db_id"])
+    rates = _run_coverage(t).selectExpr(*t.scope, "method_id", "test_run_db_id", "line_rate generated_line_rate", "branch_rate generated_branch_rate", "complexity generated_complexity")
+    tests = t.generated_tests.selectExpr(*t.scope, "original_method_id method_id", "test_run_id test_run_db_id", "test_method_id", "gen_test_method_id")
+    return tests.join(rates, [*t.scope, "method_id", "test_run_db_id"])
 
 
 def latest_test_outcome(t: Tables) -> DataFrame:
-    runs = t.test_runs.selectExpr("id test_run_db_id", "run_id")
-    return t.test_results.join(runs, "run_id").selectExpr("test_run_db_id", "method_id test_method_id", "test_outcome", "test_duration", "error_message")
+    runs = t.test_runs.selectExpr(*t.scope, "id test_run_db_id", "run_id")
+    return t.test_results.join(runs, [*t.scope, "run_id"]).selectExpr(*t.scope, "test_run_db_id", "method_id test_method_id", "test_outcome", "test_duration", "error_message")
 
 
 #: The columns that tell the rows of v_test_agg apart.
@@ -122,13 +130,20 @@ def test_agg(t: Tables) -> DataFrame:
     """Coverage is averaged by method (and run) before the joins: each row of a test meets the same rates, so the means
     are those of the full join, without its rows growing with the square of the repeats. Ids of tests, methods and classes
     are unique, so with distinct outcomes each group has one row and needs no grouping after the joins."""
-    before = baseline_coverage(t).groupBy("method_id").agg(*(F.avg(c).alias(c) for c in RATES[::2]))
-    after = _run_coverage(t).groupBy("method_id", F.col("test_run_db_id").alias("test_run_id")).agg(*(F.avg(s).alias(g) for s, g in zip(("line_rate", "branch_rate", "complexity"), RATES[1::2])))
-    tests = t.generated_tests.withColumnRenamed("id", "generated_test_id").withColumnRenamed("original_method_id", "method_id").drop("test_method_id")
-    methods = t.methods.selectExpr("id method_id", "name method_name", "class_id").join(t.classes.selectExpr("id class_id", "name class_name"), "class_id").drop("class_id")
+    before = baseline_coverage(t).groupBy(*t.scope, "method_id").agg(*(F.avg(c).alias(c) for c in RATES[::2]))
+    after = _run_coverage(t).groupBy(*t.scope, "method_id", F.col("test_run_db_id").alias("test_run_id"))
+    after = after.agg(*(F.avg(s).alias(g) for s, g in zip(("line_rate", "branch_rate", "complexity"), RATES[1::2])))
     outcomes = latest_test_outcome(t).distinct().withColumnRenamed("test_run_db_id", "test_run_id").withColumnRenamed("test_method_id", "gen_test_method_id")
-    rows = tests.join(methods, "method_id").join(before, "method_id", "left").join(after, ["method_id", "test_run_id"], "left").join(outcomes, ["gen_test_method_id", "test_run_id"], "left")
-    return rows.select(*TEST_KEYS, *(_r(c) for c in RATES))
+    return joined_test_agg(t, t.generated_tests, before, after, outcomes)
+
+
+def joined_test_agg(t: Tables, tests: DataFrame, before: DataFrame, after: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Generated tests with their methods, mean rates (by method, and by method and run) and distinct outcomes."""
+    tests = tests.withColumnRenamed("id", "generated_test_id").withColumnRenamed("original_method_id", "method_id").drop("test_method_id")
+    methods = t.methods.selectExpr(*t.scope, "id method_id", "name method_name", "class_id")
+    methods = methods.join(t.classes.selectExpr(*t.scope, "id class_id", "name class_name"), [*t.scope, "class_id"]).drop("class_id")
+    rows = tests.join(methods, [*t.scope, "method_id"]).join(before, [*t.scope, "method_id"], "left").join(after, [*t.scope, "method_id", "test_run_id"], "left")
+    return rows.join(outcomes, [*t.scope, "gen_test_method_id", "test_run_id"], "left").select(*t.scope, *TEST_KEYS, *(_r(c) for c in RATES))
 
 
 def coverage_category(outcome: Column, delta: Column) -> Column:
@@ -157,22 +172,22 @@ def guarded_ratio(part: str, whole: str) -> Column:
 def lizard_test_metric_comparison(t: Tables) -> DataFrame:
     """The run's name is joined first; repeated metrics of a (run, method) repeat the row, as in the report tables."""
     m = t.lizard_function_code_metrics
-    side = lambda who: m.selectExpr("test_run_id run_id", f"method_id {who}_test_method_id", f"ncss {who}_ncss", f"ccn {who}_ccn")
-    rows = t.generated_tests.selectExpr("id generated_test_id", "test_run_id", "test_method_id baseline_test_method_id", "gen_test_method_id generated_test_method_id")
-    rows = rows.join(t.test_runs.selectExpr("id test_run_id", "run_id"), "test_run_id", "left")
-    rows = rows.join(side("baseline"), ["run_id", "baseline_test_method_id"], "left").join(side("generated"), ["run_id", "generated_test_method_id"], "left").drop("run_id")
+    side = lambda who: m.selectExpr(*t.scope, "test_run_id run_id", f"method_id {who}_test_method_id", f"ncss {who}_ncss", f"ccn {who}_ccn")
+    rows = t.generated_tests.selectExpr(*t.scope, "id generated_test_id", "test_run_id", "test_method_id baseline_test_method_id", "gen_test_method_id generated_test_method_id")
+    rows = rows.join(t.test_runs.selectExpr(*t.scope, "id test_run_id", "run_id"), [*t.scope, "test_run_id"], "left")
+    rows = rows.join(side("baseline"), [*t.scope, "run_id", "baseline_test_method_id"], "left").join(side("generated"), [*t.scope, "run_id", "generated_test_method_id"], "left").drop("run_id")
     return rows.withColumns({f"{k}_delta": F.col(f"generated_{k}") - F.col(f"baseline_{k}") for k in ("ncss", "ccn")} | {f"{k}_ratio": guarded_ratio(f"generated_{k}", f"baseline_{k}") for k in ("ncss", "ccn")})
 
 
 def test_smell_ratio(t: Tables) -> DataFrame:
-    counts = t.method_test_smells.groupBy("method_id").agg(F.count_if(F.col("status") == "Found").alias("smells_found"), F.count_if(F.col("status") == "Not Found").alias("smells_not_found"), F.count(F.lit(1)).alias("total_smells"))
+    counts = t.method_test_smells.groupBy(*t.scope, "method_id").agg(F.count_if(F.col("status") == "Found").alias("smells_found"), F.count_if(F.col("status") == "Not Found").alias("smells_not_found"), F.count(F.lit(1)).alias("total_smells"))
     return counts.withColumn("smell_ratio", guarded_ratio("smells_found", "total_smells"))
 
 
 def smell_comparison(t: Tables) -> DataFrame:
-    side = lambda who: test_smell_ratio(t).selectExpr(f"method_id {who}_test_method_id", f"smells_found {who}_smells_found", f"total_smells {who}_total_smells", f"smell_ratio {who}_smell_ratio")
-    rows = t.generated_tests.selectExpr("id generated_test_id", "test_run_id", "test_method_id baseline_test_method_id", "gen_test_method_id generated_test_method_id")
-    rows = rows.join(side("baseline"), "baseline_test_method_id", "left").join(side("generated"), "generated_test_method_id", "left")
+    side = lambda who: test_smell_ratio(t).selectExpr(*t.scope, f"method_id {who}_test_method_id", f"smells_found {who}_smells_found", f"total_smells {who}_total_smells", f"smell_ratio {who}_smell_ratio")
+    rows = t.generated_tests.selectExpr(*t.scope, "id generated_test_id", "test_run_id", "test_method_id baseline_test_method_id", "gen_test_method_id generated_test_method_id")
+    rows = rows.join(side("baseline"), [*t.scope, "baseline_test_method_id"], "left").join(side("generated"), [*t.scope, "generated_test_method_id"], "left")
     return rows.withColumn("smell_ratio_delta", F.round(F.col("generated_smell_ratio") - F.col("baseline_smell_ratio"), 9) + F.lit(0.0))
 
 
@@ -180,18 +195,19 @@ _COUNTS = ("lines_covered", "lines_valid", "branches_covered", "branches_valid")
 
 
 def project_baseline_coverage(t: Tables) -> DataFrame:
-    return t.coverage_reports.join(baseline_report(t), "id").selectExpr("id coverage_report_id", "test_run_id", "line_rate baseline_line_rate", "branch_rate baseline_branch_rate", *_COUNTS, "complexity baseline_complexity")
+    return t.coverage_reports.join(baseline_report(t), [*t.scope, "id"]).selectExpr(*t.scope, "id coverage_report_id", "test_run_id", "line_rate baseline_line_rate", "branch_rate baseline_branch_rate", *_COUNTS, "complexity baseline_complexity")
 
 
 def project_generated_coverage(t: Tables) -> DataFrame:
-    runs = t.test_runs.selectExpr("id test_run_db_id", "run_id test_run_id")
-    return t.coverage_reports.where("test_run_id not ilike '%baseline%'").join(runs, "test_run_id").selectExpr("id coverage_report_id", "test_run_db_id", "test_run_id", "line_rate generated_line_rate", "branch_rate generated_branch_rate", *_COUNTS, "complexity generated_complexity")
+    runs = t.test_runs.selectExpr(*t.scope, "id test_run_db_id", "run_id test_run_id")
+    return t.coverage_reports.where("test_run_id not ilike '%baseline%'").join(runs, [*t.scope, "test_run_id"]).selectExpr(*t.scope, "id coverage_report_id", "test_run_db_id", "test_run_id", "line_rate generated_line_rate", "branch_rate generated_branch_rate", *_COUNTS, "complexity generated_complexity")
 
 
 def project_coverage_comparison(t: Tables) -> DataFrame:
-    """Each generated report against the one baseline report; without a baseline there is nothing to compare."""
-    base = project_baseline_coverage(t).selectExpr("baseline_line_rate", "baseline_branch_rate", "baseline_complexity", "lines_covered base_lines", "branches_covered base_branches")
-    rows = project_generated_coverage(t).crossJoin(F.broadcast(base))  # one row at most
+    """Each generated report against the repository's one baseline report; without a baseline there is nothing to compare."""
+    base = project_baseline_coverage(t).selectExpr(*t.scope, "baseline_line_rate", "baseline_branch_rate", "baseline_complexity", "lines_covered base_lines", "branches_covered base_branches")
+    rows = project_generated_coverage(t)
+    rows = rows.join(base, list(t.scope)) if t.scope else rows.crossJoin(F.broadcast(base))  # one row at most
     deltas = {f"{k}_delta": F.round(F.col(f"generated_{k}") - F.col(f"baseline_{k}"), 9) + F.lit(0.0) for k in ("line_rate", "branch_rate", "complexity")}
     rows = rows.withColumns(deltas | {"lines_covered_delta": F.col("lines_covered") - F.col("base_lines"), "branches_covered_delta": F.col("branches_covered") - F.col("base_branches")})
     return rows.drop(*_COUNTS, "base_lines", "base_branches", "test_run_id")
@@ -250,3 +266,4 @@ VIEWS = {
 
 for _name, _view in VIEWS.items():
     query(_name, with_tables(f"SELECT * FROM {_name}", VIEW_SQL))(lambda spark, sf_dir, view=_view: view(Tables(spark, sf_dir)))
+    query(f"repo_{_name}", with_repo_tables(f"SELECT * FROM {_name}", VIEW_SQL))(lambda spark, sf_dir, view=_view: view(RepoTables(spark, sf_dir)))

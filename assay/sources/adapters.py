@@ -6,6 +6,7 @@ the columns of the tables that it asks for.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ SMELLS = (
 
 
 class Tables:
+    #: The columns that tell repositories apart; the tables hold one here.
+    scope: tuple[str, ...] = ()
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
@@ -139,6 +143,47 @@ class Tables:
         return self.lines.selectExpr("id", "sk source_file_id", "qty start_line", "l_linenumber % 7 = 0 static", f"case flag when 'R' then 'Killed' when 'A' then 'Survived' else {other} end status")
 
 
+#: Repositories of ``RepoTables``; the last has no baseline run.
+REPOS = 5
+#: Fixed: tables whose rows exist in every repository, with values that differ ({r} is its number), and those whose rows are dealt out by a key.
+SHARED = {
+    "test_runs": {"run_id": "CASE WHEN {r} = 4 THEN replace(run_id, 'baseline_', 'run_') ELSE run_id END"},
+    "coverage_reports": {
+        "test_run_id": "CASE WHEN {r} = 4 THEN replace(test_run_id, 'baseline_', 'run_') ELSE test_run_id END", "timestamp": "timestamp + (id * 7 + {r} * 3) % 5 * 1000",
+        "line_rate": "line_rate - {r} * 0.01", "lines_covered": "lines_covered + {r} * id",
+    },
+    "package_coverage": {"coverage_report_id": "(coverage_report_id + {r}) % 5"},
+    "class_coverage": {"name": "concat(name, '@', {r})"},
+    "analysis_solutions": {"solution_path": "concat(solution_path, '@', {r})"},
+    "analysis_projects": {"project_path": "concat(project_path, '@', {r})"},
+    "source_files": {"path": "concat('/', {r}, path)"},
+    "classes": {"name": "concat(name, '@', {r})"},
+    "methods": {"name": "concat(name, '@', {r})"},
+}
+DEALT = {"method_coverage": "id", "invocations": "id", "generated_tests": "id", "test_results": "id", "lizard_function_code_metrics": "method_id", "method_test_smells": "method_id", "mutants": "id"}
+
+
+class RepoTables:
+    """The same tables for several repositories, told apart by ``repo_id``.
+
+    Ids repeat between repositories: each has the same classes, methods, files and reports by id, with values of its own, and a share of the
+    rows that grow with runs.
+    """
+
+    scope = ("repo_id",)
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.one = spark, Tables(spark, sf_dir)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in SHARED:
+            rows = getattr(self.one, name).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(REPOS - 1))))
+            return rows.selectExpr("concat('repo_', _r) repo_id", *(f"{SHARED[name][c].format(r='_r')} {c}" if c in SHARED[name] else c for c in rows.columns if c != "_r"))
+        if name in DEALT:
+            return getattr(self.one, name).selectExpr(f"concat('repo_', {DEALT[name]} % {REPOS}) repo_id", "*")
+        raise AttributeError(name)
+
+
 _PATH = "'/app/project/src/' || s_name || '.cs'"
 #: The same tables as DuckDB common table expressions, in an order in which each needs only earlier ones.
 DUCKDB = {
@@ -163,11 +208,7 @@ DUCKDB = {
 }
 
 
-def with_tables(sql: str, extra: dict[str, str] | None = None) -> str:
-    """``sql`` with the tables (and views ``extra``) that it names, directly or through others, put before it."""
-    import re
-
-    known = DUCKDB | (extra or {})
+def _with(sql: str, known: dict[str, str]) -> str:
     needed: set[str] = set()
     todo = [sql]
     while todo:
@@ -176,3 +217,19 @@ def with_tables(sql: str, extra: dict[str, str] | None = None) -> str:
             todo.append(known[word])
     ctes = [f"{name} AS ({known[name]})" for name in known if name in needed]
     return (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+
+
+def with_tables(sql: str, extra: dict[str, str] | None = None) -> str:
+    """``sql`` with the tables (and views ``extra``) that it names, directly or through others, put before it."""
+    return _with(sql, DUCKDB | (extra or {}))
+
+
+def with_repo_tables(sql: str, extra: dict[str, str] | None = None) -> str:
+    """``sql`` over the tables of one repository after another, each row with its repository: what a database for each would give."""
+    one = {f"one_{name}": re.sub(rf"\b({'|'.join(DUCKDB)})\b", r"one_\1", text) for name, text in DUCKDB.items()}
+    parts = []
+    for r in range(REPOS):
+        shared = {name: f"SELECT * REPLACE ({', '.join(f'{e.format(r=r)} AS {c}' for c, e in changed.items())}) FROM one_{name}" for name, changed in SHARED.items()}
+        dealt = {name: f"SELECT * FROM one_{name} WHERE {key} % {REPOS} = {r}" for name, key in DEALT.items()}
+        parts.append(f"SELECT 'repo_{r}' AS repo_id, x.* FROM ({_with(sql, one | shared | dealt | (extra or {}))}) x")
+    return " UNION ALL ".join(parts)
