@@ -100,3 +100,43 @@ def latest_state(updates: DataFrame, key: str, order: str) -> DataFrame:
     """The last update of each key: what UPDATE statements in that order would leave."""
     rest = [c for c in updates.columns if c != key]
     return updates.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("row")).select(key, "row.*")
+
+
+def _pieces(text: Column, n: Column) -> Column:
+    """All pieces of n characters."""
+    every = F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.when(F.char_length(text) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def containing_in(texts: DataFrame, text: str, parts: DataFrame, part: str, group: list[str]) -> DataFrame:
+    """(group, text, part): distinct texts with the distinct parts of their group that they hold, case and all.
+
+    Many parts are matched at once through the pieces of ``GRAM`` characters that texts hold: a part meets the texts of its group that hold the
+    rarest of its pieces, keyed by group and piece, so that a huge group spreads. Shorter parts are
+    their own piece; texts are cut to such lengths only where their group has parts of them. Empty parts are in all texts.
+    """
+    whole = texts.select(*group, F.col(text).alias("_text")).where("_text is not null").distinct()
+    asked = parts.select(*group, F.col(part).alias("_part")).where("_part is not null").distinct().withColumn("_n", F.least(F.char_length("_part"), F.lit(GRAM)))
+    lengths = asked.where("_n > 0").select(*group, "_n").distinct()
+    keys = asked.where("_n > 0").select(*group, "_part", F.explode(_pieces(F.col("_part"), F.col("_n"))).alias("_piece"))
+    held = whole.join(lengths, group).select(*group, "_text", F.explode(_pieces(F.col("_text"), F.col("_n"))).alias("_piece"))
+    often = held.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_texts"))
+    met = keys.join(often, [*group, "_piece"], "left").groupBy(*group, "_part").agg(F.min_by("_piece", F.struct(F.coalesce("_texts", F.lit(0)), "_piece")).alias("_piece"))
+    pairs = met.join(held, [*group, "_piece"]).where(F.contains("_text", "_part")).select(*group, "_text", "_part")
+    every = whole.join(asked.where("_n = 0"), group).select(*group, "_text", "_part")
+    return pairs.unionByName(every).select(*group, F.col("_text").alias(text), F.col("_part").alias(part))
+
+
+def resolve_calls(calls: DataFrame, expressions: DataFrame, definitions: DataFrame, file: list[str], scope: list[str]) -> DataFrame:
+    """What stored calls without a source resolve to: id, seq (place of the match), source_method_id, with the columns of ``scope``.
+
+    ``calls``: scope, file, id, full_string. ``expressions``, the call expressions of the files as the compiler front end bound them: scope, file, seq (place in the
+    file), text, and name and path of the definition. ``definitions``: scope, id, name, path. Each expression of a call's file whose text holds the call's is
+    looked up by name and path (the lowest id); of those found the last in the file wins. Expressions of one text count once, by their last.
+    """
+    here = [*scope, *file]
+    bound = lookup(expressions, definitions, [*scope, "name", "path"], out="_source").where("_source is not null")
+    last = bound.groupBy(*here, "text").agg(F.max_by("_source", F.struct("seq", "_source")).alias("source_method_id"), F.max("seq").alias("seq"))
+    pairs = containing_in(last, "text", calls, "full_string", here)
+    best = pairs.join(last, [*here, "text"]).groupBy(*here, "full_string").agg(F.max_by("source_method_id", F.struct("seq", "source_method_id")).alias("source_method_id"), F.max("seq").alias("seq"))
+    return calls.join(best, [*here, "full_string"]).select(*scope, "id", "seq", "source_method_id")
