@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from assay.operators import resolve as R
 from assay.operators.entities import Entity, ingest
+from assay.operators.increments import MethodCoverage, TestAgg
 from assay.plans import views as V
 from assay.plans.registry import query
 from assay.sources import schema, sinks
@@ -195,3 +196,42 @@ def stored_resolved_calls(t: RepoTables) -> DataFrame:
     expressions = bound.select(SCOPE, "file", C("id").alias("seq"), F.concat(L("x."), "full_string", L(".Done()")).alias("text"), "name", "path")
     store.update("invocations", 1, R.resolve_calls(unresolved, expressions, placed, ["file"], [SCOPE]))
     return store.current("invocations").select(SCOPE, "id", "source_method_id")
+
+
+# --- views kept by increments
+
+def in_batches(t: RepoTables, names: list[str]) -> Store:
+    """An empty store of the tables."""
+    return Store(t.spark, sinks.shared_path(t.spark, "warehouse"), {name: StructType(list(getattr(t, name).schema.fields)) for name in names})
+
+
+#: The batch of a row; reports come one after another, a newer baseline with the second.
+_COMES = {"coverage_reports": "least(id, 2) + 1", "method_coverage": "id % 3 + 1", "generated_tests": "id % 7 % 3 + 1", "test_results": "id % 11 % 3 + 1"}
+
+
+def _append(t: RepoTables, store: Store, batch: int) -> None:
+    for name in store.schemas.keys() & set(_OF_TEST_AGG):
+        rows = getattr(t, name)
+        store.append(name, batch, rows.where(f"{_COMES.get(name, '1')} = {batch}"))
+
+
+@over_repos("incremental_method_coverage", "SELECT * FROM v_method_coverage_agg")
+def incremental_method_coverage(t: RepoTables) -> DataFrame:
+    """Largest and mean rates of each method after three batches, each merged into the methods that it touches."""
+    store = in_batches(t, ["method_coverage"])
+    view = MethodCoverage(store)
+    for batch in (1, 2, 3):
+        _append(t, store, batch)
+        view.refresh(batch)
+    return view.view()
+
+
+@over_repos("incremental_test_agg", "SELECT * FROM v_test_agg")
+def incremental_test_agg(t: RepoTables) -> DataFrame:
+    """The tests' aggregate after three batches of reports, coverage, tests and outcomes, in which baselines change; only tests that meet a change are joined anew."""
+    store = in_batches(t, _OF_TEST_AGG)
+    view = TestAgg(store)
+    for batch in (1, 2, 3):
+        _append(t, store, batch)
+        view.refresh(batch)
+    return view.view()

@@ -133,3 +133,32 @@ def test_calls_resolve_as_by_a_loop(spark):
     frame = spark.createDataFrame
     got = R.resolve_calls(frame(calls, "file string, id long, full_string string"), frame(expressions, "file string, seq long, text string, name string, path string"), frame(methods, "id long, name string, path string"), ["file"], [])
     assert rows_of(got) == sorted(want) and len(want) > 20
+
+
+def test_increment_touches_its_own_keys_only(spark):
+    """A batch with one result: only the tests with that generated method and run are joined anew; a repeated refresh changes nothing."""
+    from assay.operators.increments import TestAgg
+
+    t = RepoTables(spark, SF)
+    few = lambda name: getattr(t, name).where("repo_id in ('repo_1', 'repo_4')")
+    store = Store(spark, Q.sinks.shared_path(spark, "w"), {n: StructType(list(getattr(t, n).schema.fields)) for n in Q._OF_TEST_AGG})
+    view = TestAgg(store)
+    results = few("test_results")
+    asked = few("generated_tests").join(few("test_runs").selectExpr("repo_id", "id test_run_id", "run_id"), ["repo_id", "test_run_id"]).selectExpr("repo_id", "gen_test_method_id method_id", "run_id")
+    one = results.join(asked, ["repo_id", "method_id", "run_id"], "left_semi").orderBy("repo_id", "id").limit(1)
+    picked = one.first()
+    for batch in (1, 2):
+        for name in Q._OF_TEST_AGG:
+            rows = few(name)
+            if name == "test_results":
+                here = (F.col("id") == picked.id) & (F.col("repo_id") == picked.repo_id)
+                rows = rows.where(~here if batch == 1 else here)
+            store.append(name, batch, rows if batch == 1 or name == "test_results" else rows.limit(0))
+        view.refresh(batch)
+    view.refresh(2)
+    again = store.read(view.rows).where("batch = 2").select("repo_id", "generated_test_id").distinct()
+    want = few("generated_tests").where((F.col("repo_id") == picked.repo_id) & (F.col("gen_test_method_id") == picked.method_id))
+    want = want.join(few("test_runs").where(F.col("run_id") == picked.run_id).selectExpr("repo_id", "id test_run_id"), ["repo_id", "test_run_id"], "left_semi")
+    assert rows_of(again) == rows_of(want.select("repo_id", "id")) and 0 < again.count() < 50
+    full = V.test_agg(store)
+    assert rows_of(view.view().select(*map(F.col, full.columns)).na.fill("")) == rows_of(full.na.fill(""))
