@@ -7,9 +7,11 @@ page's good text stays, and where the others together hold more than half of it,
 go in which the block rules find no more good text than bad. (Text of the article that isn't bad counts
 as good here, and up to 140 characters in named parts outside of it as nothing.) First pass: a
 block is bad with many link characters; long blocks are good or bad by their density of stop
-words; short ones stay ambiguous. Second pass: an ambiguous block takes the label of its nearest
-decided neighbours; where the two differ, it counts as bad unless the good one is nearer. The
-page's own mark of its article (``article`` or ``main``) is a feature of both: a long block in it
+words; short ones stay ambiguous. The lists of stop words are those of four languages: a page whose long blocks hold
+too few of them is in another one, and there length and links alone decide. Characters of scripts that
+write a word in one or two of them count threefold. Preformatted text is never bad for its words. Second pass: an ambiguous block takes the label of its nearest
+decided neighbours; where the two differ, it counts as bad unless the good one is nearer. On a page without any good block
+all that isn't bad is kept. The page's own mark of its article (``article`` or ``main``) is a feature of both: a long block in it
 with few stop words is ambiguous, not bad, and between neighbours that differ at the same distance,
 or with none that is decided, a block in it is good. Blocks outside are judged like any other.
 
@@ -61,6 +63,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Ideographs, kana and hangul.
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003134f]")
 #: A new one of these ends an open one of the same kind, up to the container named.
 _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -71,6 +75,11 @@ class Block:
     links: int
     inside: bool
     parts: tuple[int, ...] = ()  # named parts around it, by number
+    kept: bool = False  # preformatted
+
+    @property
+    def size(self) -> int:
+        return len(self.text) + 2 * len(_WIDE.findall(self.text))
 
 
 def _left_out(tag: str, attributes: str, inside: bool) -> bool:
@@ -113,7 +122,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, links, inside, named))
+                out.append(Block(text, links, inside, named, opened["pre"] > 0))
             parts.clear()
         links = 0
 
@@ -196,15 +205,26 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def first_pass(block: Block) -> bool | None:
-    """True, False, or None for ambiguous."""
-    size = len(block.text)
-    if block.links > MAX_LINKS * len(block.text.replace(" ", "")):
+def linked(block: Block) -> bool:
+    return block.links > MAX_LINKS * len(block.text.replace(" ", ""))
+
+
+def listed(blocks: list[Block]) -> bool:
+    """Whether the page's long blocks, taken together, hold as many stop words as a text in one of the languages does."""
+    words = [w for b in blocks if b.size >= SHORT and not b.kept and not linked(b) for w in _WORD.findall(b.text.lower())]
+    return not words or sum(w in STOP_WORDS for w in words) >= STOP_LOW * len(words)
+
+
+def first_pass(block: Block, by_words: bool = True) -> bool | None:
+    """True, False, or None for ambiguous. ``by_words``: stop words tell; else length does."""
+    if linked(block):
         return False
-    if size < SHORT:
+    if block.size < SHORT or block.kept:
         return None
+    if not by_words:
+        return True if block.size > 2 * SHORT else None
     density = stop_density(block.text)
-    return True if density >= STOP_HIGH or (density >= STOP_LOW and size > 2 * SHORT) else None if density >= STOP_LOW or block.inside else False
+    return True if density >= STOP_HIGH or (density >= STOP_LOW and block.size > 2 * SHORT) else None if density >= STOP_LOW or block.inside else False
 
 
 def second_pass(labels: list[bool | None], inside: list[bool] | None = None) -> list[bool]:
@@ -229,11 +249,17 @@ def second_pass(labels: list[bool | None], inside: list[bool] | None = None) ->
     return out
 
 
-def without_named(blocks: list[Block]) -> list[Block]:
+def judged(blocks: list[Block], by_words: bool) -> list[bool]:
+    """Both passes; where the first finds nothing good, all that isn't bad is."""
+    labels = [first_pass(b, by_words) for b in blocks]
+    return second_pass(labels, [b.inside for b in blocks]) if True in labels else [x is not False for x in labels]
+
+
+def without_named(blocks: list[Block], by_words: bool = True) -> list[Block]:
     """``blocks`` without named parts; of parts that hold most of the good text, only those go that the block rules find mostly bad."""
     if not any(b.parts for b in blocks):
         return blocks
-    labels = [first_pass(b) for b in blocks]
+    labels = [first_pass(b, by_words) for b in blocks]
     good = [len(b.text) * (x is True or b.inside and x is not False) for b, x in zip(blocks, labels)]
     loose = [bool(b.parts) and not b.inside for b in blocks]
     if sum(g for g, out in zip(good, loose) if out) <= 2 * SHORT:  # no more than a notice
@@ -251,9 +277,10 @@ def without_named(blocks: list[Block]) -> list[Block]:
 
 
 def main_text(page: str | None) -> str:
-    blocks = without_named(blocks_of(page or ""))
-    labels = second_pass([first_pass(b) for b in blocks], [b.inside for b in blocks])
-    return "\n\n".join(b.text for b, good in zip(blocks, labels) if good)
+    blocks = blocks_of(page or "")
+    by_words = listed(blocks)
+    blocks = without_named(blocks, by_words)
+    return "\n\n".join(b.text for b, good in zip(blocks, judged(blocks, by_words)) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:
