@@ -10,8 +10,8 @@ block is bad with many link characters; long blocks are good or bad by their den
 words; short ones stay ambiguous. The lists of stop words are those of four languages: a page whose long blocks hold
 too few of them is in another one, and there length and links alone decide. Characters of scripts that
 write a word in one or two of them count threefold. Preformatted text is never bad for its words. Second pass: an ambiguous block takes the label of its nearest
-decided neighbours; where the two differ, it counts as bad unless the good one is nearer. On a page without any good block
-all that isn't bad is kept. The page's own mark of its article (``article`` or ``main``) is a feature of both: a long block in it
+decided neighbours; where the two differ, it counts as bad unless the good one is nearer. Between neighbours that differ at one distance a heading goes with what follows, and a block that isn't short stays if it has no link.
+On a page without any good block all that isn't bad is kept. The page's own mark of its article (``article`` or ``main``) is a feature of both: a long block in it
 with few stop words is ambiguous, not bad, and between neighbours that differ at the same distance,
 or with none that is decided, a block in it is good. Blocks outside are judged like any other.
 
@@ -48,6 +48,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT = frozenset("head nav footer aside script style noscript template iframe button select textarea svg math object canvas audio video dialog menu title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
@@ -76,6 +77,7 @@ class Block:
     inside: bool
     parts: tuple[int, ...] = ()  # named parts around it, by number
     kept: bool = False  # preformatted
+    heading: bool = False
 
     @property
     def size(self) -> int:
@@ -122,7 +124,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, links, inside, named, opened["pre"] > 0))
+                out.append(Block(text, links, inside, named, opened["pre"] > 0, any(opened[h] > 0 for h in _HEADINGS)))
             parts.clear()
         links = 0
 
@@ -227,19 +229,21 @@ def first_pass(block: Block, by_words: bool = True) -> bool | None:
     return True if density >= STOP_HIGH or (density >= STOP_LOW and block.size > 2 * SHORT) else None if density >= STOP_LOW or block.inside else False
 
 
-def second_pass(labels: list[bool | None], inside: list[bool] | None = None) -> list[bool]:
-    """Ambiguous blocks take after their nearest decided neighbours; in a draw or without any, they are bad unless ``inside``."""
+def second_pass(labels: list[bool | None], inside: list[bool] | None = None, leads: list[bool] | None = None) -> list[bool]:
+    """Ambiguous blocks take after their nearest decided neighbours; in a draw or without any, they are bad unless ``inside``. In a draw, blocks that lead take after the next."""
     n = len(labels)
-    inside = inside or [False] * n
+    inside, leads = inside or [False] * n, leads or [False] * n
     before, after = [(n, False)] * n, [(n, False)] * n
     for i in range(n):
         before[i] = (0, labels[i]) if labels[i] is not None else (before[i - 1][0] + 1, before[i - 1][1]) if i else (n, False)
     for i in range(n - 1, -1, -1):
         after[i] = (0, labels[i]) if labels[i] is not None else (after[i + 1][0] + 1, after[i + 1][1]) if i < n - 1 else (n, False)
     out = []
-    for x, b, a, own in zip(labels, before, after, inside):
+    for x, b, a, own, lead in zip(labels, before, after, inside, leads):
         if x is not None:
             out.append(x)
+        elif lead and b[0] == a[0] < n and a[1]:
+            out.append(True)
         elif min(b[0], a[0]) >= n or (b[0] == a[0] and b[1] != a[1]):
             out.append(own)
         elif b[0] == a[0]:
@@ -252,7 +256,9 @@ def second_pass(labels: list[bool | None], inside: list[bool] | None = None) ->
 def judged(blocks: list[Block], by_words: bool) -> list[bool]:
     """Both passes; where the first finds nothing good, all that isn't bad is."""
     labels = [first_pass(b, by_words) for b in blocks]
-    return second_pass(labels, [b.inside for b in blocks]) if True in labels else [x is not False for x in labels]
+    if True not in labels:
+        return [x is not False for x in labels]
+    return second_pass(labels, [b.inside or (b.size >= SHORT and not b.links and not b.heading) for b in blocks], [b.heading for b in blocks])
 
 
 def without_named(blocks: list[Block], by_words: bool = True) -> list[Block]:
@@ -260,12 +266,13 @@ def without_named(blocks: list[Block], by_words: bool = True) -> list[Block]:
     if not any(b.parts for b in blocks):
         return blocks
     labels = [first_pass(b, by_words) for b in blocks]
-    good = [len(b.text) * (x is True or b.inside and x is not False) for b, x in zip(blocks, labels)]
+    none = True not in labels and not any(b.inside for b in blocks)
+    good = [b.size * (x is True or (none or b.inside) and x is not False) for b, x in zip(blocks, labels)]
     loose = [bool(b.parts) and not b.inside for b in blocks]
     if sum(g for g, out in zip(good, loose) if out) <= 2 * SHORT:  # no more than a notice
         good = [0 if out else g for g, out in zip(good, loose)]
     main, kept, size = Counter(), Counter(), Counter()
-    for b, g, x in zip(blocks, good, second_pass(labels, [b.inside for b in blocks])):
+    for b, g, x in zip(blocks, good, judged(blocks, by_words)):
         for part in b.parts:
             main[part] += g
             kept[part] += len(b.text) * x

@@ -10,7 +10,7 @@ STORIES = {
     "pt": ["A história da cidade", "A história da cidade começa há muitos séculos, quando os primeiros habitantes construíram casas perto do rio e começaram a cultivar os campos.", "Hoje a cidade ainda conserva muitos vestígios daquele tempo distante, e todos os anos chegam visitantes do mundo inteiro para ver as praças."],
     "ru": ["История города", "История города начинается много веков назад, когда первые жители построили дома у реки и начали возделывать поля вокруг холмов.", "Сегодня город всё ещё хранит следы того далёкого времени, и каждый год сюда приезжают гости со всего мира."],
     "zh": ["城市的历史", "这座城市的历史始于许多世纪以前，当时第一批居民在河边建造房屋并开始耕种田地，后来又修建了城墙。", "今天这座城市仍然保留着那个遥远时代的许多痕迹。"],
-    "ja": ["町の歴史", "この町の歴史は何世紀も前に始まり、最初の住民が川のそばに家を建て、畑を耕し始めた。その後、城壁も築かれた。", "今もその時代の跡が多く残っている。"],
+    "ja": ["町の歴史", "この町の歴史は何世紀も前に始まり、最初の住民が川のそばに家を建て、畑を耕し始めた。その後、城壁も築かれた。", "今もその時代の跡が多く残っていて、毎年世界中から人々が訪れる。"],
     "poem": [f"A line of it, number {i}" for i in range(12)],
 }
 
