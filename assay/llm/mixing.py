@@ -135,8 +135,10 @@ def _taken(rows: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     if plan.where("room < have").isEmpty():
         return out
     # Of equal rows at a threshold only their number matters: they are counted before they meet.
-    same = ranked.where(tied).groupBy("source", "class", "whole", "room", *keep).agg(F.count(F.lit(1)).alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy("source", "class").orderBy(F.xxhash64(*keep)).rowsBetween(Window.unboundedPreceding, -1))
+    # They go by a digest of their JSON: a column may be a map, which can neither be grouped by nor hashed.
+    digest = F.sha2(F.to_json(F.struct(*keep)), 256).alias("digest")
+    same = ranked.where(tied).groupBy("source", "class", "whole", "room", digest).agg(*(F.first(c).alias(c) for c in keep), F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("source", "class").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1))
     each = same.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("place", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return out.union(each.select(*keep, (F.col("whole") + F.when(F.col("before") + F.col("place") <= F.col("room"), 1).otherwise(0)).alias("copies")))
 
@@ -154,7 +156,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     _, plan = _planned(docs, weights, share, most)
     rows = sized(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")).drop("text")
     taken = _taken(rows, plan, ["row"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "copies")))).where("copy <= copies")
-    return taken.select(*(F.col("row")[c].alias(c) for c in names))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in names))
 
 
 SQL = r"""

@@ -233,14 +233,15 @@ def keep_good(docs: DataFrame, field: LineField, min_content: float = MIN_CONTEN
     """The rows of ``docs`` that pass, with all their columns. No join: the verdict is reached where the row is."""
     from pyspark.sql.types import StructType
 
-    names = docs.columns
+    names, place = docs.columns, docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # any names, dots included
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keep = []
-        for text in batch.column(names.index("text")).to_pylist():
+        for text in batch.column(place).to_pylist():
             words = (text or "").encode().split()
             ok = len(words) >= MIN_WORDS and 100 * repeated_words(words) <= MAX_REPEAT_PERCENT * len(words)
             keep.append(ok and field.share(*lines_of(text)[:2]) >= min_content)
-        return pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, names=names)
+        return pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, names=batch.schema.names)
 
-    return map_batches(docs, fn, StructType(docs.schema.fields))
+    return map_batches(plain, fn, StructType(plain.schema.fields)).toDF(*names)

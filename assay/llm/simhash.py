@@ -196,7 +196,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, bands: int =
 
 
 def grouped(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp, component_id and the columns of ``more`` of every row of ``docs``."""
+    """doc_id, fp, component_id, root (a fingerprint that stands for the group) and the columns of ``more`` of every row of ``docs``."""
     fps = written(fingerprints(docs, more=more), "fingerprints")
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
     found = written(links(first.select("fp"), bands=bands_for(first.count())), "links")
@@ -206,8 +206,9 @@ def grouped(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     linked = linked.join(first, "fp").select("fp", "first", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
     parts = linked.groupBy("root", "salt").agg(F.min("first").alias("first"))
     least = parts.select("root", "salt").join(parts.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    named = linked.join(least, ["root", "salt"]).select("fp", "component_id")
-    of = written(first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
+    named = linked.join(least, ["root", "salt"]).select("fp", "root", "component_id")
+    of = first.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    of = written(of, "classes")
     return fps.join(of, "fp")
 
 
@@ -217,13 +218,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, once each; rows without an id stay as they are.
+    """One row of each group of near duplicates; rows without an id stay as they are.
 
-    Of rows that repeat an id with other texts, the one whose text has the smallest hash stays, among those
-    whose own group has that id: a row in another group's stead would leave its own group twice and that one gone.
+    It is one with the group's smallest id; of several, that whose text has the smallest hash, and of those
+    the one whose other columns come first as JSON. Where rows of one id belong to several groups, each group keeps its row.
+    A row travels as one struct, so its other columns may have any names and types.
     """
-    hashed = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
-    kept = grouped(hashed, ("_hash",)).where("doc_id = component_id").groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("text"))  # one hash an id is left: the join's partitioning serves
-    once = hashed.join(kept, ["doc_id", "_hash"], "left_semi").withColumn("_place", place).where("_place = 1")
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    hashed = docs.where("doc_id is not null").select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("hash"), (F.to_json(F.struct(*others)) if others else F.lit("")).alias("rest"))
+    of = grouped(docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("hash")), ("hash",))
+    kept = of.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("hash").alias("hash")).select("doc_id", "hash").distinct()
+    place = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("rest"))  # the join's partitioning serves
+    once = hashed.join(kept, ["doc_id", "hash"], "left_semi").withColumn("place", place).where("place = 1")
+    return once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)).union(docs.where("doc_id is null"))

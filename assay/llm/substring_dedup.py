@@ -424,17 +424,20 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` with their texts cut (n_chars follows, where there is such a column). Texts that lose nothing stay as they are."""
+    """The rows of ``docs`` with their texts cut (n_chars follows, where there is such a column). Texts that lose nothing stay as they are; other columns may have any names and types."""
     names = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(names)}  # by place, so that no name clashes with those added
+    plain = docs.toDF(*at.values())
     place = names.index("text")
 
     def add_sha(batch: pa.RecordBatch) -> pa.RecordBatch:
         shas = [_sha((t or "").encode().split()) for t in batch.column(place).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.binary())], names=[*names, "_sha"])
-
-    cut = deduplicate(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), F.coalesce("kept", F.lit("")).alias("_kept")).distinct()
-    keyed = map_batches(docs, add_sha, StructType([*docs.schema.fields, StructField("_sha", BinaryType())]))
-    joined = keyed.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_of")), "left")
-    text = F.coalesce("_kept", "text")
-    new = {"text": text} | ({"n_chars": F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), "n_chars")} if "n_chars" in names else {})
-    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in names))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.binary())], names=[*at.values(), "sha"])
+
+    cut = deduplicate(docs.select("doc_id", "text"), window).where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("sha").alias("of"), F.coalesce("kept", F.lit("")).alias("kept")).distinct()
+    keyed = map_batches(plain, add_sha, StructType([*plain.schema.fields, StructField("sha", BinaryType())]))
+    joined = keyed.join(cut, (F.col(at["doc_id"]) == F.col("id")) & (F.col("sha") == F.col("of")), "left")
+    new = {"text": F.coalesce("kept", at["text"])}
+    if "n_chars" in names:
+        new["n_chars"] = F.coalesce(F.length("kept").cast(docs.schema["n_chars"].dataType), at["n_chars"])
+    return joined.select(*(new.get(c, F.col(at[c])).alias(c) for c in names))

@@ -69,3 +69,22 @@ def test_stage_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, where).columns == frame.columns
         assert stage(spark, frame.limit(0), where).count() == 0
+
+
+def test_any_columns_ties_and_long_texts(spark, folder):
+    """Columns named as the stages' own, a map and a struct among them, come through with their values; so do repeated rows and a long text."""
+    where, docs, _ = folder
+    extra = "_hash long, _place int, _sha string, _kept string, _id long, _of string, row string, hash string, place string, sha string, kept string, id int, of int, root int, rest string, digest string, copies int, size string, class int, u int, take string, source_size int, `a.b` int, m map<string,int>, s struct<x:int,y:array<string>>"
+    values = (1, 2, "s", "k", 5, "o", "r", "h", "p", "s2", "k2", 6, 7, 8, "rest", "d", 9, "z", 10, 11, "t", 12, 13, {"a": 1}, (3, ["y"]))
+    long = " ".join(f"w{i % 997}x{i // 7}" for i in range(60_000))
+    rows = [*docs, docs[1], docs[1], docs[1], (300, long, "en", "s1")]
+    frame = spark.createDataFrame([(*d, len(d[1] or ""), *values) for d in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(4)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, where)
+        assert out.schema.names == frame.schema.names and out.count() > 40, name
+        got = out.collect()
+        assert all(tuple(r)[5:] == (*values[:-1], (3, ["y"])) for r in got), name
+        assert name == "quality" or any(r.doc_id == 300 for r in got), name
+        assert name in ("quality", "repeated_passages") or all(r.text in {d[1] for d in rows} for r in got), name
+    tied = spark.createDataFrame([(1, "a b c", "en", "s", 5, {"k": 1})] * 40 + [(2, "d e f g", "en", "t", 7, {"k": 2})] * 40, "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>")
+    assert sum(len(r.text.split()) for r in corpus_pipeline.source_mix(spark, tied, where).collect()) == pytest.approx(1.5 * 280, abs=4)
