@@ -71,12 +71,12 @@ def ingest(store: Store, batch: int, entities: Iterable[Entity]) -> dict[str, Da
         stored = store.read(table, without=batch)
         if entity.refers:
             rows = _with_parent(rows, store, batch, ids, *entity.refers)
-        rows = _staged(rows.withColumn("_key", F.xxhash64(*keys)), f"rows-{table}")
+        rows = staged(rows.withColumn("_key", F.xxhash64(*keys)), f"rows-{table}")
         if store.batches(table) in ([], [batch]):
             new, there = first_of(rows, keys, "guid"), None
         else:
-            near = maybe_in(stored.select("id", *keys).withColumn("_key", F.xxhash64(*keys)), "_key", _staged(key_filter(rows, "_key"), f"filter-{table}"))
-            there = _staged(near.join(rows.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("_id")), f"there-{table}")
+            near = maybe_in(stored.select("id", *keys).withColumn("_key", F.xxhash64(*keys)), "_key", staged(key_filter(rows, "_key"), f"filter-{table}"))
+            there = staged(near.join(rows.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("_id")), f"there-{table}")
             new = first_of(rows, keys, "guid").join(there, keys, "left_anti")
         new = numbered(new, stored.groupBy(SCOPE).agg(F.max("id").alias("last")), "guid")
         schema = store.schemas[table]
@@ -88,7 +88,7 @@ def ingest(store: Store, batch: int, entities: Iterable[Entity]) -> dict[str, Da
     return ids
 
 
-def _staged(rows: DataFrame, name: str) -> DataFrame:
+def staged(rows: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: used more than once."""
     path = shared_path(rows.sparkSession, name)
     rows.write.parquet(path)

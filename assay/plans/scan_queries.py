@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import scalars as S
 from assay.functions.smells import detect
-from assay.plans.operator_queries import over_tables
+from assay.plans.operator_queries import _LOG, over_tables
 from assay.sources import reports as P
 from assay.sources import sinks
 from assay.sources.adapters import SMELLS, Tables
@@ -187,24 +187,15 @@ def scan_logs(t: Tables) -> DataFrame:
     return P.logs_of(_found(t, "*.log"), "r1").select("path", S.windows_only(C("content")).alias("windows_only"))
 
 
-def _csv_round(t: Tables, rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` without their key, appended to a CSV report in two goes and read back."""
-    path = sinks.shared_path(t.spark, name)
-    for k in (0, 1):
-        sinks.append_csv(rows.where(C("n_nationkey") % 2 == k).drop("n_nationkey"), path)
-    return t.spark.read.schema(rows.drop("n_nationkey").schema).option("header", True).option("quote", "").csv(path)
-
-
-@over_tables("csv_validation", "SELECT n_name AS repo, n_regionkey < 2 AS has_coverage, n_nationkey % 2 = 0 AS has_mutation FROM nation")
-def csv_validation(t: Tables) -> DataFrame:
-    found = t.raw("nation").select("n_nationkey", C("n_name").alias("repo"), (C("n_regionkey") < 2).alias("has_coverage"), (C("n_nationkey") % 2 == 0).alias("has_mutation"))
-    return _csv_round(t, found, "csv-validation")
-
-
-@over_tables("csv_windows", 'SELECT n_name AS "ProjectName", n_regionkey = 3 AS "WindowsOnly" FROM nation')
+@over_tables("csv_windows", f'SELECT source AS "ProjectName", bool_or(({_LOG}) ILIKE \'%Code coverage is currently supported only on Windows.%\') IS TRUE AS "WindowsOnly" FROM documents WHERE source IS NOT NULL GROUP BY source')
 def csv_windows(t: Tables) -> DataFrame:
-    found = t.raw("nation").select("n_nationkey", C("n_name").alias("ProjectName"), (C("n_regionkey") == 3).alias("WindowsOnly"))
-    return _csv_round(t, found, "csv-windows")
+    """A row for each project whose logs were searched, appended to a CSV report in two goes and read back."""
+    log = t.raw("documents").where("source is not null").select(C("source").alias("ProjectName"), F.expr(_LOG).alias("content"))
+    found = log.groupBy("ProjectName").agg(F.coalesce(F.bool_or(S.windows_only(C("content"))), L(False)).alias("WindowsOnly"))
+    path = sinks.shared_path(t.spark, "csv-windows")
+    for k in (0, 1):
+        sinks.append_csv(found.where(F.pmod(F.crc32("ProjectName"), L(2)) == k), path)
+    return sinks.read_csv(t.spark, path, found.schema)
 
 
 # --- smells: bodies made so that a part's number says which rules they break

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from assay.operators import resolve as R
-from assay.operators.entities import Entity, ingest
+from assay.operators.entities import Entity, ingest, staged
 from assay.operators.increments import MethodCoverage, TestAgg
 from assay.plans import views as V
 from assay.plans.registry import query
@@ -152,6 +152,16 @@ def repo_validation_row(t: RepoTables) -> DataFrame:
     return validation(t)
 
 
+@over_repos("csv_validation", _VALIDATION, outer=f"SELECT * EXCLUDE (repo_id) FROM (SELECT {_NAMED}, * FROM ({{}}))")
+def csv_validation(t: RepoTables) -> DataFrame:
+    """The validated repositories appended to a CSV report in two goes and read back."""
+    path = sinks.shared_path(t.spark, "csv-validation")
+    found = staged(validation(t), "validation")
+    for repos in ("repo_id < 'repo_2'", "repo_id >= 'repo_2'"):
+        sinks.append_csv(found.where(repos).drop(SCOPE), path)
+    return sinks.read_csv(t.spark, path, found.drop(SCOPE).schema)
+
+
 # --- updates of stored rows
 
 _STATUS = "SELECT user_id AS id, event_id % 2 + 1 AS batch, event_type AS result, value AS coverage, event_id AS seq FROM events"

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -38,8 +39,15 @@ def append(df: DataFrame, path: str, partition: str | None = "repo_id") -> None:
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """Append rows with a header in each file and no quotes."""
-    df.coalesce(1).write.mode("append").option("header", True).option("quote", "").csv(path)
+    """Append rows to a CSV report, without quotes: its header stands once, in ``header``, written with the first rows; rows go to ``rows`` by as many tasks as hold them. ``header/*`` and ``rows/*`` one after another are the report."""
+    df.sparkSession.createDataFrame([(",".join(df.columns),)], "value string").coalesce(1).write.mode("ignore").text(f"{path}/header")
+    df.select(F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns))).write.mode("append").text(f"{path}/rows")
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A report's rows; the names come from its header, the types from ``schema``."""
+    names = spark.read.text(f"{path}/header").first()[0].split(",")
+    return spark.read.schema(StructType([schema[n] for n in names])).option("quote", "").csv(f"{path}/rows")
 
 
 def split_by(df: DataFrame, path: str, flag: str = "has_tests") -> None:

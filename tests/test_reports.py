@@ -91,7 +91,9 @@ def test_sinks(spark, tmp_path):
         sinks.split_by(df, f"{tmp_path}/s")
     sinks.append_csv(df, f"{tmp_path}/c")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 4 and spark.read.parquet(f"{tmp_path}/s").where("has_tests = 'true'").count() == 2
-    assert spark.read.option("header", True).csv(f"{tmp_path}/c").columns == ["repo_id", "x", "has_tests"]
+    sinks.append_csv(df.repartition(2), f"{tmp_path}/c")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/c/header").collect()] == ["repo_id,x,has_tests"]
+    assert sorted(map(tuple, sinks.read_csv(spark, f"{tmp_path}/c", df.schema).collect())) == sorted(2 * list(map(tuple, df.collect())))
     (tmp_path / "src" / "deep").mkdir(parents=True)
     (tmp_path / "src" / "deep" / "a.sln").write_text("é")
     assert [r.content for r in P.read_files(spark, f"{tmp_path}/src", "*.sln").collect()] == ["é"]
@@ -103,8 +105,9 @@ def test_csv_reports_are_written(spark, monkeypatch):
 
     written, append_csv = [], sinks.append_csv
     monkeypatch.setattr(sinks, "append_csv", lambda df, path: (written.append(path), append_csv(df, path)))
-    nations = spark.read.parquet(f"{SF}/nation.parquet").collect()
-    got = {name: sorted(tuple(r) for r in registry.queries()[name](spark, SF).collect()) for name in ("csv_validation", "csv_windows")}
-    assert got["csv_validation"] == sorted((r.n_name, r.n_regionkey < 2, r.n_nationkey % 2 == 0) for r in nations)
-    assert got["csv_windows"] == sorted((r.n_name, r.n_regionkey == 3) for r in nations)
+    q = registry.queries()
+    got = {name: q[name](spark, SF) for name in ("csv_validation", "csv_windows")}
+    assert got["csv_validation"].columns == ["URL", "Owner", "Repo", "HasXUnit", "HasCoverage", "HasPassingTests", "HasCandidateMethods", "HasMutationReports", "HasFileCodeMetrics", "HasFunctionCodeMetrics"]
+    assert sorted(map(tuple, got["csv_validation"].collect())) == sorted(map(tuple, q["repo_validation_row"](spark, SF).drop("repo_id").collect()))
+    assert sorted(r.ProjectName for r in got["csv_windows"].collect()) == sorted(r.source for r in spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().collect() if r.source)
     assert len(written) == 4 and len(set(written)) == 2
