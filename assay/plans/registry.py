@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from assay.plans import operator_queries, scan_queries, source_queries, store_queries, views  # noqa: F401  registers on import
+    from assay.plans import operator_queries, report_queries, scan_queries, source_queries, store_queries, views  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,3 +44,14 @@ def publish(counts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
         batch.write.mode("overwrite").parquet(table)
 
     return counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def report_files(spark: SparkSession, root: str, table: str, checkpoint: str, glob: str = "*") -> StreamingQuery:
+    """Append (name, path) of files that are new to ``table``: of those with one name in the folders below ``root`` the first that a run sees.
+
+    The names seen are the keys of the stream's state, the files seen are in its log: another run over the grown folder adds new names only. No content is read.
+    """
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(shape).option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
+    names = files.select(F.substring_index("path", "/", -1).alias("name"), F.col("path")).dropDuplicates(["name"])
+    return names.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
