@@ -4,8 +4,14 @@ Every text longer than a chunk is encoded in overlapping chunks with character o
 are spliced at an offset where both encodings end a token and begin the next, and where the cut is proven
 stable: a character that isn't white space stands before it and white space after it. The pattern
 that splits texts never matches across such a place and looks only forward, and no special
-token holds white space or takes it in, so the tokens on either side are those of the whole text. Where an
-overlap holds no such offset it is widened, up to the rest of the text. Shorter texts are one chunk.
+token holds white space or takes it in, so the tokens on either side are those of the whole text.
+
+Text without such places is spliced where both encodings agree on the token before the cut and on the one after it. For merges by
+rank that is proof as well: tokens are a text's encoding if, and only if, each two neighbours are the
+encoding of what they spell together (a merge over a boundary needs only the two tokens beside it), and both chunks
+have encoded these two side by side. The second chunk begins where a token of the first does, so they agree at once but for
+the first one's end. This holds for byte-level merges split by the usual pattern (``local``); with any other
+tokenizer an overlap without a proven offset is widened, up to the rest of the text. Shorter texts are one chunk.
 
 Null texts count as empty: no bytes and no tokens. Repeated rows each give a row; an empty table gives an
 empty one, other columns are not read, and of a very long text only two chunks are encoded at a time.
@@ -38,10 +44,11 @@ class Counter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
-            added = json.load(f).get("added_tokens", [])
+            added = json.load(f).get("added_tokens") or []
         if any(t["lstrip"] or t["rstrip"] or re.search(f"[{SPACE}]", t["content"]) for t in added):
             raise ValueError("an added token takes in white space: cuts before white space aren't proven")
         self.tokenizer = Tokenizer.from_file(path)
+        self.local = self.is_local(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
@@ -51,6 +58,16 @@ class Counter:
             cls._built[path] = cls(path)
         return cls._built[path]
 
+    @staticmethod
+    def is_local(path: str) -> bool:
+        """Whether two agreeing tokens prove a cut: plain byte-level merges, split by the byte-level pattern, on the text as it is."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        return bool(plain and split and not spec.get("normalizer") and all(len(t["content"]) < OVERLAP // 2 for t in spec.get("added_tokens") or []))
+
     def encode(self, text: str) -> Encoding:
         return self.tokenizer.encode(text, add_special_tokens=False)
 
@@ -62,9 +79,13 @@ class Counter:
             width, cut = overlap, None
             while cut is None:
                 begin = max(start, stop - width)
-                to = min(len(text), begin + max(chunk, 2 * width))
+                if self.local and begin > start:
+                    begin = start + left.token_to_chars(left.char_to_token(begin - start))[0]
+                to = min(len(text), max(begin + chunk, stop + width))
                 right = self.encode(text[begin:to])
                 cut = self.common(text, left, start, right, begin, stop)
+                if cut is None and self.local:
+                    cut = self.agreed(left, start, right, begin, stop)
                 if cut is None and begin == start and to == len(text):  # nowhere proven: the rest is one piece
                     return total + len(right) - (skip and self.before(left, skip))
                 width *= 2
@@ -92,6 +113,21 @@ class Counter:
         return None
 
 
+    def agreed(self, left: Encoding, start: int, right: Encoding, begin: int, stop: int) -> int | None:
+        """The last offset in the overlap at which both encodings have the same token before it and the same after it."""
+        ids, others = left.ids, right.ids
+        for token in range(len(ids) - 1, 0, -1):
+            place, end = (x + start for x in left.token_to_chars(token))
+            if place <= begin:
+                return None
+            if end >= stop or not self.meets(left, place - start) or left.char_to_token(place - start) != token or not self.meets(right, place - begin):
+                continue
+            other = right.char_to_token(place - begin)
+            if ids[token - 1 : token + 1] == others[other - 1 : other + 1] and left.token_to_chars(token - 1)[0] + start == right.token_to_chars(other - 1)[0] + begin:
+                return place
+        return None
+
+
 cache_of("token_count", Counter._built.clear)
 
 
