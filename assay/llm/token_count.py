@@ -49,6 +49,7 @@ class Counter:
             raise ValueError("an added token takes in white space: cuts before white space aren't proven")
         self.tokenizer = Tokenizer.from_file(path)
         self.local = self.is_local(path)
+        self.longest = max((len(t["content"]) for t in added), default=0)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
@@ -66,12 +67,13 @@ class Counter:
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
         plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
         split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        return bool(plain and split and not spec.get("normalizer") and all(len(t["content"]) < OVERLAP // 2 for t in spec.get("added_tokens") or []))
+        return bool(plain and split and not spec.get("normalizer"))
 
     def encode(self, text: str) -> Encoding:
         return self.tokenizer.encode(text, add_special_tokens=False)
 
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+        local = self.local and overlap > 2 * self.longest  # else an added token may lie over both ends of an overlap
         start, stop = 0, min(chunk, len(text))
         left, skip = self.encode(text[:stop]), 0  # of the last chunk: its encoding, and its tokens before the last cut
         total = 0
@@ -79,12 +81,12 @@ class Counter:
             width, cut = overlap, None
             while cut is None:
                 begin = max(start, stop - width)
-                if self.local and begin > start:
+                if local and begin > start:
                     begin = start + left.token_to_chars(left.char_to_token(begin - start))[0]
                 to = min(len(text), max(begin + chunk, stop + width))
                 right = self.encode(text[begin:to])
                 cut = self.common(text, left, start, right, begin, stop)
-                if cut is None and self.local:
+                if cut is None and local:
                     cut = self.agreed(left, start, right, begin, stop)
                 if cut is None and begin == start and to == len(text):  # nowhere proven: the rest is one piece
                     return total + len(right) - (skip and self.before(left, skip))
