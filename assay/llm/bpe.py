@@ -5,11 +5,13 @@ configurations are (last finished token, token being read, tokens not yet emitte
 survives the end of a token only where the pair (last, new) is one that the merges themselves leave
 apart; exactly one token sequence of each prefix of a word passes, the one that merging by rank
 gives. So the set of live configurations is given by the longest suffix read that begins a token (its
-suffixes are the tokens being read) and by the last token of each prefix that one of them begins
-after. These sets are determinised on demand: a transition, and the verdict on a pair, is worked out when a
-text first needs it and then looked up. A token is certain as soon as all live configurations agree on
-it, so the lookahead is bounded by the longest vocabulary entry; of words up to ``LOOK`` bytes it is
-emitted at the word's end at the latest.
+suffixes are the tokens being read) and by the tokens not yet emitted on the way to each place where one of
+them begins. Such a set is a state of the determinised transducer. States get numbers when first reached;
+an edge (state, byte) holds its target and the tokens that become certain with the byte, those on which all
+live configurations agree. It is worked out when a text first takes it and then looked up. The lookahead is
+bounded by the longest vocabulary entry. All tokens come from edges; the edge by the
+word's end emits those that its last bytes left open. (A word that is a vocabulary entry is one token, as the library has it.)
+States are forgotten beyond a bound and worked out again.
 
 Decoding joins token bytes through an incremental UTF-8 state machine, so that a character
 may be split over tokens; malformed bytes become U+FFFD.
@@ -25,6 +27,7 @@ import gc
 import hashlib
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -41,10 +44,14 @@ PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: The same, cut also between a Latin letter and ASCII punctuation, where a match always ends too (but special tokens may go on).
 LATIN = re.compile(f"[{SPACE}]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\\[-`{{-~{SPACE}]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-#: Bounds of what a worker remembers; the second is a power of two.
-MAX_PIECES, MAX_PAIRS = 300_000, 1 << 20
-#: Longer words are read by themselves, so many bytes at a time. Words read side by side at most. Characters whose pieces are looked up together.
+#: Bounds of what a worker remembers: pieces of text, verdicts on pairs of tokens, states (forgotten before the next words, or bytes of a long word). Places for edges, a power of two.
+MAX_PIECES, MAX_PAIRS, MAX_STATES, SLOTS = 300_000, 1 << 20, 300_000, 1 << 20
+#: Longer words are read by themselves. Words read side by side at most. Characters whose pieces are looked up together.
 LOOK, MAX_WORDS, GROUP = 64, 20_000, 1_000_000
+#: The end of a word as a symbol. What doesn't matter any more. The start state: at the root, no token before.
+END, UNUSED = 256, -2
+START = (0, (-1,))
+BYTES = [bytes((i,)) for i in range(256)]
 #: Tokens that the decoder takes at a time.
 FEED = 4096
 
@@ -69,10 +76,10 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int | None = Non
 class Transducer:
     """Encodes words (pre-tokens); see the module's text.
 
-    After some bytes of a word, ``lasts`` holds the token that ends at each position from the one up to
-    which tokens have been emitted (-1: the word's start), and ``node`` the longest suffix of the bytes that
-    begins a token; its own suffixes are the tokens being read. Words are read side by side, a byte of
-    each at a time, so that a step is a look into arrays; long ones by themselves.
+    A state is (``node``, ``lasts``): ``node`` is the longest suffix of the word's bytes that begins a token, and
+    ``lasts`` the token that ends at each position from the one up to which tokens have been emitted (-1: the word's
+    start; UNUSED: no live configuration goes by it). Words are read side by side, a byte of each at a time, so that a
+    step is a look into arrays; long ones by themselves.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -86,19 +93,27 @@ class Transducer:
         self.inner = {path[:-1] for path in self.path if path}
         size = max(ranks.values()) + 1
         #: Of each token: its bytes, the two tokens that merging joins last to make it (-1: it isn't made by merging), the longest token that ends it.
-        self.length, self.left, self.right, self.shorter = (np.full(size, -1, np.int32) for _ in range(4))
+        self.length, self.left, self.right, self.shorter = ([-1] * size for _ in range(4))
         for word, rank in ranks.items():
             self.length[rank] = len(word)
             self.left[rank], self.right[rank] = self.last_merge(word)
             self.shorter[rank] = self.token_at_end(word[1:])
-        #: Of each node, the longest token that ends there.
-        self.longest = np.array([self.token_at_end(path) for path in self.path], np.int32)
-        joined = sorted((ranks[w[:i]] << 32 | ranks[w[i:]], rank) for w, rank in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks)
-        self.joined = np.array([key for key, _ in joined], np.int64)
-        self.joined_rank = np.array([rank for _, rank in joined], np.int64)
-        #: Filled on demand: the transitions (0: not known; memory is taken as it is filled), and verdicts on pairs of tokens.
-        self.next = np.zeros((len(self.path), 256), np.int32)
-        self.verdicts = np.full(MAX_PAIRS, -1, np.int64)
+        #: Of each node, the longest token that ends there and how far back the tokens being read begin (filled on demand).
+        self.longest = [self.token_at_end(path) for path in self.path]
+        self.reading: list[tuple[int, ...] | None] = [None] * len(self.path)
+        self.verdicts: dict[tuple[int, int], bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin anew with the start state alone."""
+        self.states: list[tuple[int, tuple[int, ...]]] = [START]
+        self.state_of = {START: 0}
+        #: Edges by (state, byte), END for the word's end: target, and the tokens emitted (where they begin among all edges' tokens, how many).
+        self.edge_of: dict[int, int] = {}
+        self.target, self.begin, self.count, self.tokens = array("i"), array("i"), array("i"), array("i")
+        #: The same edges for look-ups by the array; each key has one place.
+        self.slots = np.full(SLOTS, -1, np.int64)
+        self.edge_at = np.zeros(SLOTS, np.int32)
 
     def last_merge(self, word: bytes) -> tuple[int, int]:
         """The two tokens that merging joins last to make ``word``; (-1, -1) where merging doesn't make it."""
@@ -110,148 +125,150 @@ class Transducer:
     def token_at_end(self, path: bytes) -> int:
         return next((self.ranks[path[i:]] for i in range(len(path)) if path[i:] in self.ranks), -1)
 
-    def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether the merges leave the two tokens of each pair side by side as they are.
+    def pair(self, left: int, right: int) -> bool:
+        """Whether the merges leave the two tokens side by side as they are.
 
         Both tokens' merges are undone from the last one back. Of what then meets at the seam, no
         pair may have a merge that comes before the merge that would have hidden it.
         """
-        never = 2 * len(self.left)
-        apart = np.zeros(len(left), bool)
-        # Rank of the merge that ends the time at which a part stands at the seam.
-        at, hide_left, hide_right = np.arange(len(left)), np.full(len(left), never), np.full(len(left), never)
-        while len(at):
-            key = left.astype(np.int64) << 32 | right
-            place = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
-            rank = np.where(self.joined[place] == key, self.joined_rank[place], never)
-            # A tie is the same merge at two places: the leftmost goes first, which is the left token's own.
-            goes_on = ~((rank < hide_left) & (rank <= hide_right) & (rank < np.maximum(hide_left, hide_right)))
-            made_left, made_right = np.where(self.left[left] < 0, -1, left), np.where(self.left[right] < 0, -1, right)
-            done = goes_on & (made_left < 0) & (made_right < 0)
-            apart[at[done]] = True
-            goes_on &= ~done
-            undo_left = made_left > made_right
-            hide_left, hide_right = np.where(undo_left, made_left, hide_left), np.where(undo_left, hide_right, made_right)
-            left, right = np.where(undo_left, self.right[left], left), np.where(undo_left, right, self.left[right])
-            at, left, right, hide_left, hide_right = (x[goes_on] for x in (at, left, right, hide_left, hide_right))
-        return apart
-
-    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """``stay_apart`` with a memory: each pair has one place in it."""
-        key = left.astype(np.int64) << 32 | right
-        place = (key * 0x9E3779B97F4A7C1 >> 20) & (MAX_PAIRS - 1)
-        found = self.verdicts[place]
-        new = np.flatnonzero(found >> 1 != key)
-        out = (found & 1).astype(bool)
-        if len(new):
-            out[new] = self.stay_apart(left[new], right[new])
-            self.verdicts[place[new]] = key[new] << 1 | out[new]
-        return out
-
-    def follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The node of the longest suffix that begins a token, after one more byte."""
-        to = self.next[node, byte]
-        for at in np.flatnonzero(to == 0).tolist():
-            path = self.path[node[at]] + bytes((int(byte[at]),))
-            while path not in self.node_of:
-                path = path[1:]
-            to[at] = self.next[node[at], byte[at]] = self.node_of[path]
-        return to
-
-    def read(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Read rows of bytes, the longest first: the last token of each row's prefixes (-1: of the empty one)."""
-        lasts, node = np.full((len(words), len(words[0]) + 1), -1, np.int32), np.zeros(len(words), np.int32)
-        for at in range(int(size[0])):
-            live = int(np.searchsorted(-size, -at))  # words longer than at
-            node = self.follow(node[:live], words[:live, at])
-            token, todo, column = self.longest[node], np.arange(live), at + 1
-            while len(todo):
-                if token.min() < 0:
-                    raise ValueError("the vocabulary cannot spell a word")
-                last = lasts[todo, column - self.length[token]]
-                ok = last < 0
-                ok[~ok] = self.apart(last[~ok], token[~ok])
-                lasts[todo[ok], column] = token[ok]
-                todo, token = todo[~ok], self.shorter[token[~ok]]
-        return lasts
-
-    def encode_short(self, words: list[bytes]) -> list[bytes]:
-        """Words of one byte and more, read side by side; what isn't certain when a word ends is emitted there."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-size, kind="stable")
-        size, longest = size[order], int(size.max())
-        rows = np.frombuffer(b"".join(words[i].ljust(longest, b"\0") for i in order.tolist()), np.uint8).reshape(-1, longest)
-        lasts = self.read(rows, size)
-        steps, at, live = [], size, np.arange(len(words))
-        while len(live):
-            steps.append((live, token := lasts[live, at]))
-            at = at - self.length[token]
-            live, at = live[at > 0], at[at > 0]
-        row, token = (np.concatenate([s[i] for s in reversed(steps)]) for i in (0, 1))
-        place = np.argsort(order[row], kind="stable")
-        flat = token[place].tobytes()
-        ends = (4 * np.cumsum(np.bincount(order[row], minlength=len(words)))).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-    def settle(self, node: int, lasts: list[int]) -> tuple[list[int], list[int]]:
-        """The tokens on which all tokens being read agree, and ``lasts`` after them."""
-        path, end = self.path[node], len(lasts) - 1
-        live = {end} | {end - len(path) + i for i in range(len(path)) if path[i:] in self.inner}
-        while len(live) > 1:
-            at = max(live)
-            live.remove(at)
-            live.add(at - int(self.length[lasts[at]]))
-        base = at = live.pop()
-        out = []
-        while at:
-            out.append(lasts[at])
-            at -= int(self.length[lasts[at]])
-        return out[::-1], lasts[base:]
-
-    def pair(self, left: int, right: int) -> bool:
-        """``stay_apart`` of one pair."""
         rank_of, spelled, hide_left, hide_right = self.ranks, self.token, 2 * len(self.left), 2 * len(self.left)
         while True:
             rank = rank_of.get(spelled[left] + spelled[right])
+            # A tie is the same merge at two places: the leftmost goes first, which is the left token's own.
             if rank is not None and rank < hide_left and rank <= hide_right and rank < max(hide_left, hide_right):
                 return False
             undo_left, undo_right = (x if self.left[x] >= 0 else -1 for x in (left, right))
             if undo_left == undo_right == -1:
                 return True
             if undo_left > undo_right:
-                hide_left, left = undo_left, int(self.right[left])
+                hide_left, left = undo_left, self.right[left]
             else:
-                hide_right, right = undo_right, int(self.left[right])
+                hide_right, right = undo_right, self.left[right]
+
+    def apart(self, left: int, right: int) -> bool:
+        """``pair`` with a memory."""
+        ok = self.verdicts.get((left, right))
+        if ok is None:
+            if len(self.verdicts) >= MAX_PAIRS:
+                self.verdicts.clear()
+            ok = self.verdicts[left, right] = self.pair(left, right)
+        return ok
+
+    def token_after(self, node: int, lasts: tuple[int, ...]) -> int:
+        """The last token of the prefix that ends at ``node``, of the ones that end there the one that its neighbour stays apart from."""
+        token = self.longest[node]
+        while token >= 0:
+            last = lasts[-self.length[token]]
+            if last < 0 or self.apart(last, token):
+                return token
+            token = self.shorter[token]
+        raise ValueError("the vocabulary cannot spell a word")
+
+    def settle(self, reading: tuple[int, ...], lasts: tuple[int, ...]) -> tuple[list[int], tuple[int, ...]]:
+        """The tokens on which all tokens being read agree, and what matters of ``lasts`` after them."""
+        end = len(lasts) - 1
+        begins = {end, *(end - back for back in reading)}
+        live, used = set(begins), set()
+        while len(live) > 1:
+            at = max(live)
+            live.remove(at)
+            used.add(at)
+            live.add(at - self.length[lasts[at]])
+        base = at = live.pop()
+        out = []
+        while at:
+            out.append(lasts[at])
+            at -= self.length[lasts[at]]
+        if base in begins:
+            used.add(base)
+        return out[::-1], tuple([lasts[i] if i in used else UNUSED for i in range(base, end + 1)])
+
+    def edge(self, key: int) -> int:
+        """The edge of a state (``key`` over 512) by a byte or END (``key`` modulo 512), determinised when first asked for."""
+        known = self.edge_of.get(key)
+        if known is not None:
+            return known
+        node, lasts = self.states[key >> 9]
+        byte = key & 511
+        if byte == END:
+            out, to = self.settle((), lasts)[0], 0
+        else:
+            path = self.path[node] + BYTES[byte]
+            while path not in self.node_of:
+                path = path[1:]
+            node = self.node_of[path]
+            reading = self.reading[node]
+            if reading is None:
+                reading = self.reading[node] = tuple(len(path) - i for i in range(len(path)) if path[i:] in self.inner)
+            out, lasts = self.settle(reading, (*lasts, self.token_after(node, lasts)))
+            state = (node, lasts)
+            to = self.state_of.setdefault(state, len(self.states))
+            if to == len(self.states):
+                self.states.append(state)
+        known = self.edge_of[key] = len(self.target)
+        self.target.append(to)
+        self.begin.append(len(self.tokens))
+        self.count.append(len(out))
+        self.tokens.extend(out)
+        return known
+
+    def edges(self, state: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
+        """``edge`` of each row."""
+        key = state << 9 | byte
+        place = (key * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
+        out = self.edge_at[place]
+        new = np.flatnonzero(self.slots[place] != key)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            out[new] = np.fromiter(map(self.edge, keys.tolist()), np.int32, len(keys))[back]
+            self.slots[place[new]], self.edge_at[place[new]] = key[new], out[new]
+        return out
+
+    def encode_short(self, words: list[bytes]) -> list[bytes]:
+        """Words of one byte and more, side by side: a step follows one edge of each, and tokens come off the edges."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        longest = int(size.max())  # the column after it is for the ends
+        rows = np.frombuffer(b"".join(words[i].ljust(longest + 1, b"\0") for i in order.tolist()), np.uint8).reshape(-1, longest + 1)
+        size, state = size[order], np.zeros(len(words), np.int64)
+        taken = np.full((len(words), longest + 1), -1, np.int32)
+        for at in range(longest + 1):
+            live, upto = (int(np.searchsorted(-size, -at, side=side)) for side in ("left", "right"))  # words longer than at, and of at bytes or more
+            taken[live:upto, at] = self.edges(state[live:upto], END)
+            edge = taken[:live, at] = self.edges(state[:live], rows[:live, at])
+            state = np.frombuffer(self.target, np.int32)[edge].astype(np.int64)
+        flat = taken[np.argsort(order)].reshape(-1)
+        begin, count = np.frombuffer(self.begin, np.int32)[flat], np.where(flat < 0, 0, np.frombuffer(self.count, np.int32)[flat])
+        ends = np.cumsum(count)
+        flat = np.frombuffer(self.tokens, np.int32)[np.arange(int(ends[-1])) + np.repeat(begin - (ends - count), count)].tobytes()
+        ends = (4 * ends[longest :: longest + 1]).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_long(self, word: bytes) -> bytes:
-        """One word, read by itself; tokens are emitted after every ``LOOK`` bytes, as far as they are certain."""
-        out, node, lasts, verdicts = [], 0, [-1], {}
-        for at, byte in enumerate(word, 1):
-            to = self.next[node, byte]
-            node = int(to) if to else int(self.follow(np.array([node]), np.array([byte]))[0])
-            token = int(self.longest[node])
-            while token >= 0 and (last := lasts[-self.length[token]]) >= 0:
-                ok = verdicts.get((last, token))
-                if ok is None:
-                    ok = verdicts[last, token] = self.pair(last, token)
-                if ok:
-                    break
-                token = int(self.shorter[token])
-            if token < 0:
-                raise ValueError("the vocabulary cannot spell a word")
-            lasts.append(token)
-            if at % LOOK == 0:
-                emitted, lasts = self.settle(node, lasts)
-                out += emitted
-                if len(verdicts) > MAX_WORDS:
-                    verdicts.clear()
-        return np.array(out + self.settle(0, lasts)[0], np.int32).tobytes()
+        """One word, read by itself."""
+        out, state = [], 0
+        for symbol in (*word, END):
+            edge = self.edge_of.get(state << 9 | symbol)
+            if edge is None:
+                if len(self.states) > MAX_STATES:
+                    now = self.states[state]
+                    self.forget()
+                    state = self.state_of.setdefault(now, len(self.states))
+                    if state:
+                        self.states.append(now)
+                edge = self.edge(state << 9 | symbol)
+            state = self.target[edge]
+            if self.count[edge]:
+                out += self.tokens[self.begin[edge] : self.begin[edge] + self.count[edge]]
+        return np.array(out, np.int32).tobytes()
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Tokens of each word, as 32-bit numbers. A word that is a token itself is that, as the rank file's library has it."""
         out = [None if (whole := self.ranks.get(w)) is None else whole.to_bytes(4, sys.byteorder) for w in words]
         short = [i for i, x in enumerate(out) if x is None and 0 < len(words[i]) <= LOOK]
         for at in range(0, len(short), MAX_WORDS):
+            if len(self.states) > MAX_STATES:
+                self.forget()
             some = short[at : at + MAX_WORDS]
             for i, tokens in zip(some, self.encode_short([words[i] for i in some])):
                 out[i] = tokens
@@ -319,6 +336,7 @@ class Codec:
         width = len(str(size)) + 1
         self.names = np.frombuffer(b"".join(f"{i} ".encode().ljust(width, b"\0") for i in range(size)), np.uint8).reshape(size, width)
         self.utf8 = Utf8()
+
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
         if (path, pattern) not in cls._built:

@@ -60,16 +60,53 @@ def test_long_words(codec, library):
             assert codec.encode(t) == library.encode_ordinary(t)
 
 
+def test_tokens_come_off_edges(codec, library):
+    """Words that are no tokens themselves: tokens are those of the edges taken, within bounded lookahead; words beside each other share states."""
+    t = bpe.Transducer(codec.transducer.ranks)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 150))).encode() for _ in range(400)]
+    words = [w for w in words if w not in t.ranks]
+    encoded = [np.frombuffer(x, np.int32).tolist() for x in t.encode(words)]
+    longest = max(map(len, t.ranks))
+    for word, tokens in zip(words, encoded):
+        assert tokens == library._encode_single_piece(word)
+        state, emitted = 0, []
+        for at, symbol in enumerate((*word, bpe.END), 1):
+            edge = t.edge_of[state << 9 | symbol]
+            state = t.target[edge]
+            emitted += t.tokens[t.begin[edge] : t.begin[edge] + t.count[edge]].tolist()
+            open_bytes = at - sum(t.length[x] for x in emitted)
+            assert symbol == bpe.END or open_bytes == len(t.states[state][1]) - 1 <= 3 * longest
+        assert emitted == tokens and state == 0
+    assert len(t.states) < sum(map(len, words))  # of random letters; some 0.6
+    before = len(t.states), len(t.target)
+    assert t.encode(words) == t.encode(words) and (len(t.states), len(t.target)) == before
+
+
+def test_states_are_bounded(codec, library, monkeypatch):
+    """Forgotten states, also amid a long word, change nothing."""
+    monkeypatch.setattr(bpe, "MAX_STATES", 50)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 5)
+    monkeypatch.setattr(bpe, "SLOTS", 16)
+    t = bpe.Transducer(codec.transducer.ranks)
+    rng = random.Random(13)
+    for n in (5, 30, 64, 65, 900):
+        words = ["".join(rng.choice("abcdeghilmnoprstu") for _ in range(n)).encode() for _ in range(12)]
+        assert [np.frombuffer(x, np.int32).tolist() for x in t.encode(words)] == [library._encode_single_piece(w) for w in words]
+    word = "".join(rng.choice("abcdeghilmnoprstu") for _ in range(3000)).encode()
+    assert np.frombuffer(t.encode([word])[0], np.int32).tolist() == library._encode_single_piece(word)
+    assert len(t.states) <= 52
+
+
 def test_pairs_by_merging(codec):
     """The seam test agrees with merging the two tokens' bytes."""
     rng, t = random.Random(3), codec.transducer
     ids = list(t.token)
     short = [i for i in ids if len(t.token[i]) < 3]
     pairs = [(rng.choice(short), rng.choice(ids if rng.random() < 0.5 else short)) for _ in range(20_000)]
-    got = t.stay_apart(*(np.array(x, np.int32) for x in zip(*pairs)))
-    for (a, b), apart in zip(pairs, got.tolist()):
+    for a, b in pairs:
         both = t.token[a] + t.token[b]
-        assert apart == t.pair(a, b) == (both not in t.ranks and bpe.merge_by_rank(both, t.ranks) == [a, b])
+        assert t.pair(a, b) == (both not in t.ranks and bpe.merge_by_rank(both, t.ranks) == [a, b])
 
 
 def test_utf8_machine():
