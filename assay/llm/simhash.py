@@ -7,12 +7,15 @@ more): fingerprints that agree in so many bands form a shard, and every link lie
 There are more bands where there are more fingerprints, so that shards stay small. Each shard has
 a BK-tree (children keyed by their Hamming distance to the parent), held only by the task that
 searches it and followed only along edges within the radius: a tree's size has a bound
-(``SHARD``), and a larger shard is dealt out as trees over pairs of its blocks. Of the links in a
-shard a spanning forest leaves it, not every pair.
+(``SHARD``; at 24 bytes a fingerprint with its order and groups one megabyte), and a larger shard is
+dealt out as trees over pairs of its blocks. All trees together hold each fingerprint once a shard key, which has
+no bound, so they are not broadcast. Of the links in a shard a spanning forest leaves it, not every pair.
 
 Copies share a fingerprint and enter the search once. Null and blank texts have fingerprint
 zero, which links like any other. Repeated rows each give a row; a null doc_id is never
-a group's smallest id, and a group without an id has component_id null.
+a group's smallest id, and a group without an id has component_id null. An empty table gives
+an empty one. Texts are hashed whole, 65,536 shingles at a time; a very long one is held by one task with
+8 bytes a shingle. Columns other than id and text aren't read by ``near_duplicates``; ``one_of_each`` carries them along.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from assay.llm.components import connected_components
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints in one BK-tree at most; a shard of more becomes trees over pairs of blocks. Even share of a shard that more bands keep to.
 SHARD, EVEN = 40_000, 4_096
+#: Fingerprints of a tree's stretch that are compared as a block, with so many searches at a time.
+LEAF, BLOCK = 256, 1_024
 #: Parts in which a component meets its smallest id.
 SALTS = 64
 
@@ -66,75 +71,89 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """A BK-tree that also keeps which of its members are linked.
+    """A BK-tree over distinct fingerprints, built at once, that also finds which of them are linked.
 
-    A subtree whose members all belong to one group is passed over by a search for links of
-    a fingerprint in that group, so that a dense group costs little more than its size.
+    A node is a stretch of ``order``; its first fingerprint is the parent of the others, which stand by their
+    distance to it, one child each distance. A stretch of ``LEAF`` or fewer is a leaf and is compared as a block.
+    Searches go down side by side, each along the edges within the radius. Of a search for links, what is
+    already in the one group that a subtree belongs to passes it over, so that a dense group costs little more than its size.
     """
 
-    def __init__(self, radius: int = RADIUS):
-        self.radius = radius
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-        self.group: list[int] = []  # union-find over the nodes
-        self.whole: list[int] = []  # a member of the one group that the subtree belongs to, or -1
-
-    def find(self, x: int) -> int:
-        group = self.group
-        while group[x] != x:
-            group[x] = x = group[group[x]]
-        return x
-
-    def union(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.group[max(a, b)] = min(a, b)
+    def __init__(self, values: np.ndarray, radius: int = RADIUS):
+        self.radius, self.values = radius, np.asarray(values, np.uint64)
+        self.order = np.arange(len(self.values))
+        #: Of each inner node, by (begin, end): its children as (distance, begin, end).
+        self.children: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        todo = [(0, len(self.values))]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo <= LEAF:
+                continue
+            rest = self.order[lo + 1 : hi]
+            d = self.distance(rest, self.order[lo])
+            by = np.argsort(d, kind="stable")
+            self.order[lo + 1 : hi], d = rest[by], d[by]
+            cuts = (lo + 1 + np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [len(d)]])).tolist()
+            self.children[lo, hi] = [(int(d[x - lo - 1]), x, y) for x, y in zip(cuts, cuts[1:])]
+            todo += [(x, y) for _, x, y in self.children[lo, hi]]
+        #: The tree's fingerprints in ``order``; the group of each place as its smallest known member (of places, fully followed).
+        self.sorted = self.values[self.order]
+        self.group = np.arange(len(self.values))
+
+    def distance(self, some: np.ndarray, one: int) -> np.ndarray:
+        return np.bitwise_count(self.values[some] ^ self.values[one]).astype(np.int64)
 
     def within(self, value: int) -> list[int]:
-        """All nodes within the radius."""
-        out, todo, radius = [], [0] if self.values else [], self.radius
+        """All members within the radius."""
+        out, todo, value = [], [(0, len(self.values))], np.uint64(value)
         while todo:
-            node = todo.pop()
-            d = (self.values[node] ^ value).bit_count()
-            if d <= radius:
-                out.append(node)
-            todo += [c for k, c in self.children[node].items() if d - radius <= k <= d + radius]
+            lo, hi = todo.pop()
+            inner = self.children.get((lo, hi))
+            d = np.bitwise_count(self.sorted[lo : lo + 1 if inner else hi] ^ value).astype(np.int64)
+            out += self.order[lo + np.flatnonzero(d <= self.radius)].tolist()
+            todo += [(x, y) for k, x, y in inner or () if abs(int(d[0]) - k) <= self.radius]
         return out
 
-    def add(self, value: int) -> None:
-        """Link ``value`` to all groups within the radius and insert it."""
-        new, radius = len(self.values), self.radius
-        self.values.append(value)
-        self.children.append({})
-        self.group.append(new)
-        self.whole.append(new)
-        if not new:
-            return
-        todo = [0]
-        while todo:
-            node = todo.pop()
-            whole = self.whole[node]
-            if whole >= 0 and self.find(whole) == self.find(new):
-                continue
-            d = (self.values[node] ^ value).bit_count()
-            if d <= radius:
-                self.union(node, new)
-            todo += [c for k, c in self.children[node].items() if d - radius <= k <= d + radius]
-        node = 0
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Make one group of the groups of each pair of places."""
+        group = self.group
         while True:
-            if self.whole[node] >= 0 and self.find(self.whole[node]) != self.find(new):
-                self.whole[node] = -1
-            d = (self.values[node] ^ value).bit_count()
-            to = self.children[node].get(d)
-            if to is None:
-                self.children[node][d] = new
+            x, y = group[a], group[b]
+            apart = x != y
+            if not apart.any():
                 return
-            node = to
+            a, b, x, y = (v[apart] for v in (a, b, x, y))
+            np.minimum.at(group, np.maximum(x, y), np.minimum(x, y))
+            while (group[group] != group).any():
+                group[:] = group[group]
+
+    def link(self) -> None:
+        """Unite all that is linked. Each place searches what stands after it, so that a pair is met once."""
+        todo = [(0, len(self.sorted), np.arange(len(self.sorted)))]
+        while todo:
+            lo, hi, asking = todo.pop()
+            whole = self.group[lo]
+            if (self.group[lo:hi] == whole).all():
+                asking = asking[self.group[asking] != whole]
+            if not len(asking):
+                continue
+            if (inner := self.children.get((lo, hi))) is None:
+                for at in range(0, len(asking), BLOCK):
+                    some = asking[at : at + BLOCK]
+                    near = np.bitwise_count(self.sorted[some, None] ^ self.sorted[None, lo:hi]) <= self.radius
+                    a, b = np.nonzero(near)
+                    self.unite(some[a], lo + b)
+                continue
+            d = np.bitwise_count(self.sorted[asking] ^ self.sorted[lo]).astype(np.int64)
+            linked = asking[d <= self.radius]
+            self.unite(linked, np.full(len(linked), lo))
+            # Of a pair of places the one that stands first searches for the other, in one leaf both do.
+            todo += [(x, y, asking[(np.abs(d - k) <= self.radius) & (asking < y)]) for k, x, y in inner]
 
     def forest(self) -> Iterator[tuple[int, int]]:
-        for i in range(len(self.values)):
-            if (root := self.find(i)) != i:
-                yield self.values[i], self.values[root]
+        """Each linked member with one that stands for its group."""
+        for i in np.flatnonzero(self.group != np.arange(len(self.group))).tolist():
+            yield int(self.sorted[i]), int(self.sorted[self.group[i]])
 
 
 def _links_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +166,8 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         u, v = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a > 1:
-                tree = BKTree()
-                for value in np.unique(values[a:b]).view(np.uint64).tolist():
-                    tree.add(value)
+                tree = BKTree(np.unique(values[a:b]).view(np.uint64))
+                tree.link()
                 for x, y in tree.forest():
                     u.append(x)
                     v.append(y)

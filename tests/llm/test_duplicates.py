@@ -42,14 +42,36 @@ def groups_of(n, linked):
     return [find(i) for i in range(n)]
 
 
-def test_tree():
+@pytest.mark.parametrize(("leaf", "block"), [(256, 1024), (1, 1), (7, 3)])
+def test_tree(monkeypatch, leaf, block):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     values = clusters(1)
-    tree = simhash.BKTree()
-    for v in values:
-        tree.add(v)
+    tree = simhash.BKTree(values)
+    tree.link()
     for v in values[::7]:
         assert sorted(tree.within(v)) == [j for j, w in enumerate(values) if (v ^ w).bit_count() <= 4]
-    assert [tree.find(i) for i in range(len(values))] == groups_of(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 4)
+    of = dict(tree.forest())
+    mine, theirs = defaultdict(set), defaultdict(set)
+    for v, g in zip(values, groups_of(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 4)):
+        mine[of.get(v, v)].add(v)
+        theirs[g].add(v)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_large_shards():
+    """40,000 random fingerprints, and as many in one dense group, in a tree."""
+    rng = np.random.default_rng(5)
+    loose = np.unique(rng.integers(0, 2**64, 40_000, np.uint64))
+    loose[1::1000] = loose[::1000] ^ np.uint64(0b1111)
+    tree = simhash.BKTree(loose)
+    tree.link()
+    assert {frozenset(x) for x in tree.forest()} == {frozenset((int(x), int(x) ^ 0b1111)) for x in loose[::1000]}
+    bits = np.uint64(1) << rng.integers(0, 64, (40_000, 3), np.uint64)
+    dense = np.unique(np.bitwise_xor.reduce(bits, axis=1))
+    tree = simhash.BKTree(dense)
+    tree.link()
+    assert len(set(tree.group.tolist())) == 1 and len(list(tree.forest())) == len(dense) - 1
 
 
 def test_bands():
