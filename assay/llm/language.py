@@ -10,13 +10,17 @@ of them for each language, chosen by a hash of their id.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text where there is
 nothing to learn from. Repeated rows each give a row, an empty table gives an empty one, and other
-columns are not read. A very long text is one mixture; its trigrams are counted some at a time, and
-what is kept of it is a number for each word and language. Ids may be of any type.
+columns are not read. Ids may be of any type.
+
+A very long text is one mixture too. Its words are counted, and each round of the estimate goes over its distinct
+words some at a time, whose likelihoods are made anew when all together would not fit ``CELLS``. What is kept of it
+besides is its distinct words with their counts. A word of any length is read some at a time.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +36,12 @@ SAMPLE, BUCKETS = 2_000, 1 << 15
 #: Every FOLDS-th crc32 of an id is held out. Weight of BIC's penalty.
 FOLDS, PENALTY = 5, 4.0
 ROUNDS, MORE_ROUNDS = 10, 3
+#: Characters of the texts that are estimated side by side, and bytes of a part of a longer text.
 PART = 400_000
+#: Numbers (one for each trigram or word and language) that a step may hold at a time, and those that a text's rounds may keep.
+CELLS = 1 << 23
+#: A long text's words are counted together until they would fill so many blocks.
+KEPT_BLOCKS = 8
 #: Languages that a model may have: it is held whole, 8 * BUCKETS bytes for each, by the driver and every worker. More are an error.
 MOST_LANGUAGES = 512
 
@@ -52,21 +61,25 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return *trigrams_of(b" ".join(w for ws in words for w in ws)), counts
 
 
+def _buckets(flat: np.ndarray) -> np.ndarray:
+    """Buckets of the trigrams of bytes, one around each byte but the first and the last."""
+    key = (flat[:-2] << 16) | (flat[1:-1] << 8) | flat[2:]
+    return ((key * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
+
+
 def trigrams_of(words: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Of words with one space between them."""
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     flat = np.frombuffer(b" " + words + b" ", dtype=np.uint8).astype(np.uint32)
-    key = (flat[:-2] << 16) | (flat[1:-1] << 8) | flat[2:]
-    bucket = ((key * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
     letter = flat[1:-1] != 32
     first = letter & (flat[:-2] == 32)
     at = np.cumsum(letter)
-    return bucket[letter], at[first] - 1
+    return _buckets(flat)[letter], at[first] - 1
 
 
 def _parts(words: bytes) -> Iterator[bytes]:
-    """Some ``PART`` bytes at a time, cut between words: the trigrams of a very long text don't lie in memory together."""
+    """Some ``PART`` bytes at a time, cut between words: a very long text's words don't lie in memory one by one."""
     at = 0
     while at < len(words):
         end = words.find(b" ", at + PART)
@@ -75,6 +88,56 @@ def _parts(words: bytes) -> Iterator[bytes]:
         at = end + 1
 
 
+@dataclass(frozen=True)
+class Words:
+    """Distinct words of a text: those of each block joined by spaces, with their counts; and words too long to lie in a block."""
+
+    blocks: list[tuple[bytes, np.ndarray]]
+    long: list[tuple[bytes, int]]
+
+    @classmethod
+    def of(cls, text: str, room: int) -> Words:
+        """``room``: bytes of a block, about. A word that comes again in a later block is counted there anew."""
+        blocks, long = [], Counter()
+        seen: Counter[bytes] = Counter()
+        size = 0
+        for part in _parts(text.encode().translate(_LETTERS)):
+            for word, n in Counter(part.split()).items():
+                if len(word) > room:
+                    long[word] += n
+                    continue
+                size += 0 if word in seen else len(word) + 1
+                seen[word] += n
+                if size >= room * KEPT_BLOCKS:
+                    blocks += _blocks(seen, room)
+                    seen, size = Counter(), 0
+        return cls(blocks + _blocks(seen, room), list(long.items()))
+
+    @property
+    def total(self) -> int:
+        return sum(int(n.sum()) for _, n in self.blocks) + sum(n for _, n in self.long)
+
+    @property
+    def distinct(self) -> int:
+        return sum(len(n) for _, n in self.blocks) + len(self.long)
+
+
+def _blocks(counts: Counter[bytes], room: int) -> list[tuple[bytes, np.ndarray]]:
+    out, words, size = [], [], 0
+    for word in counts:
+        words.append(word)
+        size += len(word) + 1
+        if size >= room:
+            out.append(words)
+            words, size = [], 0
+    return [(b" ".join(ws), np.array([counts[w] for w in ws], dtype=np.float64)) for ws in [*out, words] if ws]
+
+
+def _relative(logs: np.ndarray) -> np.ndarray:
+    """Likelihoods of each word relative to its best language's; a word that no language knows decides nothing."""
+    return np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -30.0))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -85,8 +148,61 @@ class LanguageModel:
         bucket, starts = trigrams_of(words)
         return np.add.reduceat(self.log_p[bucket], starts, axis=0)
 
+    def of_long_word(self, word: bytes, room: int) -> np.ndarray:
+        """The same of one word, ``room`` bytes at a time."""
+        counts, word = np.zeros(BUCKETS), b" " + word + b" "
+        for at in range(0, len(word) - 2, room):
+            counts += np.bincount(_buckets(np.frombuffer(word[at : at + room + 2], dtype=np.uint8).astype(np.uint32)), minlength=BUCKETS)
+        return counts @ self.log_p
+
+    @property
+    def room(self) -> int:
+        """Characters whose trigrams' numbers fit ``CELLS``, ``PART`` at most."""
+        return max(1, min(PART, CELLS // max(len(self.languages), 1)))
+
+    def score_long(self, text: str) -> tuple[np.ndarray, int]:
+        """Proportions and word count of one text, in bounded memory besides its distinct words."""
+        k, room = len(self.languages), self.room
+        words = Words.of(text, room)
+        n = words.total
+        if not n or not k:
+            return np.zeros(k), n
+
+        def likes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for block, counts in words.blocks:
+                yield _relative(self.of_words(block)), counts
+            for word, count in words.long:
+                yield _relative(self.of_long_word(word, room)[None, :]), np.array([float(count)])
+
+        kept = list(likes()) if words.distinct * k <= CELLS else None
+
+        def em(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+            for step in range(rounds + 1):
+                into, value = np.zeros(k), 0.0
+                for like, counts in kept if kept is not None else likes():
+                    total = np.maximum(like @ pi, 1e-300)
+                    if step < rounds:
+                        into += (counts / total) @ like
+                    else:
+                        value += counts @ np.log(total)
+                if step < rounds:
+                    pi = pi * into / n
+            return pi, value
+
+        full, _ = em(np.full(k, 1 / k), ROUNDS)
+        place = np.argsort(np.argsort(-full, kind="stable"), kind="stable")
+        best, best_value = np.zeros(k), -np.inf
+        for m in range(1, k + 1):
+            pi = np.where(place < m, np.maximum(full, 1e-12), 0.0)
+            pi, value = em(pi / pi.sum(), MORE_ROUNDS if m > 1 else 1)
+            value -= PENALTY * 0.5 * (m - 1) * np.log(n + 1)
+            if value <= best_value:
+                break
+            best, best_value = pi, value
+        return best, n
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions (texts x languages; zero outside the chosen set), and word counts."""
+        """Proportions (texts x languages; zero outside the chosen set), and word counts; of texts that fit ``room`` together."""
         words = [b" ".join(t.encode().translate(_LETTERS).split()) for t in texts]
         counts = np.array([w.count(b" ") + 1 if w else 0 for w in words], dtype=np.int64)
         n, k = len(texts), len(self.languages)
@@ -94,9 +210,7 @@ class LanguageModel:
         there = np.flatnonzero(counts)
         if not len(there) or not k:
             return share, counts
-        logs = np.concatenate([self.of_words(part) for part in _parts(b" ".join(filter(None, words)))])
-        top = logs.max(axis=1, keepdims=True)
-        like = np.exp(np.maximum(logs - top, -30.0))  # a word that no language knows decides nothing
+        like = _relative(np.concatenate([self.of_words(part) for part in _parts(b" ".join(filter(None, words)))]))
         size = counts[there]
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         text = np.repeat(np.arange(len(there)), size)
@@ -111,18 +225,18 @@ class LanguageModel:
 
         full, _ = em(np.full((len(there), k), 1 / k), ROUNDS)
         place = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-        best, best_value = None, None
+        best, best_value, growing = None, None, None
         for m in range(1, k + 1):
             pi = np.where(place < m, np.maximum(full, 1e-12), 0.0)
             pi, value = em(pi / pi.sum(axis=1, keepdims=True), MORE_ROUNDS if m > 1 else 1)
             value = value - PENALTY * 0.5 * (m - 1) * np.log(size + 1)
             if best is None:
-                best, best_value = pi, value
+                best, best_value, growing = pi, value, np.ones(len(there), dtype=bool)
             else:
-                more = value > best_value
-                if not more.any():
+                growing &= value > best_value  # a text's set stays once it has not grown, whatever its neighbours do
+                if not growing.any():
                     break
-                best, best_value = np.where(more[:, None], pi, best), np.maximum(value, best_value)
+                best, best_value = np.where(growing[:, None], pi, best), np.where(growing, value, best_value)
         share[there] = best
         return share, counts
 
@@ -175,10 +289,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         begin = 0
         while begin < len(texts):  # so many characters at a time
             end, size = begin, 0
-            while end < len(texts) and (end == begin or size + len(texts[end]) <= 400_000):
+            while end < len(texts) and (end == begin or size + len(texts[end]) <= model.room):
                 size += len(texts[end])
                 end += 1
-            share, counts = model.score(texts[begin:end])
+            if size > model.room:  # one text
+                row, n = model.score_long(texts[begin])
+                share, counts = [row], [n]
+            else:
+                share, counts = model.score(texts[begin:end])
             for text, row, n in zip(texts[begin:end], share, counts):
                 if not n or not len(row) or not has_letter(text):
                     preds.append("und")

@@ -164,6 +164,53 @@ def test_mixtures_by_plain_em(spark):
     assert len(texts) > 40 and (share > 0).sum(axis=1).max() > 1
 
 
+@needs_tables
+def test_mixtures_of_long_texts(spark, monkeypatch):
+    """By parts, with likelihoods kept and made anew, and with words longer than a part: as the text at once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    texts = [r.text for r in docs.where("text is not null and doc_id % 25 = 3").collect()]
+    texts = [t for t in texts if re.search("[a-z]", t)]
+    text = " ".join(a[:400] + "\n" + b[:200] for a, b in zip(texts[:24:2], texts[1:24:2])) + " " + "zxqu" * 500
+    whole, _ = model.score([text])
+    plain = plain_mixture(text, model)
+    for part, cells in ((400_000, 1 << 23), (700, 1 << 23), (700, 4_000), (90, 2_000)):
+        monkeypatch.setattr(language, "PART", part)
+        monkeypatch.setattr(language, "CELLS", cells)
+        row, n = model.score_long(text)
+        assert n == len(re.findall("[a-zA-Z\x80-\U0010ffff]+", text))
+        assert row.tolist() == pytest.approx(whole[0].tolist(), abs=1e-9)
+        assert row.tolist() == pytest.approx(plain, abs=1e-6)
+    one = spark.createDataFrame([(1, text), (2, "1 2 " * 500), (3, text[:50])], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(one, model).collect()}
+    assert got[1].lang_pred == model.languages[int(whole[0].argmax())] and got[2].lang_pred == "und"
+
+
+def test_memory_of_a_long_text():
+    """Nearly every word of 2 MB is another one: what is held doesn't grow with words times languages."""
+    import tracemalloc
+
+    model = language.LanguageModel(tuple(f"l{i:02}" for i in range(20)), np.log(np.random.default_rng(1).dirichlet(np.ones(language.BUCKETS), 20).T + 1e-9))
+    letters = np.random.default_rng(2).integers(97, 123, 2_000_000, dtype=np.uint8)
+    letters[::7] = 32
+    text = letters.tobytes().decode()
+    tracemalloc.start()
+    row, n = model.score_long(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text.split()) and row.sum() == pytest.approx(1) and peak < 300e6
+
+
+def test_a_text_is_judged_by_itself():
+    model = language.LanguageModel(tuple("abcdef"), np.log(np.random.default_rng(1).dirichlet(np.ones(language.BUCKETS), 6).T + 1e-9))
+    r = np.random.default_rng(3)
+    texts = [" ".join("".join(map(chr, r.integers(97, 123, 5))) for _ in range(n)) for n in (3, 40, 200, 700)]
+    together, _ = model.score(texts)
+    for text, row in zip(texts, together):
+        assert row.tolist() == pytest.approx(model.score([text])[0][0].tolist(), abs=1e-9)
+        assert row.tolist() == pytest.approx(model.score_long(text)[0].tolist(), abs=1e-9)
+
+
 def test_too_many_languages(spark, monkeypatch):
     monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
     docs = spark.range(60).selectExpr("id doc_id", "'some words' text", "concat('l', id % 3) lang")
