@@ -140,3 +140,32 @@ def resolve_calls(calls: DataFrame, expressions: DataFrame, definitions: DataFra
     pairs = containing_in(last, "text", calls, "full_string", here)
     best = pairs.join(last, [*here, "text"]).groupBy(*here, "full_string").agg(F.max_by("source_method_id", F.struct("seq", "source_method_id")).alias("source_method_id"), F.max("seq").alias("seq"))
     return calls.join(best, [*here, "full_string"]).select(*scope, "id", "seq", "source_method_id")
+
+
+def bind_smells(smells: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """What a smell report comes to in the tables: method_id, test_smell_id, status, and n, the rows of the report that were bound to them.
+
+    ``smells``: method_id, test_smell_id, status. The report has the methods of a file under every class of the file. A row is bound by the class's name (the
+    lowest id anywhere) and the method's name in that class (the lowest id); rows without such a class or method are dropped, and of several statuses
+    the first stays, in the order of the report's classes and methods. The rows of a file under one name are merged and meet only those of its classes whose namesake has
+    such a method, so that classes times methods are never made.
+    """
+    placed = methods.select(F.col("id").alias("method_id"), "class_id", "name").join(classes.select(F.col("id").alias("class_id"), "file_id"), "class_id")
+    seen = smells.join(placed, "method_id").groupBy("file_id", "name", "test_smell_id").agg(F.min_by("status", "method_id").alias("status"), F.min("method_id").alias("at"), F.count(F.lit(1)).alias("n"))
+    least = methods.groupBy("class_id", "name").agg(F.min("id").alias("bound"))
+    named = lookup(classes.select(F.col("id").alias("listed"), "file_id", F.col("name").alias("class")), classes.withColumnRenamed("name", "class"), ["class"], out="class_id")
+    hits = seen.join(named.join(least, "class_id").select("listed", "file_id", "name", "bound"), ["file_id", "name"])
+    first = hits.groupBy("bound", "test_smell_id").agg(F.min_by("status", F.struct("listed", "at")).alias("status"), F.sum("n").alias("n"))
+    return first.withColumnRenamed("bound", "method_id")
+
+
+def update_column(rows: DataFrame, updates: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """UPDATE of one column by key: rows that ``updates`` (key, column; one row a key) names take its value, others keep theirs."""
+    new = updates.select(key, F.col(column).alias("_new"))
+    return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).select(*rows.columns)
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Rows as a reader of objects takes them: nulls are 0, false or empty text."""
+    zero = {"string": "", "boolean": False}
+    return rows.select(*(F.coalesce(F.col(f"`{n}`"), F.lit(zero.get(t, 0)).cast(t)).alias(n) for n, t in rows.dtypes))

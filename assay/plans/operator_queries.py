@@ -23,11 +23,15 @@ from assay.streaming import ingest
 _GRAMS = {"g": "SELECT class_id, id, g, count(*)::DOUBLE AS c FROM (SELECT class_id, id, unnest(list_transform(range(1, length(full_string) - 1), lambda i: substr(full_string, i, 3))) AS g FROM methods) GROUP BY ALL"}
 
 
-def over_tables(name: str, sql: str | None = None):
-    """Register a function of ``Tables``; its SQL may name the warehouse's tables and views."""
+#: Classes and methods whose names repeat within a file and over files.
+_NAMESAKES = {"some_classes": "SELECT id, file_id, 'C' || id % 500 AS name FROM classes", "some_methods": "SELECT id, class_id, 'M' || id % 20 AS name FROM methods"}
+
+
+def over_tables(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
+    """Register a function of ``Tables``; its SQL may name the warehouse's tables and views, and those of ``extra``."""
 
     def add(fn):
-        query(name, None if sql is None else with_tables(sql, V.VIEW_SQL | _GRAMS))(lambda spark, sf_dir: fn(Tables(spark, sf_dir)))
+        query(name, None if sql is None else with_tables(sql, V.VIEW_SQL | _GRAMS | _NAMESAKES | (extra or {})))(lambda spark, sf_dir: fn(Tables(spark, sf_dir)))
         return fn
 
     return add
@@ -149,13 +153,6 @@ def update_run_status(t: Tables) -> DataFrame:
     return R.latest_state(updates, "run", "seq")
 
 
-@over_tables("update_invocation_source", "SELECT i.id, i.target_method_id, coalesce(m.id, i.source_method_id) AS source_method_id FROM invocations i LEFT JOIN methods m ON i.source_method_id = 0 AND m.id = i.target_method_id - 1")
-def update_invocation_source(t: Tables) -> DataFrame:
-    new = t.methods.selectExpr("id + 1 target_method_id", "id resolved")
-    rows = t.invocations.select("id", "target_method_id", "source_method_id").join(new, "target_method_id", "left")
-    return rows.select("id", "target_method_id", F.when(C("source_method_id") == 0, F.coalesce("resolved", "source_method_id")).otherwise(C("source_method_id")).alias("source_method_id"))
-
-
 @over_tables("surrogate_ids", "SELECT o_orderkey, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY o_orderkey) AS surrogate_id FROM orders")
 def surrogate_ids(t: Tables) -> DataFrame:
     last = t.raw("part").agg(F.max("p_partkey")).first()[0] or 0
@@ -225,9 +222,13 @@ def stream_outcomes(t: Tables) -> DataFrame:
     return t.spark.read.schema(counts.schema).parquet(table).withColumn("start", C("start").cast("timestamp_ntz"))
 
 
-@over_tables("scan_tables", "SELECT p_partkey, p_name, p_size FROM part")
+@over_tables("scan_tables", "SELECT coalesce(COLUMNS('(_id|_rate|_start|_end)$'), 0), coalesce(COLUMNS('(_name|_body|_status|_framework|_path|_dependencies|_namespace)$'), '') FROM v_baseline_uncovered_tested_methods")
 def scan_tables(t: Tables) -> DataFrame:
-    return t.raw("part").select("p_partkey", "p_name", "p_size")
+    """The view of candidates stored, opened again and read with defaults for nulls."""
+    view = V.baseline_uncovered_tested_methods(t)
+    path = sinks.shared_path(t.spark, "scan-tables")
+    sinks.append(view, path, partition=None)
+    return R.with_defaults(t.spark.read.schema(view.schema).parquet(path))
 
 
 # --- lookups
@@ -319,13 +320,6 @@ def join_unresolved(t: Tables) -> DataFrame:
     return rows.join(t.analysis_solutions.selectExpr("id solution_id", "solution_path"), "solution_id").drop("file_id", "analysis_project_id", "solution_id")
 
 
-@over_tables("resolve_invocations", "SELECT i.target_method_id, i.full_string, arg_max(m.id, i.id) AS resolved_id, max(i.id) AS last_call FROM invocations i JOIN methods m ON m.id = i.source_method_id WHERE i.source_method_id <> 0 GROUP BY i.target_method_id, i.full_string")
-def resolve_invocations(t: Tables) -> DataFrame:
-    """Of the resolved calls with one text in one test, the last wins."""
-    calls = t.invocations.where("source_method_id != 0").join(t.methods.selectExpr("id source_method_id"), "source_method_id")
-    return calls.groupBy("target_method_id", "full_string").agg(F.max_by("source_method_id", "id").alias("resolved_id"), F.max("id").alias("last_call"))
-
-
 # --- aggregations
 
 @over_tables("count_candidates", "SELECT count(*) > 0 AS found FROM v_baseline_uncovered_tested_methods")
@@ -373,10 +367,13 @@ def smell_pivot(t: Tables) -> DataFrame:
     return M.smell_counts(rows, "class_id", "name", "status", list(SMELLS))
 
 
-@over_tables("dedupe_smells", "SELECT m.name, x.test_smell_id, arg_min(x.status, x.method_id) AS status, min(x.method_id) AS method_id FROM method_test_smells x JOIN methods m ON m.id = x.method_id GROUP BY m.name, x.test_smell_id")
+@over_tables(
+    "dedupe_smells",
+    "SELECT w.id AS method_id, x.test_smell_id, arg_min(x.status, c.id * 1000000000000 + x.method_id) AS status, count(*) AS n FROM method_test_smells x JOIN some_methods m ON m.id = x.method_id JOIN some_classes o ON o.id = m.class_id JOIN some_classes c ON c.file_id = o.file_id JOIN (SELECT name, min(id) AS id FROM some_classes GROUP BY name) l ON l.name = c.name JOIN (SELECT name, class_id, min(id) AS id FROM some_methods GROUP BY ALL) w ON w.name = m.name AND w.class_id = l.id GROUP BY w.id, x.test_smell_id",
+)
 def dedupe_smells(t: Tables) -> DataFrame:
-    rows = t.method_test_smells.join(t.methods.selectExpr("id method_id", "name"), "method_id")
-    return rows.groupBy("name", "test_smell_id").agg(F.min_by("status", "method_id").alias("status"), F.min("method_id").alias("method_id"))
+    """A report that has a file's methods under each of its classes, bound by (class, method) name."""
+    return R.bind_smells(t.method_test_smells, t.methods.selectExpr("id", "class_id", "concat('M', id % 20) name"), t.classes.selectExpr("id", "file_id", "concat('C', id % 500) name"))
 
 
 @over_tables("dup_cov_files", "SELECT list_extract(string_split(path, '/'), -1) AS base_name, min(path) AS path FROM (SELECT lang || '/' || source || '.xml' AS path FROM documents) GROUP BY 1")

@@ -10,9 +10,10 @@ from assay.operators import resolve as R
 from assay.operators.entities import Entity, ingest, staged
 from assay.operators.increments import MethodCoverage, TestAgg
 from assay.plans import views as V
+from assay.plans.operator_queries import over_tables
 from assay.plans.registry import query
 from assay.sources import schema, sinks
-from assay.sources.adapters import REPOS, RepoTables, with_repo_tables, with_tables
+from assay.sources.adapters import REPOS, RepoTables, Tables, with_repo_tables, with_tables
 from assay.sources.store import SCOPE, Store
 
 C, L = F.col, F.lit
@@ -190,24 +191,43 @@ _CUT = "CASE WHEN i.id % 50 = 0 THEN substr(i.full_string, length(i.full_string)
 _UNRESOLVED = f"SELECT i.id, {_CUT} AS full_string, f.path AS file FROM invocations i JOIN methods m ON m.id = i.target_method_id JOIN classes c ON c.id = m.class_id JOIN source_files f ON f.id = c.file_id WHERE i.source_method_id = 0"
 
 
-@over_repos(
-    "stored_resolved_calls",
-    "SELECT i.id, coalesce(b.source, i.source_method_id) AS source_method_id FROM invocations i LEFT JOIN (SELECT u.id, arg_max(d.id, e.seq) AS source FROM unresolved u JOIN expressions e ON e.file = u.file AND contains(e.text, u.full_string) JOIN definitions d ON d.name = e.name AND d.path = e.path GROUP BY u.id) b ON b.id = i.id",
-    {"expressions": _EXPRESSIONS, "unresolved": _UNRESOLVED, "definitions": "SELECT min(m.id) AS id, m.name, f.path FROM methods m JOIN classes c ON c.id = m.class_id JOIN source_files f ON f.id = c.file_id GROUP BY m.name, f.path"},
-)
+#: The calls' expressions, those without a source, and what is defined where.
+_CALLS = {"expressions": _EXPRESSIONS, "unresolved": _UNRESOLVED, "definitions": "SELECT min(m.id) AS id, m.name, f.path FROM methods m JOIN classes c ON c.id = m.class_id JOIN source_files f ON f.id = c.file_id GROUP BY m.name, f.path"}
+_MATCHED = "SELECT u.id, max(e.seq) AS seq, arg_max(d.id, e.seq) AS source_method_id FROM unresolved u JOIN expressions e ON e.file = u.file AND contains(e.text, u.full_string) JOIN definitions d ON d.name = e.name AND d.path = e.path GROUP BY u.id"
+
+
+def _resolved(t: Tables, calls: DataFrame, methods: DataFrame, classes: DataFrame, files: DataFrame) -> DataFrame:
+    """Calls without a source, matched by text with the call expressions of their file."""
+    scope = list(t.scope)
+    placed = methods.select(*scope, "id", "name", "class_id").join(classes.select(*scope, C("id").alias("class_id"), "file_id"), [*scope, "class_id"])
+    placed = placed.join(files.select(*scope, C("id").alias("file_id"), "path"), [*scope, "file_id"]).select(*scope, "id", "name", "path")
+    calls = calls.alias("i").join(placed.select(*scope, C("id").alias("target_method_id"), C("path").alias("file")), [*scope, "target_method_id"])
+    unresolved = calls.where("source_method_id = 0").select(*scope, "file", "id", F.expr(_CUT).alias("full_string"))
+    bound = calls.where("source_method_id != 0").join(placed.withColumnRenamed("id", "source_method_id"), [*scope, "source_method_id"])
+    expressions = bound.select(*scope, "file", C("id").alias("seq"), F.concat(L("x."), "full_string", L(".Done()")).alias("text"), "name", "path")
+    return R.resolve_calls(unresolved, expressions, placed, ["file"], scope)
+
+
+@over_repos("stored_resolved_calls", f"SELECT i.id, coalesce(b.source_method_id, i.source_method_id) AS source_method_id FROM invocations i LEFT JOIN ({_MATCHED}) b ON b.id = i.id", _CALLS)
 def stored_resolved_calls(t: RepoTables) -> DataFrame:
     """Stored calls without a source are matched by text with the call expressions of their file, the definition's method is looked up by name and path, and the last match is written back."""
     store = stored(t, ["invocations", "methods", "classes", "source_files"])
-    placed = store.methods.select(SCOPE, "id", "name", "class_id").join(store.classes.selectExpr(SCOPE, "id class_id", "file_id"), [SCOPE, "class_id"])
-    placed = placed.join(store.source_files.selectExpr(SCOPE, "id file_id", "path"), [SCOPE, "file_id"]).select(SCOPE, "id", "name", "path")
-    calls = store.invocations.alias("i").join(placed.selectExpr(SCOPE, "id target_method_id", "path file"), [SCOPE, "target_method_id"])
-    unresolved = calls.where("source_method_id = 0").select(SCOPE, "file", "id", F.expr(_CUT).alias("full_string"))
-    bound = calls.where("source_method_id != 0").join(placed.withColumnRenamed("id", "source_method_id"), [SCOPE, "source_method_id"])
-    expressions = bound.select(SCOPE, "file", C("id").alias("seq"), F.concat(L("x."), "full_string", L(".Done()")).alias("text"), "name", "path")
-    store.update("invocations", 1, R.resolve_calls(unresolved, expressions, placed, ["file"], [SCOPE]))
+    store.update("invocations", 1, _resolved(t, store.invocations, store.methods, store.classes, store.source_files))
     return store.current("invocations").select(SCOPE, "id", "source_method_id")
 
 
+@over_tables("resolve_invocations", _MATCHED, _CALLS)
+def resolve_invocations(t: Tables) -> DataFrame:
+    """What the calls without a source resolve to: the last expression of their file that holds their text."""
+    return _resolved(t, t.invocations, t.methods, t.classes, t.source_files)
+
+
+@over_tables("update_invocation_source", f"SELECT i.id, i.target_method_id, coalesce(b.source_method_id, i.source_method_id) AS source_method_id FROM invocations i LEFT JOIN ({_MATCHED}) b ON b.id = i.id", _CALLS)
+def update_invocation_source(t: Tables) -> DataFrame:
+    """The calls with the sources that were found for them."""
+    return R.update_column(t.invocations.select("id", "target_method_id", "source_method_id"), resolve_invocations(t), "source_method_id")
+
+
 # --- views kept by increments
 
 def in_batches(t: RepoTables, names: list[str]) -> Store:

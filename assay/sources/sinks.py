@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,15 +24,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_files(files: DataFrame, root: str) -> None:
-    """One file for each row (path under ``root``, content), written one after another by the driver: for reports and sources that other programs read, not for tables."""
+def write_files(files: DataFrame, root: str) -> int:
+    """One file for each row (path under ``root``, content; null: empty), written by the tasks that hold the rows; how many there were. A file is written under a hidden name and then moved, so that a task that is tried again leaves each file whole. ``root`` lies in a store that pyarrow opens (local, HDFS, S3, GCS); of rows with one path the last to come stays."""
     spark = files.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for row in files.select("path", F.encode("content", "UTF-8").alias("content")).toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{row.path}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row.content or b""))
-        out.close()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    uri = re.sub(r"^file:/+", "file:///", folder.getFileSystem(conf).makeQualified(folder).toString())
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                below, _, name = f"{base}/{path}".rpartition("/")
+                store.create_dir(below, recursive=True)
+                hidden = f"{below}/_{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as out:
+                    out.write(content or b"")
+                store.move(hidden, f"{below}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = files.select("path", F.encode("content", "UTF-8").alias("content"))
+    return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def append(df: DataFrame, path: str, partition: str | None = "repo_id") -> None:
