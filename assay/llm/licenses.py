@@ -11,7 +11,8 @@ Every word run that passes has one of the templates' key words, so windows witho
 passed over: key words stand in more than 1 - CONTAINMENT of each template's shingles.
 
 One row for each document (by doc_id) and license found. Null and empty texts have none; rows
-that repeat a doc_id give one row with the best of them.
+that repeat a doc_id give one row with the best of them. An empty table gives an empty one; columns other than doc_id
+and text aren't read. A very long text is split into words in one task.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ A candidate is copied once for each block of queries.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows without
 an id. All rows with a query's id are the query's own; of repeated query rows one is asked.
-Ties go to the smaller id; shorter vectors count as padded with zeros.
+Ties go to the smaller id; shorter vectors count as padded with zeros. An empty table gives an empty one; columns
+other than id and vector aren't read, and ids are whole numbers.
 """
 
 from __future__ import annotations
