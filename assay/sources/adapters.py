@@ -177,7 +177,9 @@ class RepoTables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SHARED:
-            rows = getattr(self.one, name).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(REPOS - 1))))
+            # A join, so that Spark takes the rows for as many as they are: an exploded table is taken for the size of its file and broadcast through the driver.
+            repos = self.spark.range(REPOS).select(F.col("id").cast("int").alias("_r"))
+            rows = getattr(self.one, name).crossJoin(F.broadcast(repos))
             return rows.selectExpr("concat('repo_', _r) repo_id", *(f"{SHARED[name][c].format(r='_r')} {c}" if c in SHARED[name] else c for c in rows.columns if c != "_r"))
         if name in DEALT:
             return getattr(self.one, name).selectExpr(f"concat('repo_', {DEALT[name]} % {REPOS}) repo_id", "*")

@@ -12,7 +12,7 @@ from assay.operators import resolve as R
 from assay.plans import store_queries as Q
 from assay.plans import views as V
 from assay.sources import schema
-from assay.sources.adapters import RepoTables
+from assay.sources.adapters import REPOS, RepoTables
 from assay.sources.store import Store
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +162,12 @@ def test_increment_touches_its_own_keys_only(spark):
     assert rows_of(again) == rows_of(want.select("repo_id", "id")) and 0 < again.count() < 50
     full = V.test_agg(store)
     assert rows_of(view.view().select(*map(F.col, full.columns)).na.fill("")) == rows_of(full.na.fill(""))
+
+
+def test_shared_tables_are_taken_for_the_size_of_all_repositories(spark):
+    """Rows of every repository that Spark takes for one repository's are broadcast through the driver."""
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    t = RepoTables(spark, SF)
+    for name in ("class_coverage", "classes", "methods", "source_files"):
+        assert size(getattr(t, name).drop("repo_id")) >= REPOS * size(getattr(t.one, name)), name
+        assert getattr(t, name).count() == REPOS * getattr(t.one, name).count()
