@@ -210,7 +210,7 @@ _LINES = (
 def _bodies(t: Tables) -> DataFrame:
     k = C("p_partkey")
     lines = [F.when(k % n == 0, line.format("").replace("{{", "{").replace("}}", "}")).otherwise("") for line, n in _LINES]
-    return t.raw("part").select(_tag("C%d", k).alias("class"), _tag("M%d", k).alias("name"), F.concat(L("{ "), F.concat_ws(" ", *lines), L(" }")).alias("body"), F.array(L("Fact"), F.when(k % 23 == 0, "Skip").otherwise("Trait"), F.when(k % 31 == 0, "ExpectedException").otherwise("Trait")).alias("attributes"))
+    return t.spread("part", "p_partkey").select(_tag("C%d", k).alias("class"), _tag("M%d", k).alias("name"), F.concat(L("{ "), F.concat_ws(" ", *lines), L(" }")).alias("body"), F.array(L("Fact"), F.when(k % 23 == 0, "Skip").otherwise("Trait"), F.when(k % 31 == 0, "ExpectedException").otherwise("Trait")).alias("attributes"))
 
 
 _D = lambda n: f"(p_partkey % {n} = 0)"
@@ -243,6 +243,6 @@ def smell_all(t: Tables) -> DataFrame:
 def helper_prepass(t: Tables) -> DataFrame:
     """Tests that only call a helper: unknown unless the helper asserts."""
     k = C("p_partkey")
-    helper = t.raw("part").select(L("C").alias("class"), _tag("H%d", k).alias("name"), F.when(k % 2 == 0, "{ Assert.True(a); }").otherwise("{ F(); }").alias("body"), F.array().cast("array<string>").alias("attributes"))
-    test = t.raw("part").select(L("C").alias("class"), _tag("V%d", k).alias("name"), _tag("{ H%d(); }", k).alias("body"), F.array(L("Fact")).alias("attributes"))
+    helper = t.spread("part", "p_partkey").select(L("C").alias("class"), _tag("H%d", k).alias("name"), F.when(k % 2 == 0, "{ Assert.True(a); }").otherwise("{ F(); }").alias("body"), F.array().cast("array<string>").alias("attributes"))
+    test = t.spread("part", "p_partkey").select(L("C").alias("class"), _tag("V%d", k).alias("name"), _tag("{ H%d(); }", k).alias("body"), F.array(L("Fact")).alias("attributes"))
     return detect(helper.unionByName(test), ["UnknownTestSmell"]).select("method", "status")

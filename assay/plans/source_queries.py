@@ -34,7 +34,7 @@ public sealed class C%d : Base<int>
 
 def _sources(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    return t.raw("part").select(F.format_string("f%d.cs", k).alias("path"), F.format_string(_CODE, "p_size", k, k, k, k, "p_size").alias("content"))
+    return t.spread("part", "p_partkey", "p_size").select(F.format_string("f%d.cs", k).alias("path"), F.format_string(_CODE, "p_size", k, k, k, k, "p_size").alias("content"))
 
 
 @over_tables("extract_files", "SELECT 'f' || p_partkey || '.cs' AS path, 'App.N' || p_size AS namespace, 'using System;|using Xunit;' AS usings FROM part")
@@ -55,9 +55,7 @@ def extract_methods(t: Tables) -> DataFrame:
 
 @over_tables("extract_members", "SELECT 'f' || p_partkey || '.cs' AS path, unnest(['field', 'property']) AS kind, unnest(['_f', 'P']) AS name, unnest(['private readonly List<int> _f = new() { 1, 2 };', 'public string P { get; set; } = \"a;b\";']) AS full_string FROM part")
 def extract_members(t: Tables) -> DataFrame:
-    parsed = P.parse_files(_sources(t))
-    part = lambda column, kind: parsed.select("path", F.lit(kind).alias("kind"), F.explode(column).alias("x")).select("path", "kind", "x.name", "x.full_string")
-    return part("fields", "field").unionByName(part("properties", "property"))
+    return P.members_of(P.parse_files(_sources(t))).select("path", "kind", "name", "full_string")
 
 
 @over_tables("extract_invocations", "SELECT 'f' || p_partkey || '.cs' AS path, 'T' || p_partkey AS method, unnest(['Assert.Equal(' || p_size || ', Make(1))', 'Make(1)', '_f.ForEach(x => Seen(x))', 'Seen(x)']) AS invocation, unnest([true, false, false, false]) AS is_assertion FROM part")
@@ -74,4 +72,4 @@ def test_name_extract(t: Tables) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([P.first_method_name(c) for c in batch.column(1).to_pylist()], pa.string())], names=["p_partkey", "name"])
 
-    return t.raw("part").select("p_partkey", code.alias("code")).mapInArrow(run, "p_partkey long, name string")
+    return t.spread("part", "p_partkey", "p_size").select("p_partkey", code.alias("code")).mapInArrow(run, "p_partkey long, name string")

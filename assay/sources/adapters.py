@@ -29,6 +29,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str, each: int = 5000) -> DataFrame:
+        """Columns of a table dealt out to tasks of some ``each`` rows, for work that is done row by row: Spark splits files by bytes, and a small one holds much of it. Rows are counted in the files' footers."""
+        rows = self.raw(name).select(*columns)
+        return rows.repartition(max(1, -(-rows.count() // each)))
+
     def stream(self, name: str) -> DataFrame:
         """A table's files as a stream; the pattern stands for a single file or a folder, which a plain path wouldn't."""
         return self.spark.readStream.schema(self.raw(name).schema).parquet(f"{self.dir}/{name}.[p]arquet")

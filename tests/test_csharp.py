@@ -75,3 +75,27 @@ def test_helpers_and_safety(judged):
     assert judged["viaHelper", "UnknownTestSmell"] == "Not Found"  # its helper asserts
     assert judged["single", "BoolInAssertEqualSmell"] == "Not Found"  # one argument is no failure
     assert not [k for k in judged if k[0] in ("arrow", "checks")]
+
+
+def test_a_small_file_is_parsed_by_many_tasks_and_once(spark, tmp_path):
+    """A table that Spark reads as one split holds work by the row; classes and members take one parse of a file."""
+    from assay.functions import csharp_file as P
+    from assay.plans import scan_queries, source_queries
+    from assay.sources.adapters import Tables
+
+    spark.range(12_000).selectExpr("id p_partkey", "cast(id % 50 as int) p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    t = Tables(spark, str(tmp_path))
+    sources = source_queries._sources(t)
+    assert sources.rdd.getNumPartitions() == 3 and scan_queries._bodies(t).rdd.getNumPartitions() == 3
+    parsed = P.parse_files(sources)
+    for rows in (P.classes_of(parsed), source_queries.extract_members(t)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_class_is_a_test_by_its_own_methods(spark):
+    from assay.functions import csharp_file as P
+
+    code = "using Xunit; class A { [Fact] void T() { } } class B { void M() { } class In { [Theory] void U() { } } }"
+    got = P.classes_of(P.parse_files(spark.createDataFrame([("f", code)], "path string, content string")))
+    assert {(r["class"], r.is_test_class) for r in got.collect()} == {("A", True), ("B", False), ("In", True)}
