@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from assay.functions import scalars as S
 from assay.functions.smells import detect
 from assay.plans.operator_queries import _LOG, over_tables
+from assay.sources import elements as E
 from assay.sources import reports as P
 from assay.sources import sinks
 from assay.sources.adapters import SMELLS, Tables
@@ -34,26 +36,47 @@ def scan_trx(t: Tables) -> DataFrame:
     return P.trx(_files(t.raw("events"), C("user_id"), item, '<?xml version="1.0"?><TestRun xmlns="http://x/y"><Results>', "</Results></TestRun>"))
 
 
-def _coverage_files(t: Tables) -> DataFrame:
+def _coverage_folder(t: Tables) -> str:
+    """A folder ``report=<test run>`` for each report, its text in files that go on in the order of their names. Each tag is a row and rows are sorted over all tasks, so that no report is one value."""
     rate = lambda line, branch, comp: F.concat(L('line-rate="'), line.cast("string"), L('" branch-rate="'), branch.cast("string"), L('" complexity="'), comp.cast("string"), L('"'))
-    methods = t.method_coverage.groupBy("class_coverage_id").agg(F.array_join(F.collect_list(F.concat(_tag('<method name="M%d" signature="()" ', C("method_id")), rate(C("line_rate"), C("branch_rate"), C("complexity")), L("/>"))), "").alias("m"))
-    classes = t.class_coverage.join(methods, C("id") == C("class_coverage_id"), "left")
-    classes = classes.groupBy("package_coverage_id").agg(F.array_join(F.collect_list(F.concat(_tag('<class name="%s" filename="%s.cs" line-rate="0" branch-rate="0" complexity="x"><methods>', C("name"), C("name")), F.coalesce("m", L("")), L("</methods></class>"))), "").alias("c"))
-    packages = t.package_coverage.join(classes, C("id") == C("package_coverage_id"), "left")
-    packages = packages.groupBy("coverage_report_id").agg(F.array_join(F.collect_list(F.concat(_tag('<package name="%s" line-rate="1" branch-rate="1" complexity="0"><classes>', C("name")), F.coalesce("c", L("")), L("</classes></package>"))), "").alias("p"))
-    r = t.coverage_reports.join(packages, C("id") == C("coverage_report_id"), "left")
+    place = ("at", "package", "in_package", "class", "in_class", "method")
+    at = lambda *ids: [i.alias(n) for i, n in zip([*ids, *[L(0).cast("long")] * (len(place) - len(ids))], place)]
+    n = lambda k: L(k).cast("long")
+    reports = t.coverage_reports.withColumnRenamed("test_run_id", "report")
     head = F.concat(L('<?xml version="1.0"?><!DOCTYPE coverage SYSTEM "c.dtd"><coverage '), rate(C("line_rate"), C("branch_rate"), C("complexity")), _tag(' lines-covered="%d" lines-valid="%d" branches-covered="%d" branches-valid="%d" timestamp="%d"><packages>', C("lines_covered"), C("lines_valid"), C("branches_covered"), C("branches_valid"), C("timestamp")))
-    return r.select(C("test_run_id").alias("path"), F.concat(head, F.coalesce("p", L("")), L("</packages></coverage>")).alias("content"))
+    packages = t.package_coverage.selectExpr("id package", "name", "coverage_report_id id").join(reports.select("id", "report"), "id")
+    classes = t.class_coverage.selectExpr("id class", "name", "package_coverage_id package").join(packages.select("package", "report"), "package")
+    methods = t.method_coverage.withColumnRenamed("class_coverage_id", "class").join(classes.select("class", "package", "report"), "class")
+    class_tag = _tag('<class name="%s" filename="%s.cs" line-rate="0" branch-rate="0" complexity="x"><methods>', C("name"), C("name"))
+    method_tag = F.concat(_tag('<method name="M%d" signature="()" ', C("method_id")), rate(C("line_rate"), C("branch_rate"), C("complexity")), L("/>"))
+    parts = [
+        reports.select("report", *at(n(0)), head.alias("value")),
+        reports.select("report", *at(n(2)), L("</packages></coverage>").alias("value")),
+        packages.select("report", *at(n(1), C("package")), _tag('<package name="%s" line-rate="1" branch-rate="1" complexity="0"><classes>', C("name")).alias("value")),
+        packages.select("report", *at(n(1), C("package"), n(2)), L("</classes></package>").alias("value")),
+        classes.select("report", *at(n(1), C("package"), n(1), C("class")), class_tag.alias("value")),
+        classes.select("report", *at(n(1), C("package"), n(1), C("class"), n(2)), L("</methods></class>").alias("value")),
+        methods.select("report", *at(n(1), C("package"), n(1), C("class"), n(1), C("id")), method_tag.alias("value")),
+    ]
+    root = sinks.shared_path(t.spark, "cobertura")
+    rows = reduce(DataFrame.unionByName, parts)
+    rows.repartitionByRange("report", *place).sortWithinPartitions("report", *place).select("report", "value").write.partitionBy("report").text(root)
+    return root
+
+
+def _cobertura(t: Tables) -> dict[str, DataFrame]:
+    name = F.regexp_extract("file", r"report=([^/]+)/", 1)
+    return E.cobertura(t.spark, _coverage_folder(t), report=F.url_decode(F.replace(name, L("+"), L("%2B"))))
 
 
 @over_tables("scan_cobertura", "SELECT r.test_run_id AS path, p.name AS package, c.name AS class, 'M' || m.method_id AS name, '()' AS signature, m.line_rate, m.branch_rate, m.complexity FROM coverage_reports r JOIN package_coverage p ON p.coverage_report_id = r.id JOIN class_coverage c ON c.package_coverage_id = p.id JOIN method_coverage m ON m.class_coverage_id = c.id")
 def scan_cobertura(t: Tables) -> DataFrame:
-    return P.cobertura(_coverage_files(t))["methods"]
+    return _cobertura(t)["methods"]
 
 
 @over_tables("scan_cobertura_reports", "SELECT test_run_id AS path, line_rate, branch_rate, complexity, lines_covered, lines_valid, branches_covered, branches_valid, timestamp FROM coverage_reports")
 def scan_cobertura_reports(t: Tables) -> DataFrame:
-    return P.cobertura(_coverage_files(t))["reports"]
+    return _cobertura(t)["reports"]
 
 
 def _mutation_files(t: Tables) -> DataFrame:

@@ -111,3 +111,40 @@ def test_csv_reports_are_written(spark, monkeypatch):
     assert sorted(map(tuple, got["csv_validation"].collect())) == sorted(map(tuple, q["repo_validation_row"](spark, SF).drop("repo_id").collect()))
     assert sorted(r.ProjectName for r in got["csv_windows"].collect()) == sorted(r.source for r in spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().collect() if r.source)
     assert len(written) == 4 and len(set(written)) == 2
+
+
+def test_cobertura_in_splits_is_what_the_whole_document_gives(spark, tmp_path):
+    """Splits that begin inside a class or a package, prefixes, `>` in names, a broken tag, a report that goes on in a second file."""
+    from pyspark.sql import functions as F
+
+    from assay.sources import elements as E
+
+    m = lambda n: f'<method name="{n}" signature="(a&lt;b>)" line-rate="0.5" branch-rate="1" complexity="2"><lines><line number="1" hits="2"/></lines></method>\n'
+    c = lambda n, k: f'<x:class name="{n}" filename="{n}.cs" line-rate="0.5" branch-rate="0" complexity="x"><methods>{"".join(m(f"{n}.M{i}") for i in range(k))}</methods></x:class>'
+    p = lambda n, *cs: f'<package name="{n}" line-rate="1" branch-rate="1" complexity="1"><classes>{"".join(cs)}</classes></package>'
+    head = '<?xml version="1.0"?><!DOCTYPE coverage SYSTEM "c.dtd"><coverage xmlns:x="http://x" line-rate="0.75" branch-rate="0.5" lines-covered="3" lines-valid="4" branches-covered="1" branches-valid="2" complexity="NaN-ish" timestamp="17"><packages>'
+    whole = head + p("P", c("A", 200), c("B", 1)) + p("Q", c("C", 0), c("D", 300)) + "</packages></coverage>"
+    (tmp_path / "r").mkdir()
+    cut = whole.index('<method name="D.M150"')
+    (tmp_path / "r" / "one-0.xml").write_text(whole[:cut])
+    (tmp_path / "r" / "one-1.xml").write_text(whole[cut:])
+    (tmp_path / "r" / "two-0.xml").write_text(whole.replace('name="D.M299"', 'name="D.M299" name="twice"'))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = E.cobertura(spark, str(tmp_path / "r"), report=F.substring_index("file", "-", 1))
+        want = P.cobertura(files(spark, whole))
+        names = ("package", "class", "name", "signature", "line_rate", "branch_rate", "complexity")
+        assert rows(got["methods"].where("path = 'one'"), *names) == rows(want["methods"], *names)
+        assert got["methods"].where("path = 'two'").count() == 500 and got["rejects"].select("path").collect() == [("two",)]
+        counts = ("line_rate", "complexity", "lines_covered", "branches_valid", "timestamp")
+        assert rows(got["reports"], *counts) == rows(want["reports"], *counts) * 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_no_report_of_a_scan_is_one_value(spark):
+    from assay.plans import scan_queries as Q
+    from assay.sources.adapters import Tables
+
+    lines = spark.read.text(Q._coverage_folder(Tables(spark, SF)))
+    assert lines.selectExpr("max(length(value))").first()[0] < 400 and lines.count() > 1500
