@@ -58,22 +58,30 @@ def smell_counts(smells: DataFrame, group: str, smell: str, status: str, names:
     return found.groupBy(group).pivot(smell, names).count().na.fill(0).withColumn("total", sum((F.col(f"`{n}`") for n in names), F.lit(0)).cast("long")) if names else found.groupBy(group).count()
 
 
-def cohesion(bodies: DataFrame, group: str, body: str, row_id: str, k: int = 3, least: float = 0.6) -> DataFrame:
+def _next(a: Column, g: Column) -> Column:
+    j = F.when(a["g"] == g, a["j"] + 1).otherwise(1)
+    return F.struct(g.alias("g"), j.alias("j"), (a["sum"] + 2 * j - 1).cast("long").alias("sum"))
+
+
+def cohesion(bodies: DataFrame, group: str, body: str, row_id: str, k: int = 3, least: float = 0.6, each: int = 5000) -> DataFrame:
     """Per group: mean cosine similarity of the shingle profiles over ordered pairs of bodies, and whether 1 - mean >= ``least``.
 
     The sum over all pairs is that of the summed unit vectors with themselves, less each vector's product
     with itself: sum over pairs i != j of u_i u_j = |sum u|^2 - n. No pair is made. Fewer than two
     bodies: not lacking. Bodies shorter than k have no shingles; they count as bodies and are similar to none.
+
+    A body's profile is made in its row; bodies are dealt out to tasks of some ``each``, since a body becomes as many rows as it has shingles.
     """
-    clean = bodies.select(group, row_id, F.regexp_replace(body, r"\s+", " ").alias("_text"))
-    counts = clean.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    clean = bodies.select(group, F.regexp_replace(body, r"\s+", " ").alias("_text")).repartition(max(1, -(-bodies.count() // each)))
     grams = F.transform(F.sequence(F.lit(1), F.length("_text") - (k - 1)), lambda i: F.substring(F.col("_text"), i, F.lit(k)))
-    profile = clean.where(F.length("_text") >= k).select(group, row_id, F.explode(grams).alias("_gram")).groupBy(group, row_id, "_gram").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    norms = profile.groupBy(group, row_id).agg(F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_norm"))
-    units = profile.join(norms, [group, row_id]).groupBy(group, "_gram").agg(F.sum(F.col("_c") / F.col("_norm")).alias("_s"))
+    profile = clean.select(group, F.when(F.length("_text") >= k, F.array_sort(grams)).alias("_grams"))
+    counts = profile.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count("_grams").alias("_full"))
+    # Equal shingles stand together: with j the place among equals, the squares of the counts are the sum of 2j - 1.
+    runs = F.aggregate("_grams", F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("j"), F.lit(0).cast("long").alias("sum")), lambda a, g: _next(a, g))
+    shingles = profile.where("_grams is not null").select(group, F.sqrt(runs["sum"]).alias("_norm"), F.explode("_grams").alias("_gram"))
+    units = shingles.groupBy(group, "_gram").agg(F.sum(1 / F.col("_norm")).alias("_s"))
     square = units.groupBy(group).agg(F.sum(F.col("_s") * F.col("_s")).alias("_square"))
-    full = norms.groupBy(group).agg(F.count(F.lit(1)).alias("_full"))
-    rows = counts.join(square, group, "left").join(full, group, "left")
-    mean = (F.coalesce(F.col("_square"), F.lit(0.0)) - F.coalesce("_full", F.lit(0))) / (F.col("_n") * (F.col("_n") - 1))
+    rows = counts.join(square, group, "left")
+    mean = (F.coalesce(F.col("_square"), F.lit(0.0)) - F.col("_full")) / (F.col("_n") * (F.col("_n") - 1))
     rows = rows.withColumn("mean_similarity", F.when(F.col("_n") > 1, F.round(mean, 6) + F.lit(0.0)))
     return rows.select(group, F.col("_n").alias("bodies"), "mean_similarity", F.coalesce(1 - F.col("mean_similarity") >= least, F.lit(False)).alias("lacks_cohesion"))

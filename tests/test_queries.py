@@ -90,3 +90,13 @@ def test_contained_names_of_any_shape(spark):
     pattern = lambda n: ".*" + "".join({"_": ".", "%": ".*"}.get(c, re.escape(c)) for c in n.lower()) + ".*"
     expected = sorted((t, n) for t in set(texts) - {None} for n in set(names) - {None} if re.fullmatch(pattern(n), t.lower(), 16))
     assert sorted((r.t, r.n) for r in got) == expected and len(expected) > 100
+
+
+def test_cohesion_deals_out_bodies_before_it_makes_shingles(spark):
+    """Bodies of one split become shingles in many tasks, each of which holds those of some bodies only."""
+    df = spark.range(1200).selectExpr("id % 400 g", "concat('body ', id % 7, ' of ', id % 5, ' and more') b", "id").coalesce(1)
+    got = M.cohesion(df, "g", "b", "id", each=100)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan or "Repartition 12" in plan
+    assert plan.count("Generate") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M.cohesion(df, "g", "b", "id").collect()))
