@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,15 +116,21 @@ def containing_in(texts: DataFrame, text: str, parts: DataFrame, part: str, grou
     Many parts are matched at once through the pieces of ``GRAM`` characters that texts hold: a part meets the texts of its group that hold the
     rarest of its pieces, keyed by group and piece, so that a huge group spreads. Shorter parts are
     their own piece; texts are cut to such lengths only where their group has parts of them. Empty parts are in all texts.
+    Pieces, parts and texts go by their hashes until they are met, and only pieces of parts are kept; what is met is compared whole, group and all.
     """
     whole = texts.select(*group, F.col(text).alias("_text")).where("_text is not null").distinct()
     asked = parts.select(*group, F.col(part).alias("_part")).where("_part is not null").distinct().withColumn("_n", F.least(F.char_length("_part"), F.lit(GRAM)))
     lengths = asked.where("_n > 0").select(*group, "_n").distinct()
-    keys = asked.where("_n > 0").select(*group, "_part", F.explode(_pieces(F.col("_part"), F.col("_n"))).alias("_piece"))
-    held = whole.join(lengths, group).select(*group, "_text", F.explode(_pieces(F.col("_text"), F.col("_n"))).alias("_piece"))
-    often = held.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_texts"))
-    met = keys.join(often, [*group, "_piece"], "left").groupBy(*group, "_part").agg(F.min_by("_piece", F.struct(F.coalesce("_texts", F.lit(0)), "_piece")).alias("_piece"))
-    pairs = met.join(held, [*group, "_piece"]).where(F.contains("_text", "_part")).select(*group, "_text", "_part")
+    of = lambda value: F.explode(F.transform(_pieces(F.col(value), F.col("_n")), lambda p: F.xxhash64(*group, p))).alias("_piece")
+    keyed_parts, keyed = asked.where("_n > 0").withColumn("_pk", F.xxhash64(*group, "_part")), whole.withColumn("_tk", F.xxhash64(*group, "_text"))
+    keys = keyed_parts.select("_pk", of("_part"))
+    held = keyed.join(lengths, group).select("_tk", of("_text")).join(keys.select("_piece").distinct(), "_piece", "left_semi")
+    often = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_texts"))
+    met = keys.join(often, "_piece", "left").groupBy("_pk").agg(F.min_by("_piece", F.struct(F.coalesce("_texts", F.lit(0)), "_piece")).alias("_piece"))
+    pairs = met.join(held, "_piece").select("_pk", "_tk").distinct()
+    pairs = pairs.join(keyed_parts.select("_pk", "_part", *(F.col(g).alias(f"_{g}") for g in group)), "_pk").join(keyed, "_tk")
+    same = reduce(lambda x, y: x & y, (F.col(g) == F.col(f"_{g}") for g in group))
+    pairs = pairs.where(same & F.contains("_text", "_part")).select(*group, "_text", "_part")
     every = whole.join(asked.where("_n = 0"), group).select(*group, "_text", "_part")
     return pairs.unionByName(every).select(*group, F.col("_text").alias(text), F.col("_part").alias(part))
 
