@@ -137,7 +137,7 @@ class TestAgg:
         after = means(near.join(reports, [SCOPE, "report_id"]).join(methods, [SCOPE, "method_id", "test_run_id"], "left_semi"), [SCOPE, "method_id", "test_run_id"], "generated")
         outcomes = V.latest_test_outcome(store).withColumnRenamed("test_run_db_id", "test_run_id").withColumnRenamed("test_method_id", "gen_test_method_id")
         outcomes = outcomes.join(tests.select(SCOPE, "gen_test_method_id", "test_run_id").distinct(), [SCOPE, "gen_test_method_id", "test_run_id"], "left_semi").distinct()
-        Kept(store, self.rows, []).put(batch, V.joined_test_agg(store, tests, before, after, outcomes))
+        Kept(store, self.rows, []).put(batch, V.with_outcomes(store, V.rated_tests(store, tests, before, after), outcomes, V.RATES))
 
     def view(self) -> DataFrame:
         rows = self.store.read(self.rows).withColumnRenamed(BATCH, "last")

@@ -127,23 +127,36 @@ RATES = tuple(f"{who}_{what}" for what in ("line_rate", "branch_rate", "complexi
 
 
 def test_agg(t: Tables) -> DataFrame:
+    return with_outcomes(t, _rated_tests(t), _outcomes(t), RATES)
+
+
+def _rated_tests(t: Tables) -> DataFrame:
     """Coverage is averaged by method (and run) before the joins: each row of a test meets the same rates, so the means
     are those of the full join, without its rows growing with the square of the repeats. Ids of tests, methods and classes
     are unique, so with distinct outcomes each group has one row and needs no grouping after the joins."""
     before = baseline_coverage(t).groupBy(*t.scope, "method_id").agg(*(F.avg(c).alias(c) for c in RATES[::2]))
     after = _run_coverage(t).groupBy(*t.scope, "method_id", F.col("test_run_db_id").alias("test_run_id"))
     after = after.agg(*(F.avg(s).alias(g) for s, g in zip(("line_rate", "branch_rate", "complexity"), RATES[1::2])))
-    outcomes = latest_test_outcome(t).distinct().withColumnRenamed("test_run_db_id", "test_run_id").withColumnRenamed("test_method_id", "gen_test_method_id")
-    return joined_test_agg(t, t.generated_tests, before, after, outcomes)
+    return rated_tests(t, t.generated_tests, before, after)
+
 
+def _outcomes(t: Tables) -> DataFrame:
+    return latest_test_outcome(t).distinct().withColumnRenamed("test_run_db_id", "test_run_id").withColumnRenamed("test_method_id", "gen_test_method_id")
 
-def joined_test_agg(t: Tables, tests: DataFrame, before: DataFrame, after: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Generated tests with their methods, mean rates (by method, and by method and run) and distinct outcomes."""
+
+def rated_tests(t: Tables, tests: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Generated tests with their methods and mean rates (by method, and by method and run). Rates are rounded here, once for each mean: a test has as many rows as outcomes."""
     tests = tests.withColumnRenamed("id", "generated_test_id").withColumnRenamed("original_method_id", "method_id").drop("test_method_id")
+    before = before.select(*t.scope, "method_id", *(_r(c) for c in RATES[::2]))
+    after = after.select(*t.scope, "method_id", "test_run_id", *(_r(c) for c in RATES[1::2]))
     methods = t.methods.selectExpr(*t.scope, "id method_id", "name method_name", "class_id")
     methods = methods.join(t.classes.selectExpr(*t.scope, "id class_id", "name class_name"), [*t.scope, "class_id"]).drop("class_id")
-    rows = tests.join(methods, [*t.scope, "method_id"]).join(before, [*t.scope, "method_id"], "left").join(after, [*t.scope, "method_id", "test_run_id"], "left")
-    return rows.join(outcomes, [*t.scope, "gen_test_method_id", "test_run_id"], "left").select(*t.scope, *TEST_KEYS, *(_r(c) for c in RATES))
+    return tests.join(methods, [*t.scope, "method_id"]).join(before, [*t.scope, "method_id"], "left").join(after, [*t.scope, "method_id", "test_run_id"], "left")
+
+
+def with_outcomes(t: Tables, rows: DataFrame, outcomes: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """Rated tests with their distinct outcomes, joined last as they multiply the rows."""
+    return rows.join(outcomes, [*t.scope, "gen_test_method_id", "test_run_id"], "left").select(*t.scope, *TEST_KEYS, *values)
 
 
 def coverage_category(outcome: Column, delta: Column) -> Column:
@@ -157,10 +170,11 @@ def category_color(outcome: Column, delta: Column) -> Column:
 
 
 def generated_test_evaluation(t: Tables) -> DataFrame:
-    """The delta is rounded before it is compared with zero: the order of summing must not decide. Half of nine digits has ten."""
+    """The delta is rounded before it is compared with zero: the order of summing must not decide. Half of nine digits has ten. A test's deltas are made before it meets its outcomes."""
     gain = lambda what: F.round(F.col(f"generated_{what}") - F.col(f"baseline_{what}"), 9) + F.lit(0.0)
-    rows = test_agg(t).withColumns({"line_rate_delta": gain("line_rate"), "branch_rate_delta": gain("branch_rate")})
+    rows = _rated_tests(t).withColumns({"line_rate_delta": gain("line_rate"), "branch_rate_delta": gain("branch_rate")})
     rows = rows.withColumn("coverage_delta", F.round((F.col("line_rate_delta") + F.col("branch_rate_delta")) / 2, 10) + F.lit(0.0))
+    rows = with_outcomes(t, rows, _outcomes(t), (*RATES, "line_rate_delta", "branch_rate_delta", "coverage_delta"))
     judged = (F.col("test_outcome"), F.col("coverage_delta"))
     return rows.withColumns({"evaluation_category": coverage_category(*judged), "ui_color": category_color(*judged)})
 

@@ -100,3 +100,14 @@ def test_cohesion_deals_out_bodies_before_it_makes_shingles(spark):
     assert "RepartitionByExpression" in plan or "Repartition 12" in plan
     assert plan.count("Generate") == 1
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M.cohesion(df, "g", "b", "id").collect()))
+
+
+def test_nothing_is_rounded_for_each_outcome(spark):
+    """Rates and deltas belong to a test; its outcomes, of which there are many, are joined after they are made."""
+    from assay.plans import views as V
+    from assay.sources.adapters import RepoTables
+
+    for t in (Tables(spark, SF), RepoTables(spark, SF)):
+        for view in (V.test_agg, V.generated_test_evaluation):
+            plan = view(t)._jdf.queryExecution().optimizedPlan().toString()
+            assert "round(" in plan and "round(" not in plan[: plan.index("Join LeftOuter")]
