@@ -44,14 +44,18 @@ def _elements(content, tag: str):
     return F.regexp_extract_all(content, F.lit(rf"(?s)(<{tag}\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*?/>|<{tag}\b.*?</{tag}\s*>)"), F.lit(1))
 
 
+_RESULT = "_testName string, _outcome string, _duration string, ErrorInfo struct<Message:string>, Output struct<ErrorInfo:struct<Message:string>>"
+
+
 def trx(files: DataFrame) -> DataFrame:
-    """path, test_name, outcome, duration, error_message of every unit test result; missing attributes have defaults."""
+    """path, test_name, outcome, duration, error_message of every unit test result; missing attributes have defaults. A result is parsed once; those that aren't well-formed give no rows."""
     rows = files.select("path", F.explode(_elements(without_namespaces(F.col("content")), "UnitTestResult")).alias("x"))
-    get = lambda p: F.xpath_string("x", F.lit(p))
-    duration = get("/UnitTestResult/@duration")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreSurroundingSpaces": "false"}
+    rows = rows.select("path", F.from_xml("x", f"{_RESULT}, _corrupt_record string", options).alias("r")).where("r is not null and r._corrupt_record is null")
+    get = lambda name: F.coalesce(f"r._{name}", F.lit(""))
     return rows.select(
-        "path", get("/UnitTestResult/@testName").alias("test_name"), get("/UnitTestResult/@outcome").alias("outcome"), F.when(duration == "", "00:00:00").otherwise(duration).alias("duration"),
-        F.nullif(get("//ErrorInfo/Message"), F.lit("")).alias("error_message"),
+        "path", get("testName").alias("test_name"), get("outcome").alias("outcome"), F.when(get("duration") == "", "00:00:00").otherwise(get("duration")).alias("duration"),
+        F.nullif(F.coalesce("r.Output.ErrorInfo.Message", "r.ErrorInfo.Message"), F.lit("")).alias("error_message"),
     )
 
 

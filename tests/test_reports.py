@@ -27,6 +27,12 @@ def test_trx(spark):
     assert got == [("A.B.Ok", "Passed", "00:00:01.5", None), ("A.B.Theory(x: 1.5)", "Failed", "00:00:00", "a < b")]
 
 
+def test_a_broken_result_costs_only_itself(spark):
+    x = '<R><UnitTestResult testName=" a " outcome="Passed"/><UnitTestResult testName="b" outcome=></UnitTestResult><UnitTestResult testName="c"><Output><ErrorInfo><Message> m </Message></ErrorInfo></Output></UnitTestResult></R>'
+    got = P.trx(files(spark, x))
+    assert rows(got, "test_name", "outcome", "duration", "error_message") == [(" a ", "Passed", "00:00:00", None), ("c", "", "00:00:00", " m ")]
+
+
 def test_cobertura(spark):
     m = lambda n, c: f'<method name="{n}" signature="()" line-rate="0.5" branch-rate="1" complexity="{c}"><lines/></method>'
     c = lambda n, ms: f'<class name="{n}" filename="{n}.cs" line-rate="0.5" branch-rate="0" complexity="3"><methods>{ms}</methods></class>'
