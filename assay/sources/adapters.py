@@ -104,9 +104,10 @@ class Tables:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """One row for each (l_orderkey, l_linenumber), which the driver's table repeats."""
+        """One row for each (l_orderkey, l_linenumber), which the driver's table repeats. Rows are dealt out first: merged before that, a task would sort all of its split in memory, as least texts go by sorting."""
         return (
             self.raw("lineitem")
+            .repartition("l_orderkey", "l_linenumber")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").alias("quantity"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"), F.min("l_extendedprice").alias("price"))
             .selectExpr("l_orderkey", "l_linenumber", "l_orderkey * 10 + l_linenumber id", "pk", "sk", "cast(quantity as bigint) qty", "flag", "status", "price")

@@ -111,3 +111,10 @@ def test_nothing_is_rounded_for_each_outcome(spark):
         for view in (V.test_agg, V.generated_test_evaluation):
             plan = view(t)._jdf.queryExecution().optimizedPlan().toString()
             assert "round(" in plan and "round(" not in plan[: plan.index("Join LeftOuter")]
+
+
+def test_lines_are_dealt_out_before_they_are_merged(spark):
+    """A task that reads a split hands its rows on: it keeps none to sort or merge them."""
+    plan = Tables(spark, SF).lines._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange") :]
+    assert "l_orderkey" in below and "Sort" not in below and "Aggregate" not in below
