@@ -83,6 +83,7 @@ class MethodCoverage:
 class TestAgg:
     """``v_test_agg`` of a store. A batch changes a report's rates by method, the outcomes of a (method, run) and generated tests;
     a newer baseline report changes the methods that it or the one before covers. Only generated tests that meet a change are joined anew.
+    A kept row is a test with its rates; its outcomes, which multiply it, are joined when the view is read.
     Methods, classes and what reports consist of are there before the rows that name them."""
 
     __test__ = False
@@ -135,13 +136,12 @@ class TestAgg:
         means = lambda rows, keys, who: merged(rows, keys, MEASURES).select(*keys, *(mean(m).alias(f"{who}_{m}") for m in MEASURES))
         before = means(near.join(now, [SCOPE, "report_id"], "left_semi"), [SCOPE, "method_id"], "baseline")
         after = means(near.join(reports, [SCOPE, "report_id"]).join(methods, [SCOPE, "method_id", "test_run_id"], "left_semi"), [SCOPE, "method_id", "test_run_id"], "generated")
-        outcomes = V.latest_test_outcome(store).withColumnRenamed("test_run_db_id", "test_run_id").withColumnRenamed("test_method_id", "gen_test_method_id")
-        outcomes = outcomes.join(tests.select(SCOPE, "gen_test_method_id", "test_run_id").distinct(), [SCOPE, "gen_test_method_id", "test_run_id"], "left_semi").distinct()
-        Kept(store, self.rows, []).put(batch, V.with_outcomes(store, V.rated_tests(store, tests, before, after), outcomes, V.RATES))
+        Kept(store, self.rows, []).put(batch, V.rated_tests(store, tests, before, after))
 
     def view(self) -> DataFrame:
         rows = self.store.read(self.rows).withColumnRenamed(BATCH, "last")
-        return rows.join(self.last.current(), [SCOPE, "generated_test_id", "last"], "left_semi").drop("last")
+        rows = rows.join(self.last.current(), [SCOPE, "generated_test_id", "last"], "left_semi")
+        return V.with_outcomes(self.store, rows, V.distinct_outcomes(self.store), V.RATES)
 
 
 class _Batch:

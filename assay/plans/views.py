@@ -127,7 +127,7 @@ RATES = tuple(f"{who}_{what}" for what in ("line_rate", "branch_rate", "complexi
 
 
 def test_agg(t: Tables) -> DataFrame:
-    return with_outcomes(t, _rated_tests(t), _outcomes(t), RATES)
+    return with_outcomes(t, _rated_tests(t), distinct_outcomes(t), RATES)
 
 
 def _rated_tests(t: Tables) -> DataFrame:
@@ -140,7 +140,7 @@ def _rated_tests(t: Tables) -> DataFrame:
     return rated_tests(t, t.generated_tests, before, after)
 
 
-def _outcomes(t: Tables) -> DataFrame:
+def distinct_outcomes(t: Tables) -> DataFrame:
     return latest_test_outcome(t).distinct().withColumnRenamed("test_run_db_id", "test_run_id").withColumnRenamed("test_method_id", "gen_test_method_id")
 
 
@@ -174,7 +174,7 @@ def generated_test_evaluation(t: Tables) -> DataFrame:
     gain = lambda what: F.round(F.col(f"generated_{what}") - F.col(f"baseline_{what}"), 9) + F.lit(0.0)
     rows = _rated_tests(t).withColumns({"line_rate_delta": gain("line_rate"), "branch_rate_delta": gain("branch_rate")})
     rows = rows.withColumn("coverage_delta", F.round((F.col("line_rate_delta") + F.col("branch_rate_delta")) / 2, 10) + F.lit(0.0))
-    rows = with_outcomes(t, rows, _outcomes(t), (*RATES, "line_rate_delta", "branch_rate_delta", "coverage_delta"))
+    rows = with_outcomes(t, rows, distinct_outcomes(t), (*RATES, "line_rate_delta", "branch_rate_delta", "coverage_delta"))
     judged = (F.col("test_outcome"), F.col("coverage_delta"))
     return rows.withColumns({"evaluation_category": coverage_category(*judged), "ui_color": category_color(*judged)})
 

@@ -164,6 +164,16 @@ def test_increment_touches_its_own_keys_only(spark):
     assert rows_of(view.view().select(*map(F.col, full.columns)).na.fill("")) == rows_of(full.na.fill(""))
 
 
+def test_kept_tests_are_not_multiplied_by_outcomes(spark):
+    from assay.operators.increments import TestAgg
+
+    t = RepoTables(spark, SF)
+    store = Q.stored(t, Q._OF_TEST_AGG)
+    view = TestAgg(store)
+    view.refresh(1)
+    assert store.read(view.rows).count() == t.generated_tests.count() < view.view().count()
+
+
 def test_shared_tables_are_taken_for_the_size_of_all_repositories(spark):
     """Rows of every repository that Spark takes for one repository's are broadcast through the driver."""
     size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
