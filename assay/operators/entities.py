@@ -13,8 +13,8 @@ from assay.sources.schema import KEYS
 from assay.sources.sinks import shared_path
 from assay.sources.store import SCOPE, Store
 
-#: Longs in a filter of keys (64 bits each; half a megabyte), bits a key sets, parts in which a repository's new rows are numbered.
-WORDS, PROBES, PARTS = 65_536, 3, 256
+#: Longs in a filter of keys (64 bits each; half a megabyte), bits a key sets, keys from which on a filter would let nearly all through, parts in which a repository's new rows are numbered.
+WORDS, PROBES, MOST, PARTS = 65_536, 3, 65_536 * 8, 65_536
 
 
 def _probes(key: Column) -> list[tuple[Column, Column]]:
@@ -39,52 +39,64 @@ def maybe_in(filtered: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, last: DataFrame, order: str, name: str = "id") -> DataFrame:
-    """Consecutive ids in each repository after its last (``last``: repo_id, last). A repository is numbered in ``PARTS`` parts, so that a huge one spreads."""
+    """Consecutive ids in each repository after its last (``last``: repo_id, last). A repository is numbered in ``PARTS`` parts, so that a huge one spreads. ``rows`` are read twice."""
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(PARTS)))
-    counts = dealt.groupBy(SCOPE, "_part").count().join(last, SCOPE, "left")
+    counts = dealt.groupBy(SCOPE, "_part").count().join(F.broadcast(last), SCOPE, "left")  # one row a repository
     before = F.sum("count").over(Window.partitionBy(SCOPE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(SCOPE, "_part", (F.coalesce(before, F.lit(0)) + F.coalesce("last", F.lit(0))).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(SCOPE, "_part").orderBy(order))
-    return dealt.withColumn("_place", place).join(starts, [SCOPE, "_part"]).withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    place = F.row_number().over(Window.partitionBy("_part", SCOPE).orderBy(order))
+    return dealt.withColumn("_place", place).join(starts, ["_part", SCOPE]).withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
 @dataclass(frozen=True)
 class Entity:
-    """Rows of a table to come: repo_id, guid, the table's columns, and ``parent``, the guid of what ``refers`` (table, column) names. A table without guids goes by content_hash."""
+    """Rows of a table to come: repo_id, guid, the table's columns, and ``parent``, the guid of what ``refers`` (table, column) names. A table without guids goes by content_hash. ``content``: the columns of which content_hash is made, if the rows don't have it; it is made after parents are joined, which needn't shuffle it."""
 
     table: str
     rows: DataFrame
     refers: tuple[str, str] | None = None
+    content: tuple[str, ...] = ()
 
 
 def ingest(store: Store, batch: int, entities: Iterable[Entity]) -> dict[str, DataFrame]:
     """Write the new rows of each entity as one batch of its table, parents before children.
 
     A row is new if no stored row of its repository has its key (``KEYS``); of equal ones the first by guid is stored. Stored keys
-    are narrowed by a Bloom filter of the batch's keys before they are joined. Ids go on after the repository's last. Rows
+    are narrowed by a Bloom filter of the batch's keys, where these are few enough for one, before they are joined; many rows that nothing refers to are used once and so not staged. Rows are grouped, joined
+    and so sorted by a hash of their key first: by repository, of which there are few, each comparison would go on to the hex digits. Ids go on after the repository's last. Rows
     whose parent is neither in the batch nor stored are left out. Returns repo_id, guid, id of every row of the batch by table,
     those stored before included. A batch that is run again gives the same rows and ids.
     """
+    entities = list(entities)
+    referred = [e.refers[0] for e in entities if e.refers]
     ids: dict[str, DataFrame] = {}
     for entity in entities:
         table, rows, keys = entity.table, entity.rows, [SCOPE, *KEYS[entity.table]]
+        hashed = ["_key", *keys]
         stored = store.read(table, without=batch)
         if entity.refers:
             rows = _with_parent(rows, store, batch, ids, *entity.refers)
-        rows = staged(rows.withColumn("_key", F.xxhash64(*keys)), f"rows-{table}")
+        if entity.content:
+            rows = rows.withColumn("content_hash", F.sha2(F.concat_ws("|", *entity.content), 256))
+        rows = rows.withColumn("_key", F.xxhash64(*keys))
+        if again := table in referred or entity.rows.count() <= MOST:
+            rows = staged(rows, f"rows-{table}")
+        first = first_of(rows, hashed, "guid")
         if store.batches(table) in ([], [batch]):
-            new, there = first_of(rows, keys, "guid"), None
+            first = first.withColumn("_id", F.lit(None).cast("long"))
         else:
-            near = maybe_in(stored.select("id", *keys).withColumn("_key", F.xxhash64(*keys)), "_key", staged(key_filter(rows, "_key"), f"filter-{table}"))
-            there = staged(near.join(rows.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("_id")), f"there-{table}")
-            new = first_of(rows, keys, "guid").join(there, keys, "left_anti")
-        new = numbered(new, stored.groupBy(SCOPE).agg(F.max("id").alias("last")), "guid")
+            near = stored.select("id", *keys).withColumn("_key", F.xxhash64(*keys))
+            if again and rows.count() <= MOST:
+                near = maybe_in(near, "_key", staged(key_filter(rows, "_key"), f"filter-{table}"))
+            first = first.join(near.groupBy(*hashed).agg(F.min("id").alias("_id")), hashed, "left")
+        first = staged(first, f"first-{table}")
+        new = numbered(first.where("_id is null"), stored.groupBy(SCOPE).agg(F.max("id").alias("last")), "guid")
         schema = store.schemas[table]
         store.append(table, batch, new.select(*((F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields)))
-        added = store.read(table).where(F.col("batch") == batch).select(*keys, F.col("id").alias("_new"))
-        found = rows.select("guid", *keys).join(added, keys, "left")
-        found = found.withColumn("_id", F.lit(None).cast("long")) if there is None else found.join(there, keys, "left")
-        ids[table] = found.select(SCOPE, "guid", F.coalesce("_id", "_new").alias("id"))
+        added = store.read(table).where(F.col("batch") == batch).select(*keys, "id").withColumn("_key", F.xxhash64(*keys))
+        known = added.unionByName(first.where("_id is not null").select(*hashed, F.col("_id").alias("id")))
+        found = rows.select("guid", *hashed).join(known, hashed, "left").select(SCOPE, "guid", "id")
+        ids[table] = staged(found, f"ids-{table}") if referred.count(table) > 1 else found
     return ids
 
 
@@ -98,7 +110,10 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
 def _with_parent(rows: DataFrame, store: Store, batch: int, ids: dict[str, DataFrame], parent: str, column: str) -> DataFrame:
     """``rows`` with the stored id of their parent, of this batch or an earlier one; those without one are left out."""
     named = "guid" if "guid" in store.schemas[parent].names else "content_hash"
-    known = store.read(parent, without=batch).select(SCOPE, F.col(named).alias("parent"), F.col("id").alias("_stored"))
-    now = ids[parent].groupBy(SCOPE, F.col("guid").alias("parent")).agg(F.min("id").alias("_now")) if parent in ids else known.limit(0).select(SCOPE, "parent", F.col("_stored").alias("_now"))
-    rows = rows.join(now, [SCOPE, "parent"], "left").join(known.groupBy(SCOPE, "parent").agg(F.min("_stored").alias("_stored")), [SCOPE, "parent"], "left")
-    return rows.withColumn(column, F.coalesce("_now", "_stored")).where(F.col(column).isNotNull()).drop("_now", "_stored", "parent")
+    none = F.lit(None).cast("long")
+    known = store.read(parent, without=batch).select(SCOPE, F.col(named).alias("parent"), none.alias("_now"), F.col("id").alias("_stored"))
+    if parent in ids:
+        known = known.unionByName(ids[parent].select(SCOPE, F.col("guid").alias("parent"), F.col("id").alias("_now"), none.alias("_stored")))
+    keys = ["_up", "parent", SCOPE]
+    least = known.withColumn("_up", F.xxhash64(SCOPE, "parent")).groupBy(*keys).agg(F.coalesce(F.min("_now"), F.min("_stored")).alias(column)).where(F.col(column).isNotNull())
+    return rows.withColumn("_up", F.xxhash64(SCOPE, "parent")).join(least, keys).drop("_up", "parent")

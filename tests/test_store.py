@@ -110,6 +110,35 @@ def test_ingest_keeps_ids(spark, tmp_path):
     assert {(r, g): h for r, g, h in rows_of(placed)} == want
 
 
+def test_ingest_of_many_rows_keeps_ids(spark, tmp_path, monkeypatch):
+    """Rows too many for a filter, those that nothing refers to not staged: the same ids. Rows are sorted by a hash of their key, not by the few repositories."""
+    plans, write = {}, E.staged
+
+    def noted(rows, name):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        return write(rows, name)
+
+    monkeypatch.setattr(E, "MOST", 0)
+    monkeypatch.setattr(E, "staged", noted)
+    test_ingest_keeps_ids(spark, tmp_path)
+    assert "rows-classes" in plans and not {n for n in plans if n.startswith("filter") or n == "rows-methods"}
+    sorts = [x for n in ("first-classes", "first-methods") for x in plans[n].split("Sort [")[1:]]
+    assert sorts and all(x.startswith(("_key#", "_up#")) for x in sorts)
+
+
+def test_ingest_asks_for_methods_and_calls_once(spark):
+    """Calls are merged and joined to their methods' files for all batches together."""
+    asked = []
+
+    class Noted(RepoTables):
+        def __getattr__(self, name):
+            asked.append(name)
+            return super().__getattr__(name)
+
+    Q.ingested(Noted(spark, SF))
+    assert asked.count("methods") == asked.count("invocations") == asked.count("classes") == 1
+
+
 def test_key_filter_loses_nothing(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
     stored = spark.range(100_000).select("id", F.xxhash64("id").alias("k"))
