@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from assay.operators.contained import matched
 
 
 def first_of(df: DataFrame, keys: list[str], order: str, columns: list[str] | None = None) -> DataFrame:
@@ -104,35 +105,36 @@ def latest_state(updates: DataFrame, key: str, order: str) -> DataFrame:
     return updates.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("row")).select(key, "row.*")
 
 
-def _pieces(text: Column, n: Column) -> Column:
-    """All pieces of n characters."""
-    every = F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))
-    return F.when(F.char_length(text) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+#: Calls, and expressions, of a file up to which they are matched in one task; of fuller files each lot of calls meets each lot of expressions.
+LOT = 262_144
+
+
+def _matched(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``matched`` of rows that stand together by ``keys`` in their partitions."""
+    rows = rows.select(*keys, "id", "_text", "_source").sortWithinPartitions(*keys)
+    kind = StructType([*rows.select(*keys, "id").schema.fields, StructField("seq", LongType()), StructField("source_method_id", LongType())])
+    return rows.mapInArrow(lambda batches: matched(batches, keys), kind)
 
 
-def containing_in(texts: DataFrame, text: str, parts: DataFrame, part: str, group: list[str]) -> DataFrame:
-    """(group, text, part): distinct texts with the distinct parts of their group that they hold, case and all.
+def last_matches(calls: DataFrame, expressions: DataFrame, file: list[str]) -> DataFrame:
+    """The last expression of a call's file whose text holds the call's: file, id, seq, source_method_id.
 
-    Many parts are matched at once through the pieces of ``GRAM`` characters that texts hold: a part meets the texts of its group that hold the
-    rarest of its pieces, keyed by group and piece, so that a huge group spreads. Shorter parts are
-    their own piece; texts are cut to such lengths only where their group has parts of them. Empty parts are in all texts.
-    Pieces, parts and texts go by their hashes until they are met, and only pieces of parts are kept; what is met is compared whole, group and all.
+    ``calls``: file, id, full_string. ``expressions``: file, seq, text, source_method_id; of equal seq the highest source. Calls and expressions are shuffled once, together, by file, and
+    matched where they are (see ``contained``): pieces of texts, and pairs, of which there are many more, are never shuffled. Files with more than ``LOT`` of either are dealt out
+    anew, so that a huge one spreads.
     """
-    whole = texts.select(*group, F.col(text).alias("_text")).where("_text is not null").distinct()
-    asked = parts.select(*group, F.col(part).alias("_part")).where("_part is not null").distinct().withColumn("_n", F.least(F.char_length("_part"), F.lit(GRAM)))
-    lengths = asked.where("_n > 0").select(*group, "_n").distinct()
-    of = lambda value: F.explode(F.transform(_pieces(F.col(value), F.col("_n")), lambda p: F.xxhash64(*group, p))).alias("_piece")
-    keyed_parts, keyed = asked.where("_n > 0").withColumn("_pk", F.xxhash64(*group, "_part")), whole.withColumn("_tk", F.xxhash64(*group, "_text"))
-    keys = keyed_parts.select("_pk", of("_part"))
-    held = keyed.join(lengths, group).select("_tk", of("_text")).join(keys.select("_piece").distinct(), "_piece", "left_semi")
-    often = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_texts"))
-    met = keys.join(often, "_piece", "left").groupBy("_pk").agg(F.min_by("_piece", F.struct(F.coalesce("_texts", F.lit(0)), "_piece")).alias("_piece"))
-    pairs = met.join(held, "_piece").select("_pk", "_tk").distinct()
-    pairs = pairs.join(keyed_parts.select("_pk", "_part", *(F.col(g).alias(f"_{g}") for g in group)), "_pk").join(keyed, "_tk")
-    same = reduce(lambda x, y: x & y, (F.col(g) == F.col(f"_{g}") for g in group))
-    pairs = pairs.where(same & F.contains("_text", "_part")).select(*group, "_text", "_part")
-    every = whole.join(asked.where("_n = 0"), group).select(*group, "_text", "_part")
-    return pairs.unionByName(every).select(*group, F.col("_text").alias(text), F.col("_part").alias(part))
+    rows = calls.where("full_string is not null").select(*file, "id", F.col("full_string").alias("_text"), F.lit(None).cast("long").alias("_source"))
+    rows = rows.unionByName(expressions.where("text is not null and source_method_id is not null").select(*file, F.col("seq").alias("id"), F.col("text").alias("_text"), F.col("source_method_id").alias("_source")))
+    lots = lambda which: F.ceil(F.count_if(which).over(Window.partitionBy(*file)) / LOT)
+    call, few = F.col("_source").isNull(), (F.col("_calls") == 1) & (F.col("_given") == 1)
+    rows = rows.withColumns({"_calls": lots(call), "_given": lots(~call)}).where("_calls > 0 and _given > 0")
+    one = lambda lots: F.pmod(F.xxhash64("id"), F.col(lots))
+    each = lambda lots: F.explode(F.sequence(F.lit(0).cast("long"), F.col(lots) - 1))
+    full = rows.where(~few)
+    dealt = full.where(call).withColumns({"_calls": one("_calls"), "_given": each("_given")}).unionByName(full.where(~call).withColumns({"_calls": each("_calls"), "_given": one("_given")}))
+    keys = [*file, "_calls", "_given"]
+    last = _matched(dealt.repartition(*keys), keys).groupBy(*file, "id").agg(F.max("seq").alias("seq"), F.max_by("source_method_id", F.struct("seq", "source_method_id")).alias("source_method_id"))
+    return _matched(rows.where(few), file).unionByName(last)
 
 
 def resolve_calls(calls: DataFrame, expressions: DataFrame, definitions: DataFrame, file: list[str], scope: list[str]) -> DataFrame:
@@ -140,14 +142,10 @@ def resolve_calls(calls: DataFrame, expressions: DataFrame, definitions: DataFra
 
     ``calls``: scope, file, id, full_string. ``expressions``, the call expressions of the files as the compiler front end bound them: scope, file, seq (place in the
     file), text, and name and path of the definition. ``definitions``: scope, id, name, path. Each expression of a call's file whose text holds the call's is
-    looked up by name and path (the lowest id); of those found the last in the file wins. Expressions of one text count once, by their last.
+    looked up by name and path (the lowest id); of those found the last in the file wins.
     """
-    here = [*scope, *file]
-    bound = lookup(expressions, definitions, [*scope, "name", "path"], out="_source").where("_source is not null")
-    last = bound.groupBy(*here, "text").agg(F.max_by("_source", F.struct("seq", "_source")).alias("source_method_id"), F.max("seq").alias("seq"))
-    pairs = containing_in(last, "text", calls, "full_string", here)
-    best = pairs.join(last, [*here, "text"]).groupBy(*here, "full_string").agg(F.max_by("source_method_id", F.struct("seq", "source_method_id")).alias("source_method_id"), F.max("seq").alias("seq"))
-    return calls.join(best, [*here, "full_string"]).select(*scope, "id", "seq", "source_method_id")
+    bound = lookup(expressions, definitions, [*scope, "name", "path"], out="source_method_id")
+    return last_matches(calls, bound, [*scope, *file]).select(*scope, "id", "seq", "source_method_id")
 
 
 def bind_smells(smells: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
