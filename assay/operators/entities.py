@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assay.operators.resolve import first_of
 from assay.sources.schema import KEYS
-from assay.sources.sinks import shared_path
+from assay.sources.sinks import staged
 from assay.sources.store import SCOPE, Store
 
 #: Longs in a filter of keys (64 bits each; half a megabyte), bits a key sets, keys from which on a filter would let nearly all through, parts in which a repository's new rows are numbered.
@@ -100,13 +100,6 @@ def ingest(store: Store, batch: int, entities: Iterable[Entity]) -> dict[str, Da
     return ids
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: used more than once."""
-    path = shared_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _with_parent(rows: DataFrame, store: Store, batch: int, ids: dict[str, DataFrame], parent: str, column: str) -> DataFrame:
     """``rows`` with the stored id of their parent, of this batch or an earlier one; those without one are left out."""
     named = "guid" if "guid" in store.schemas[parent].names else "content_hash"

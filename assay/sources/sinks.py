@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,6 +25,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What is run here drops its shuffle files when it has ended, so that of steps that read what others wrote only the present one's stand on the disks; otherwise they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: used more than once."""
+    path = shared_path(rows.sparkSession, name)
+    with freed(rows.sparkSession):
+        rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_files(files: DataFrame, root: str) -> int:
     """One file for each row (path under ``root``, content; null: empty), written by the tasks that hold the rows; how many there were. A file is written under a hidden name and then moved, so that a task that is tried again leaves each file whole. ``root`` lies in a store that pyarrow opens (local, HDFS, S3, GCS); of rows with one path the last to come stays."""
     spark = files.sparkSession

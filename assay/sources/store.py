@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from assay.operators.resolve import latest_state
-from assay.sources.sinks import shared_path
+from assay.sources.sinks import freed, staged
 
 SCOPE, BATCH = "repo_id", "batch"
 
@@ -40,7 +40,8 @@ class Store:
     def append(self, table: str, batch: int, rows: DataFrame) -> None:
         """Write a batch; one that is run again replaces what it wrote before."""
         names = [f.name for f in self._schema(table).fields if f.name != BATCH]
-        rows.select(*names).write.mode("overwrite").partitionBy(SCOPE).parquet(f"{self.root}/{table}/{BATCH}={batch}")
+        with freed(self.spark):
+            rows.select(*names).write.mode("overwrite").option("compression", "zstd").partitionBy(SCOPE).parquet(f"{self.root}/{table}/{BATCH}={batch}")
 
     def batches(self, table: str) -> list[int]:
         """The batches whose job was committed."""
@@ -88,10 +89,10 @@ class Store:
         if name not in self.schemas or not (old := self.batches(name)):
             return
         touched = self.read(name).select(SCOPE).distinct()
-        staged = shared_path(self.spark, "fold")
-        self.current(table).join(F.broadcast(touched), SCOPE, "left_semi").write.parquet(staged)  # one row a repository
-        rows = self.spark.read.schema(self._schema(table)).parquet(staged)
-        rows.repartition(BATCH, SCOPE, F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH, SCOPE).parquet(f"{self.root}/{table}")
+        rows = staged(self.current(table).join(F.broadcast(touched), SCOPE, "left_semi"), "fold")  # one row a repository
+        rows = rows.repartition(BATCH, SCOPE, F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").option("compression", "zstd")
+        with freed(self.spark):
+            rows.option("partitionOverwriteMode", "dynamic").partitionBy(BATCH, SCOPE).parquet(f"{self.root}/{table}")
         path, fs = self._files()
         for batch in old:
             fs.delete(path(f"{self.root}/{name}/{BATCH}={batch}"), True)

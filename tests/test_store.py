@@ -210,3 +210,21 @@ def test_shared_tables_are_taken_for_the_size_of_all_repositories(spark):
     for name in ("class_coverage", "classes", "methods", "source_files"):
         assert size(getattr(t, name).drop("repo_id")) >= REPOS * size(getattr(t.one, name)), name
         assert getattr(t, name).count() == REPOS * getattr(t.one, name).count()
+
+
+def _shuffle_files(spark) -> int:
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return sum(blocks.apply(i).isShuffle() for i in range(blocks.size()))
+
+
+def test_steps_drop_their_shuffle_files(spark, tmp_path):
+    """Steps that write tables leave no shuffle files behind; the session's setting is as before, and later runs of the same frame work."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(500).selectExpr("concat('r', id % 3) repo_id", "id", "'x' value").repartition(4, "id").groupBy("repo_id", "id").agg(F.first("value").alias("value"))
+    store, before, setting = store_of(spark, tmp_path / "w"), _shuffle_files(spark), spark.conf.get(name, None)
+    store.append("t", 1, rows)
+    store.update("t", 1, rows.selectExpr("repo_id", "id", "1L seq", "'y' value"))
+    store.fold("t")
+    copy = E.staged(rows, "copy")
+    assert _shuffle_files(spark) <= before and spark.conf.get(name, None) == setting
+    assert rows.count() == copy.count() == 500 and {r.value for r in store.read("t").collect()} == {"y"}
