@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from assay.operators.resolve import first_of
 from assay.sources.schema import KEYS
-from assay.sources.sinks import staged
-from assay.sources.store import SCOPE, Store
+from assay.sources.sinks import discard, freed, staged
+from assay.sources.store import BATCH, SCOPE, Store
 
 #: Longs in a filter of keys (64 bits each; half a megabyte), bits a key sets, keys from which on a filter would let nearly all through, parts in which a repository's new rows are numbered.
 WORDS, PROBES, MOST, PARTS = 65_536, 3, 65_536 * 8, 65_536
@@ -64,7 +64,7 @@ def ingest(store: Store, batch: int, entities: Iterable[Entity]) -> dict[str, Da
     A row is new if no stored row of its repository has its key (``KEYS``); of equal ones the first by guid is stored. Stored keys
     are narrowed by a Bloom filter of the batch's keys, where these are few enough for one, before they are joined; many rows that nothing refers to are used once and so not staged. Rows are grouped, joined
     and so sorted by a hash of their key first: by repository, of which there are few, each comparison would go on to the hex digits. Ids go on after the repository's last. Rows
-    whose parent is neither in the batch nor stored are left out. Returns repo_id, guid, id of every row of the batch by table,
+    whose parent is neither in the batch nor stored are left out. Hashes made here are shuffled and staged as bytes, half the size of their digits. What is staged for one table is deleted before the next, but for the ids. Returns repo_id, guid, id of every row of the batch by table,
     those stored before included. A batch that is run again gives the same rows and ids.
     """
     entities = list(entities)
@@ -73,33 +73,47 @@ def ingest(store: Store, batch: int, entities: Iterable[Entity]) -> dict[str, Da
     for entity in entities:
         table, rows, keys = entity.table, entity.rows, [SCOPE, *KEYS[entity.table]]
         hashed = ["_key", *keys]
+        packed = (lambda df: df.withColumn("content_hash", F.unhex("content_hash"))) if entity.content else lambda df: df
         stored = store.read(table, without=batch)
         if entity.refers:
             rows = _with_parent(rows, store, batch, ids, *entity.refers)
         if entity.content:
-            rows = rows.withColumn("content_hash", F.sha2(F.concat_ws("|", *entity.content), 256))
+            rows = packed(rows.withColumn("content_hash", F.sha2(F.concat_ws("|", *entity.content), 256)))
         rows = rows.withColumn("_key", F.xxhash64(*keys))
-        if again := table in referred or entity.rows.count() <= MOST:
+        if again := table in referred or _count(entity.rows) <= MOST:
             rows = staged(rows, f"rows-{table}")
+        spent = [rows] if table in referred else []
         first = first_of(rows, hashed, "guid")
         if store.batches(table) in ([], [batch]):
             first = first.withColumn("_id", F.lit(None).cast("long"))
         else:
-            near = stored.select("id", *keys).withColumn("_key", F.xxhash64(*keys))
+            near = packed(stored.select("id", *keys)).withColumn("_key", F.xxhash64(*keys))
             if again and rows.count() <= MOST:
-                near = maybe_in(near, "_key", staged(key_filter(rows, "_key"), f"filter-{table}"))
+                spent.append(words := staged(key_filter(rows, "_key"), f"filter-{table}"))
+                near = maybe_in(near, "_key", words)
             first = first.join(near.groupBy(*hashed).agg(F.min("id").alias("_id")), hashed, "left")
-        first = staged(first, f"first-{table}")
+        spent.append(first := staged(first, f"first-{table}"))
         new = numbered(first.where("_id is null"), stored.groupBy(SCOPE).agg(F.max("id").alias("last")), "guid")
+        if entity.content:
+            new = new.withColumn("content_hash", F.lower(F.hex("content_hash")))
         schema = store.schemas[table]
         store.append(table, batch, new.select(*((F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields)))
-        added = store.read(table).where(F.col("batch") == batch).select(*keys, "id").withColumn("_key", F.xxhash64(*keys))
-        known = added.unionByName(first.where("_id is not null").select(*hashed, F.col("_id").alias("id")))
+        kept = packed(store.read(table).select(*keys, "id", BATCH)).withColumn("_key", F.xxhash64(*keys))
+        if table in referred:
+            known = kept.where(F.col(BATCH) == batch).drop(BATCH).unionByName(first.where("_id is not null").select(*hashed, F.col("_id").alias("id")))
+        else:
+            known = kept.groupBy(*hashed).agg(F.min("id").alias("id"))  # asked for after what is staged has gone
         found = rows.select("guid", *hashed).join(known, hashed, "left").select(SCOPE, "guid", "id")
-        ids[table] = staged(found, f"ids-{table}") if referred.count(table) > 1 else found
+        ids[table] = staged(found, f"ids-{table}") if table in referred else found
+        discard(*spent)
     return ids
 
 
+def _count(rows: DataFrame) -> int:
+    with freed(rows.sparkSession):
+        return rows.count()
+
+
 def _with_parent(rows: DataFrame, store: Store, batch: int, ids: dict[str, DataFrame], parent: str, column: str) -> DataFrame:
     """``rows`` with the stored id of their parent, of this batch or an earlier one; those without one are left out."""
     named = "guid" if "guid" in store.schemas[parent].names else "content_hash"

@@ -42,7 +42,18 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     path = shared_path(rows.sparkSession, name)
     with freed(rows.sparkSession):
         rows.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of frames that ``staged`` returned, once nothing reads them any more; others stay."""
+    for table in tables:
+        if path := vars(table).pop("_staged", None):
+            jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def write_files(files: DataFrame, root: str) -> int:
