@@ -6,7 +6,7 @@ a key's state is that of its last batch, so a batch that is run again, or lost,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -139,8 +139,11 @@ class TestAgg:
         Kept(store, self.rows, []).put(batch, V.rated_tests(store, tests, before, after))
 
     def view(self) -> DataFrame:
-        rows = self.store.read(self.rows).withColumnRenamed(BATCH, "last")
-        rows = rows.join(self.last.current(), [SCOPE, "generated_test_id", "last"], "left_semi")
+        """A test's state is that of its last batch; it is told where its rows meet its outcomes, so that they are shuffled once."""
+        meets = [SCOPE, "gen_test_method_id", "test_run_id"]
+        rows = self.store.read(self.rows).repartition(*meets)
+        last = F.max(BATCH).over(Window.partitionBy(*meets, "generated_test_id"))
+        rows = rows.withColumn("_last", last).where(F.col(BATCH) == F.col("_last")).drop(BATCH, "_last")
         return V.with_outcomes(self.store, rows, V.distinct_outcomes(self.store), V.RATES)
 
 

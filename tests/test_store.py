@@ -249,3 +249,20 @@ def test_ingest_leaves_only_the_store(spark, monkeypatch):
     assert kinds["first-invocations"]["content_hash"] == "binary"
     calls = store.read("invocations")
     assert calls.where("content_hash <> sha2(full_string, 256)").count() == 0 < calls.count()
+
+
+def test_kept_tests_are_shuffled_once_when_read(spark):
+    """The view tells a test's last state where it meets its outcomes: one exchange of the kept rows."""
+    from assay.operators.increments import TestAgg
+
+    store = Q.in_batches(t := RepoTables(spark, SF), Q._OF_TEST_AGG)
+    view = TestAgg(store)
+    Q._append(t, store, 1)
+    view.refresh(1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = view.view()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kept = plan.split("FileScan")[0]  # from the top down to the kept rows
+    assert kept.count("Exchange hashpartitioning") == 1
