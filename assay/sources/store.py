@@ -104,7 +104,7 @@ class _Some:
     scope = (SCOPE,)
 
     def __init__(self, store: Store, repos: DataFrame):
-        self._store, self._repos = store, repos.select(SCOPE).distinct()
+        self._store, self._repos = store, repos.groupBy(SCOPE).count().where("count > 0").select(SCOPE)  # a filter, without which Spark doesn't take pruning for worth it
 
     def __getattr__(self, table: str) -> DataFrame:
         return getattr(self._store, table).join(F.broadcast(self._repos), SCOPE, "left_semi")
